@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_rules
+from . import mixing, quality_rules, simhash
 
 QUERIES = {
     "op1_entropy_mix": mixing.op1_entropy_mix,
     "op4_line_rules": quality_rules.op4_line_rules,
+    "op8_simhash_components": simhash.op8_simhash_components,
 }
 
 ORACLE_SQL: dict[str, str] = {}
