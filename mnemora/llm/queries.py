@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_rules, simhash
+from . import language, mixing, quality_model, quality_rules, simhash
 
 QUERIES = {
     "op1_entropy_mix": mixing.op1_entropy_mix,
+    "op2_subword_quality": quality_model.op2_subword_quality,
     "op4_line_rules": quality_rules.op4_line_rules,
     "op8_simhash_components": simhash.op8_simhash_components,
+    "op10_hyperdimensional_language": language.op10_hyperdimensional_language,
 }
 
 ORACLE_SQL: dict[str, str] = {}
