@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import language, mixing, quality_model, quality_rules, simhash
+from . import language, mixing, quality_model, quality_rules, simhash, tokens
 
 QUERIES = {
     "op1_entropy_mix": mixing.op1_entropy_mix,
     "op2_subword_quality": quality_model.op2_subword_quality,
     "op4_line_rules": quality_rules.op4_line_rules,
+    "op5_simple8b_tokens": tokens.op5_simple8b_tokens,
     "op8_simhash_components": simhash.op8_simhash_components,
     "op10_hyperdimensional_language": language.op10_hyperdimensional_language,
 }
