@@ -31,6 +31,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,7 +45,7 @@ from .common import read_table, stored
 END_ID = 2
 BLOCK = 1024
 SHARD_IDS = 1 << 18
-CACHE = 250_000
+CACHE = 200_000
 #: Simple-8b: ids per word by selector, and bits of each.
 COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], np.int64)
 WIDTHS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], np.int64)
@@ -164,8 +165,7 @@ def unpack(image: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 # --- tokens ------------------------------------------------------------------
 
 #: Latin-1 letters, then ASCII marks that neither begin a contraction nor a special token.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-;=?@\[-`{}~]*)")
-_NOT_DIGITS = re.compile("[0-9]")
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:;=?@\[-`{}~]*)")
 #: Python splits at these, the vocabulary's splitter does not.
 _ODD = re.compile("[\x1c-\x1f]")
 
@@ -178,7 +178,11 @@ def _byte_letters() -> list[str]:
 
 
 class Pieces(dict):
-    """Piece to its ids as little-endian uint32 bytes; forgets everything when it holds CACHE pieces."""
+    """Piece to its ids as little-endian uint32 bytes.
+
+    Bounded: at CACHE pieces the present generation becomes the former one, which
+    still answers (and what it answers is kept on), and the one before that goes.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -186,28 +190,35 @@ class Pieces(dict):
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.letters = _byte_letters()
+        self.former: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.former_words: dict[str, bytes] = {}
 
     def of_model(self, word: str) -> bytes:
         found = self.words.get(word)
         if found is None:
-            shown = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
-            found = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+            found = self.former_words.get(word)
+            if found is None:
+                shown = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
+                found = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
             if len(self.words) >= CACHE:
-                self.words.clear()
+                self.former_words, self.words = self.words, {}
             self.words[word] = found
         return found
 
     def of_whole(self, text: str) -> bytes:
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
-        m = _PLAIN.fullmatch(piece)
-        if m and not _NOT_DIGITS.search(m[2]):
-            out = (self.of_model(m[1].lower()) if m[1] else b"") + (self.of_model(m[2]) if m[2] else b"")
-        else:
-            out = self.of_whole(piece)
+        out = self.former.get(piece)
+        if out is None:
+            m = _PLAIN.fullmatch(piece)
+            if m:
+                out = (self.of_model(m[1].lower()) if m[1] else b"") + (self.of_model(m[2]) if m[2] else b"")
+            else:
+                out = self.of_whole(piece)
         if len(self) >= CACHE:
+            self.former = dict(self)
             self.clear()
         self[piece] = out
         return out
