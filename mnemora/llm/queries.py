@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language, mixing, quality_model, quality_rules, simhash, tokens
+from . import language, mixing, quality_model, quality_rules, repeats, simhash, tokens
 
 QUERIES = {
     "op1_entropy_mix": mixing.op1_entropy_mix,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_line_rules": quality_rules.op4_line_rules,
     "op5_simple8b_tokens": tokens.op5_simple8b_tokens,
     "op8_simhash_components": simhash.op8_simhash_components,
+    "op9_prefix_free_repeats": repeats.op9_prefix_free_repeats,
     "op10_hyperdimensional_language": language.op10_hyperdimensional_language,
 }
 
