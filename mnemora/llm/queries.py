@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import language, mixing, quality_model, quality_rules, repeats, simhash, tokens
+from . import chat, language, mixing, quality_model, quality_rules, repeats, simhash, tokens
 
 QUERIES = {
     "op1_entropy_mix": mixing.op1_entropy_mix,
     "op2_subword_quality": quality_model.op2_subword_quality,
     "op4_line_rules": quality_rules.op4_line_rules,
     "op5_simple8b_tokens": tokens.op5_simple8b_tokens,
+    "op7_event_sourced_chat": chat.op7_event_sourced_chat,
     "op8_simhash_components": simhash.op8_simhash_components,
     "op9_prefix_free_repeats": repeats.op9_prefix_free_repeats,
     "op10_hyperdimensional_language": language.op10_hyperdimensional_language,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_event_sourced_chat": chat.SQL,
+}
