@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import chat, language, mixing, quality_model, quality_rules, repeats, simhash, tokens
+from . import chat, decontaminate, language, mixing, quality_model, quality_rules, repeats, simhash, tokens, warc
 
 QUERIES = {
     "op1_entropy_mix": mixing.op1_entropy_mix,
     "op2_subword_quality": quality_model.op2_subword_quality,
+    "op3_minhash_containment": decontaminate.op3_minhash_containment,
     "op4_line_rules": quality_rules.op4_line_rules,
     "op5_simple8b_tokens": tokens.op5_simple8b_tokens,
+    "op6_warc_derivatives": warc.op6_warc_derivatives,
     "op7_event_sourced_chat": chat.op7_event_sourced_chat,
     "op8_simhash_components": simhash.op8_simhash_components,
     "op9_prefix_free_repeats": repeats.op9_prefix_free_repeats,
