@@ -39,7 +39,7 @@ _HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|na
 _BLOCK = re.compile(r"</?(?:p|div|br|li|ul|ol|tr|table|h[1-6]|article|section|header|main|aside|blockquote|pre|hr|dd|dt|dl)\b[^>]*>", re.I)
 _CELL = re.compile(r"</t[dh]\s*>", re.I)
 _TAG = re.compile(r"<(?:/?[a-zA-Z]|!)(?:[^>\"']|\"[^\"]*\"|'[^']*')*>")
-_BLANK = re.compile(r"[ \t\r\f\v ]+")
+_BLANK = re.compile(r"[ \t\r\f\v\xa0]{2,}|[\t\r\f\v\xa0]")
 _LINES = re.compile(r" ?\n[ \n]*")
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.I | re.S)
 _LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
