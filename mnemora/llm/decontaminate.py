@@ -210,3 +210,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
 
 def op3_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+SQL = r"""
+with words as (
+  select 'd' as side, doc_id as id, regexp_extract_all(lower(text), '[^\x00-/:-`{-\x7f]+') as w from documents where text is not null
+  union all select 'q', item_id, regexp_extract_all(lower(text), '[^\x00-/:-`{-\x7f]+') from benchmark where text is not null
+), grams as (
+  select distinct side, id, n, array_to_string(w[i:i + n - 1], ' ') as g from (
+    select side, id, w, n, unnest(generate_series(1, len(w) - n + 1)) as i from words, (select distinct least(5, len(w)) as n from words where side = 'q' and len(w) > 0) where len(w) >= n and (side = 'd' or n = least(5, len(w))))
+), sizes as (
+  select id, n, count(*) as size from grams where side = 'q' group by all
+)
+select d.id as doc_id, q.id as item_id, any_value(size) as n_shingles, count(*) * 1.0 / any_value(size) as containment
+from grams q join grams d on q.side = 'q' and d.side = 'd' and q.n = d.n and q.g = d.g join sizes s on s.id = q.id and s.n = q.n
+group by 1, 2 having count(*) * 1.0 / any_value(size) >= 0.8
+"""

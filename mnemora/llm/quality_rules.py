@@ -53,7 +53,7 @@ class Rules:
 
 
 _IS = {k: np.zeros(256, bool) for k in ("symbol", "terminal", "upper", "lower", "nav", "sentence")}
-for _k, _chars in (("symbol", SYMBOLS.encode()), ("terminal", TERMINAL), ("upper", bytes(range(65, 91))), ("lower", bytes(range(97, 123))), ("nav", b"|>\xb7"), ("sentence", b".!?")):
+for _k, _chars in (("symbol", SYMBOLS.encode()), ("terminal", TERMINAL), ("upper", bytes(range(65, 91))), ("lower", bytes(range(97, 123))), ("nav", b"|>"), ("sentence", b".!?")):
     _IS[_k][list(_chars)] = True
 
 
@@ -186,3 +186,37 @@ def clean(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 def op4_line_rules(spark, sf_dir: str) -> DataFrame:
     return judge(read_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_removed_lines", F.col("n_removed_words"))
+
+
+SQL = r"""
+with w as (
+  select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents
+), win as (
+  select doc_id, i, array_to_string(words[i:i + 7], ' ') as win from (select doc_id, words, unnest(generate_series(1, len(words) - 7)) as i from w where len(words) >= 8)
+), twice as (
+  select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, win) as n from win) where n > 1
+), repeats as (
+  select doc_id, count(distinct p) as n from (select doc_id, unnest(generate_series(i, i + 7)) as p from twice) group by 1
+), lines as (
+  select doc_id, i, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') as words from (
+    select doc_id, generate_subscripts(l, 1) as i, unnest(l) as line from (select doc_id, string_split(text, chr(10)) as l from w))
+), judged as (
+  select doc_id, line, len(words) as n, row_number() over (partition by doc_id, line order by i) > 1 as dup,
+    not regexp_matches(words[len(words)], '([.!?:;")}''\]]|…|”|’|»|。|！|？)$') and len(words) >= 6 and not regexp_matches(line, '[.!?]') as unpunctuated,
+    len(regexp_extract_all(line, '[|>]')) as nav, len(regexp_extract_all(line, '[#*$%&|<>]')) as symbols,
+    len(regexp_extract_all(line, '[A-Z]')) as upper, len(regexp_extract_all(line, '[a-z]')) as lower,
+    regexp_matches(line, '(?i)licen[sc]ed under|all rights reserved|terms of (use|service)|privacy policy|cookie|enable javascript|click here|sign (in|up)|log ?in|subscribe|share (this|on)|read more|copyright|powered by|skip to content|general public license|creative commons|permission is hereby granted') and len(words) <= 40 as boiler
+  from lines where len(words) > 0
+), failed as (
+  select *, dup or unpunctuated or (nav >= 3 and nav * 3.0 >= n) or boiler or symbols > 0.5 * n or (upper > 0.7 * (upper + lower) and upper >= 20) as fails from judged
+), by_doc as (
+  select doc_id, count(*) as n_lines, count(*) filter (dup) as n_dup_lines, count(*) filter (fails) as n_removed_lines, coalesce(sum(n) filter (fails), 0) as n_removed_words from failed group by 1
+), counted as (
+  select w.doc_id, len(words) as n_words, length(array_to_string(words, '')) as word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) as n_symbols,
+    coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(r.n, 0) as n_repeat_words, coalesce(n_lines, 0) as n_lines, coalesce(n_removed_lines, 0) as n_removed_lines, coalesce(n_removed_words, 0)::bigint as n_removed_words
+  from w left join repeats r on r.doc_id = w.doc_id left join by_doc b on b.doc_id = w.doc_id
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed,
+  not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and n_removed_words <= 0.5 * n_words as kept, n_lines, n_removed_lines, n_removed_words
+from counted
+"""

@@ -18,5 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_minhash_containment": decontaminate.SQL,
+    "op4_line_rules": quality_rules.SQL,
     "op7_event_sourced_chat": chat.SQL,
 }
