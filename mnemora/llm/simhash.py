@@ -201,9 +201,7 @@ def deduplicate(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFra
 
     Of rows that repeat both id and text, one stays.
     """
-    tagged = docs.select("doc_id", "text")
-    hashed = F.xxhash64(F.coalesce("text", F.lit("")))
-    prints = stored(_with_hash(tagged, shingle))
+    prints = stored(with_hash(docs, shingle))
     first = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(links(first, max_bits))
     members = first.join(roots, first.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
@@ -211,6 +209,12 @@ def deduplicate(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFra
     # Two steps, so that a large component is reduced before its members meet.
     of_print = prints.groupBy("fp").agg(F.min(order).alias("w"))
     winners = of_print.join(members, "fp").groupBy("root").agg(F.min("w").alias("w")).select("w.doc_id", "w.h")
+    return only(docs, prints, winners)
+
+
+def only(docs: DataFrame, prints: DataFrame, winners: DataFrame) -> DataFrame:
+    """The rows of docs named by winners (doc_id, h), each once; prints: with_hash(docs)."""
+    hashed = F.xxhash64(F.coalesce("text", F.lit("")))
     times = prints.groupBy("doc_id", "h").agg(F.count("*").alias("__n")).withColumnRenamed("doc_id", "__id").withColumnRenamed("h", "__h")
     chosen = winners.join(times, winners.doc_id.eqNullSafe(times["__id"]) & (winners.h == times["__h"])).select("__id", "__h", "__n")
     kept = docs.withColumn("__x", hashed).join(chosen, docs.doc_id.eqNullSafe(chosen["__id"]) & (F.col("__x") == F.col("__h")))
@@ -219,7 +223,9 @@ def deduplicate(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFra
     return single.unionByName(repeats)
 
 
-def _with_hash(docs: DataFrame, shingle: int) -> DataFrame:
+def with_hash(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, h (hash of the text), fp of every row."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
