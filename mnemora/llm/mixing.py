@@ -157,11 +157,11 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = TOTAL_SHARE, most: int
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix: each row as often as it is taken, in the columns of docs."""
-    plan = mix(docs, **options)
-    keyed = docs.withColumn("__row", F.xxhash64(F.col("doc_id"), F.col("text"))).withColumn("__k", F.lit(0))
+    plan = mix(docs.select("doc_id", "text", "source"), **options)
     # Rows equal in id and text are interchangeable: their copies are summed and dealt out evenly.
-    share = plan.groupBy("row", "doc_id").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__n"))
-    joined = keyed.join(share.where("__copies > 0").withColumnRenamed("doc_id", "__id"), (F.col("__row") == F.col("row")) & F.col("doc_id").eqNullSafe(F.col("__id")))
+    share = plan.groupBy(F.col("row").alias("__r"), F.col("doc_id").alias("__id")).agg(F.sum("copies").alias("__copies"), F.count("*").alias("__n")).where("__copies > 0")
+    keyed = docs.withColumn("__row", F.xxhash64(F.col("doc_id"), F.col("text")))
+    joined = keyed.join(share, (F.col("__row") == F.col("__r")) & F.col("doc_id").eqNullSafe(F.col("__id")))
     alone = joined.where("__n = 1").withColumn("__take", F.col("__copies"))
     again = joined.where("__n > 1").withColumn("__j", F.expr("row_number() over (partition by __row, doc_id order by source) - 1")).withColumn("__take", F.expr("__copies div __n + if(__j < __copies % __n, 1, 0)")).drop("__j")
     return alone.unionByName(again).withColumn("__c", F.explode(F.expr("array_repeat(0, cast(__take as int))"))).select(*docs.columns)

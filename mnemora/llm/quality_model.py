@@ -168,9 +168,9 @@ def op2_subword_quality(spark, sf_dir: str) -> DataFrame:
 
 def accepted(spark, docs: DataFrame, sf_dir: str, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, all columns, that score the threshold or more."""
-    keep = tuple(c for c in docs.columns if c not in ("doc_id", "text", "score"))
     model = fit(spark, docs, sf_dir)
-    # One pass: the text goes through the scorer with the rest of its row.
-    renamed = docs.withColumn("__text", F.col("text"))
-    scored = score(renamed, model, (*keep, "__text"))
-    return scored.where(F.col("score") >= threshold).withColumnRenamed("__text", "text").select(*docs.columns)
+    # One pass: the row goes through the scorer with its text, under names that cannot clash.
+    own = {f"__{k}": c for k, c in enumerate(docs.columns)}
+    renamed = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(n) for n, c in own.items()])
+    scored = score(renamed, model, tuple(own))
+    return scored.where(F.col("score") >= threshold).select(*[F.col(n).alias(c) for n, c in own.items()])
