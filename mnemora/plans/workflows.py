@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import classify, dates, embed, text
-from ..operators import evals, gaps, graph, mining, retrieval
-from ..sources import manifests, pages
+from ..operators import answers, catalog, evals, gaps, graph, mining, retrieval
+from ..sources import feeds, manifests, pages
 from . import model
 from .memory import query
 from .model import table
@@ -255,3 +255,64 @@ def signature_filter(spark, d):
     e = graph.edge_view(model.edges(spark, d), model.entities(spark, d), model.evidence(spark, d))
     as_type = lambda c: F.when(F.col(c).isin("nation", "region"), "project").otherwise(F.col(c))
     return e.where(classify.signature_allows(as_type("src_type"), F.col("rel"), as_type("dst_type"))).select("src", "rel", "dst", "src_type", "dst_type")
+
+
+@query("select dst, array_to_string(list_sort(list(distinct name)), ',') as names from edges join entities on id = src where rel = 'part_of' group by 1", "graph")
+def grouped_relations(spark, d):
+    view = graph.relations(model.edges(spark, d), model.entities(spark, d), model.evidence(spark, d), "part_of")
+    return answers.grouped_relations(view).withColumn("names", F.array_join("names", ","))
+
+
+@query("select conv_id, sum(length(text)) // 4 as tokens, max(case when role = 'user' and back >= 4 then turn end) as split_turn from (select *, row_number() over (partition by conv_id order by turn desc) as back from conversations) group by 1 having sum(length(text)) // 4 > 500 and max(case when role = 'user' and back >= 4 then turn end) is not null")
+def sessions_to_compress(spark, d):
+    return answers.sessions_to_compress(table(spark, d, "conversations"), 500)
+
+
+@query("select conv_id, string_agg(role || ': ' || substr(split_part(text, chr(10), 1), 1, 160), chr(10) order by turn) as note from conversations where role in ('user', 'assistant') and text <> '' group by 1")
+def session_notes(spark, d):
+    return answers.digest(table(spark, d, "conversations"))
+
+
+@query("select s_suppkey, 'https://github.com/org/r' || s_nationkey || '/blob/HEAD/src/f%20' || s_suppkey || '.py' as link from supplier")
+def web_links(spark, d):
+    uri = F.concat(F.lit("git@github.com:org/r"), F.col("s_nationkey").cast("string"), F.lit(".git::src/f "), F.col("s_suppkey").cast("string"), F.lit(".py"))
+    return table(spark, d, "supplier").select("s_suppkey", answers.web_link(uri).alias("link"))
+
+
+@query("select role, sum(allowed) as n from (select role, case when role = 'admin' then 1 when method = 'GET' then 1 when role = 'editor' then 1 else 0 end as allowed from (values ('viewer'), ('editor'), ('admin')) r(role), (select case when o_orderkey % 2 = 0 then 'GET' else 'DELETE' end as method from orders)) group by 1")
+def role_permissions(spark, d):
+    routes = spark.sql("select * from values ('GET', '/api/sessions/{id}', 'sessions:read', 0), ('DELETE', '/api/sessions/{id}', 'sessions:write', 1) as t(method, template, capability, place)")
+    asked = table(spark, d, "orders").select(F.when(F.col("o_orderkey") % 2 == 0, "GET").otherwise("DELETE").alias("method"), F.concat(F.lit("/api/sessions/"), F.col("o_orderkey").cast("string"), F.lit("?x=1")).alias("path"))
+    roles = F.explode(F.array(*map(F.lit, ("viewer", "editor", "admin")))).alias("role")
+    got = answers.route_capability(asked, routes).select("capability", roles)
+    return got.groupBy("role").agg(F.sum(answers.may(F.col("role"), F.col("capability")).cast("long")).alias("n"))
+
+
+@query("select 'ticket:#' || l_orderkey as src, 'part_of' as rel, 'ticket:#' || min(l_partkey) as dst from lineitem where l_linenumber = 1 group by l_orderkey")
+def work_item_links(spark, d):
+    """Orders as work items whose first line's part is the parent."""
+    lines = table(spark, d, "lineitem").where("l_linenumber = 1").groupBy("l_orderkey").agg(F.min("l_partkey").alias("p"))
+    link = F.struct(F.lit(feeds.PARENT).alias("rel"), F.concat(F.lit("https://x/_apis/wit/workItems/"), F.col("p").cast("string")).alias("url"), F.lit(None).cast("string").alias("name"))
+    items = lines.select(F.col("l_orderkey").alias("id"), F.lit("Story").alias("type"), F.array(link).alias("relations"))
+    none = spark.sql("select '' as guid, '' as name where false")
+    return feeds.work_item_links(items, none).select("src", "rel", "dst")
+
+
+@query("select path, team from (select event_id::varchar as path, user_id::varchar as team, row_number() over (partition by user_id order by ts desc, event_id::varchar desc) as n from events) where n <= 2")
+def recent_iterations(spark, d):
+    e = table(spark, d, "events")
+    its = e.select(F.col("user_id").cast("string").alias("team"), F.col("event_id").cast("string").alias("path"), F.col("ts").cast("timestamp").alias("start_date"), F.col("ts").cast("timestamp").alias("finish_date"), F.lit("past").alias("time_frame"))
+    return feeds.recent_iterations(its, 2).select("path", "team")
+
+
+@query("select doc_id, 'rehomed' as source from documents where doc_id % 10 = 0 union all select doc_id, source from documents where doc_id % 10 <> 0")
+def move_documents(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("source_id"))
+    moved = docs.where("doc_id % 10 = 0").select("doc_id", F.lit("rehomed").alias("to_source"))
+    return catalog.move_documents(docs, moved).withColumnRenamed("source_id", "source")
+
+
+@query("select conv_id, array_to_string(list(text order by turn), '|') as texts from conversations group by 1")
+def ordered_chunks(spark, d):
+    c = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("chunk_index"), "text")
+    return catalog.ordered_chunks(c).select(F.col("doc_id").alias("conv_id"), F.array_join("texts", "|").alias("texts"))

@@ -29,7 +29,7 @@ def test_web_links(spark, uri, want):
 
 
 def test_suggestions(spark):
-    entities = spark.createDataFrame([("service:portal", "Portal", "service", 9, None), ("repo:customer-portal", "customer-portal", "repo", 50, None), ("team:x", "X", "team", 99, "portal people")], "id string, name string, type string, degree int, alias string")
+    entities = spark.createDataFrame([("service:portal", "Portal", "service", 9, None), ("repo:customer-portal", "customer-portal", "repo", 5, None), ("team:x", "X", "team", 99, "portal people")], "id string, name string, type string, degree int, alias string")
     past = spark.createDataFrame([("Where is Portal hosted?",), ("is the portal where we deploy",)], "question string")
     starters = spark.createDataFrame([("What can you help me with?",)], "question string")
     got = [r.question for r in answers.suggestions("where is portal dep", entities, past, starters).collect()]
