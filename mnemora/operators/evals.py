@@ -28,6 +28,19 @@ def retrieval_metrics(results: DataFrame) -> DataFrame:
     )
 
 
+def agent_metrics(answers: DataFrame) -> DataFrame:
+    """One row over answers (refusal case, refused, cited, keywords found of all): citation rate and keyword coverage of answered cases, false refusals, refusal accuracy."""
+    case, refused = F.col("refusal"), F.col("refused")
+    answered = ~case & ~refused
+    return answers.agg(
+        F.count("*").alias("cases"),
+        F.avg(F.when(answered, F.col("cited").cast("double"))).alias("citation_rate"),
+        F.avg(F.when(answered & (F.col("keywords") > 0), F.col("found") / F.col("keywords"))).alias("keyword_coverage"),
+        F.avg(F.when(~case, refused.cast("double"))).alias("false_refusal_rate"),
+        F.avg(F.when(case, refused.cast("double"))).alias("refusal_accuracy"),
+    )
+
+
 def calibration_curve(results: DataFrame, low: int = 30, high: int = 80) -> DataFrame:
     """t (hundredths), gr, ra: grounded recall and refusal accuracy at every threshold; 1 without cases. One pass over the results: counts per score are accumulated over the thresholds."""
     counts = [F.count_if(F.col("refusal_correct").isNull() & F.col("hit_score").isNotNull()).alias("answerable"), F.count_if(F.col("refusal_correct").isNotNull()).alias("refusals")]

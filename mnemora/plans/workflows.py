@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import classify, dates, embed, text
-from ..operators import answers, catalog, evals, gaps, graph, mining, retrieval
+from ..operators import ann, answers, catalog, evals, gaps, graph, mining, retrieval
 from ..sources import feeds, manifests, pages
 from . import model
 from .memory import query
@@ -316,3 +316,17 @@ def move_documents(spark, d):
 def ordered_chunks(spark, d):
     c = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("chunk_index"), "text")
     return catalog.ordered_chunks(c).select(F.col("doc_id").alias("conv_id"), F.array_join("texts", "|").alias("texts"))
+
+
+@query()
+def ann_topk(spark, d):
+    """The inverted file over all vectors, whatever their number."""
+    return ann.topk(model.corpus(spark, d), model.asked(spark, d), 8, lists=32, probes=12, exact_below=1).withColumn("score", F.round("score", 6))
+
+
+@query("select count(*) as cases, round(avg(case when toxic = 0 and quality = 1 then case when doc_id % 3 = 0 then 1.0 else 0 end end), 6) as citation_rate, round(avg(case when toxic = 0 and quality = 1 and doc_id % 4 > 0 then 1.0 * least(doc_id % 2, doc_id % 4) / (doc_id % 4) end), 6) as keyword_coverage, round(avg(case when toxic = 0 then case when quality = 0 then 1.0 else 0 end end), 6) as false_refusal_rate, round(avg(case when toxic = 1 then case when quality = 0 then 1.0 else 0 end end), 6) as refusal_accuracy from labels")
+def agent_metrics(spark, d):
+    """Labels as cases: toxic ones should be refused, those of low quality were."""
+    rows = table(spark, d, "labels").select((F.col("toxic") == 1).alias("refusal"), (F.col("quality") == 0).alias("refused"), (F.col("doc_id") % 3 == 0).alias("cited"), (F.col("doc_id") % 4).alias("keywords"), F.least(F.col("doc_id") % 2, F.col("doc_id") % 4).alias("found"))
+    out = evals.agent_metrics(rows)
+    return out.select("cases", *[F.round(c, 6).alias(c) for c in out.columns[1:]])

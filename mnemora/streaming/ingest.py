@@ -54,6 +54,15 @@ class Table:
         return n
 
 
+def compact(table: Table, files: int, most_versions: int = 500) -> bool:
+    """Rewrites a table into `files` files where it has more, or has grown past a number of versions; whether it did."""
+    now = table.read()
+    if len(now.inputFiles()) <= files and (table.versions() or [0])[-1] % most_versions:
+        return False
+    table.write(now.repartition(files), keep=1)
+    return True
+
+
 def prepared(documents: DataFrame, version: int = EXTRACTOR_VERSION) -> DataFrame:
     """Documents (source_id, uri, title, kind, text, updated_at) with their id, normalised text, hash and graph version."""
     said = documents.withColumn("text", text.normalize_text(F.col("text")))

@@ -33,7 +33,7 @@ def test_suggestions(spark):
     past = spark.createDataFrame([("Where is Portal hosted?",), ("is the portal where we deploy",)], "question string")
     starters = spark.createDataFrame([("What can you help me with?",)], "question string")
     got = [r.question for r in answers.suggestions("where is portal dep", entities, past, starters).collect()]
-    assert got[0] == "Where is Portal deployed?" and "What does the customer-portal repo do?" in got
+    assert got[0] == "Where is Portal deployed?" and "What are the dependencies of customer-portal?" in got
     assert answers.suggestions("where is portal", entities, past, starters).first().question == "Where is Portal hosted?"
     assert [r.question for r in answers.suggestions("", entities.limit(0), past.limit(0), starters).collect()] == ["What can you help me with?"]
 
