@@ -21,8 +21,8 @@ def test_normalize(spark):
 
 
 def test_ticket_keys(spark):
-    said = "Fixed NAUT-123 and PAY-7 after the UTF-8 regression; see CVE-2024-1234, NAUT-123 again, and SHA-256 hashing notes."
-    assert one(spark, text.ticket_keys(F.col("t")), t=said) == ["NAUT-123", "PAY-7"]
+    said = "Fixed HARB-123 and PAY-7 after the UTF-8 regression; see CVE-2024-1234, HARB-123 again, and SHA-256 hashing notes."
+    assert one(spark, text.ticket_keys(F.col("t")), t=said) == ["HARB-123", "PAY-7"]
 
 
 @pytest.mark.parametrize(("source", "id_"), [("git:proj-a", "repo:proj-a"), ("files:proj-a", "repo:proj-a"), ("notes:user-taught", "source:user-taught"), ("plain", "source:plain")])
@@ -31,7 +31,7 @@ def test_source_entity(spark, source, id_):
 
 
 def test_aliases(spark):
-    assert one(spark, text.aliases(F.col("s")), s="AppRiver.Nautical.Models") == ["nautical models", "nautical.models", "appriver nautical models"]
+    assert one(spark, text.aliases(F.col("s")), s="Acme.Harbor.Models") == ["harbor models", "harbor.models", "acme harbor models"]
     assert one(spark, text.aliases(F.col("s"), False), s="proj-a-service") == ["proj a service"]
     assert one(spark, text.aliases(F.col("s")), s="single") == []
 

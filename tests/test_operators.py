@@ -104,17 +104,17 @@ def test_same_as(spark):
         return {(r.src, r.dst) for r in graph.same_as(spark.createDataFrame([(f"{t}:{n.lower()}", n, t, "") for t, n in rows], ENTITY), al).collect()}
 
     assert bridges(("service", "Connector"), ("repo", "connector")) == {("repo:connector", "service:connector")}
-    assert len(bridges(("repo", "AppRiver.Connector"), ("pipeline", "appriver-connector"))) == 1
+    assert len(bridges(("repo", "Acme.Connector"), ("pipeline", "acme-connector"))) == 1
     assert not bridges(("repo", "Connector"), ("repo", "connector2"))
     assert not bridges(("repo", "API"), ("service", "api")) and not bridges(("repo", "Core API"), ("service", "core.api"))
     assert not bridges(("ticket", "Connector"), ("repo", "connector"))
     crowd = spark.createDataFrame([(f"{t}:{k}", "crowded", t, "") for k in range(4) for t in ("repo", "service")][:7], ENTITY)
     assert graph.same_as(crowd, none).count() == 0
-    al = spark.createDataFrame([("appriver.provisioning", "repo:stevedore")], "alias string, entity_id string")
-    assert bridges(("repo", "Stevedore"), ("service", "appriver.provisioning"), al=al) == {("repo:stevedore", "service:appriver.provisioning")}
+    al = spark.createDataFrame([("acme.provisioning", "repo:crane")], "alias string, entity_id string")
+    assert bridges(("repo", "Crane"), ("service", "acme.provisioning"), al=al) == {("repo:crane", "service:acme.provisioning")}
 
 
-@pytest.mark.parametrize(("first", "then", "want"), [("Nautical", "nautical", "Nautical"), ("stevedore", "Stevedore", "Stevedore"), ("Old Name", "New Name", "New Name")])
+@pytest.mark.parametrize(("first", "then", "want"), [("Harbor", "harbor", "Harbor"), ("crane", "Crane", "Crane"), ("Old Name", "New Name", "New Name")])
 def test_entity_upsert(spark, first, then, want):
     rows = spark.createDataFrame([("e", first, "repo", "", 0), ("e", then, "repo", "data", 1), ("e", then, "repo", "", 2)], ENTITY + ", seq int")
     got = graph.upsert_entities(ents(spark, "x:y").limit(0), rows).first()
