@@ -12,8 +12,8 @@ probability of 1e-4 at most, verbatim copies of 1e-6), and every
 candidate is verified by the exact share of the item's shingles in the document.
 
 Scale: documents are read once and never shuffled; windows are blocks' minima
-merged, so a signature costs one multiplication per shingle and hash whatever the
-number of classes. Items are the stated query set: they are taken in blocks of
+merged, over a whole chunk of documents at once, so a signature costs one
+multiplication per shingle and hash whatever the number of classes. Items are the stated query set: they are taken in blocks of
 at most ``BLOCK_SHINGLES`` shingles, each broadcast in turn (its size is counted
 first), so any number of items works in bounded memory, with one pass over the
 documents per block. Only matches are returned.
@@ -45,6 +45,7 @@ TABLE_BITS = 20
 
 #: ASCII that is neither a letter nor a digit.
 SEPARATOR = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+_NONE = np.uint64(2**64 - 1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _ODD = np.random.default_rng(3).integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -68,81 +69,115 @@ def class_of(size: int) -> int:
 
 @dataclass
 class Items:
-    """A block of items: ids, word counts of their shingles, shingles, and a look-up of signature values by class and hash."""
+    """A block of items: ids, word counts of their shingles, shingles. Only these are broadcast."""
 
     ids: list
     widths: list[int]
     sets: list[np.ndarray]
 
-    def __post_init__(self) -> None:
-        self.by_class: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+
+class Lookup:
+    """For each class and hash: which leading bits some item's signature value has, and those values in order with their items.
+
+    Built by each worker from the broadcast items; a table has some 64 bits an item.
+    """
+
+    def __init__(self, items: Items):
+        self.items = items
+        self.by_class: dict[tuple[int, int], list[tuple[np.uint64, np.ndarray, np.ndarray, np.ndarray]]] = {}
         groups: dict[tuple[int, int], list[int]] = {}
-        for k, s in enumerate(self.sets):
-            groups.setdefault((self.widths[k], class_of(len(s))), []).append(k)
+        for k, s in enumerate(items.sets):
+            groups.setdefault((items.widths[k], class_of(len(s))), []).append(k)
         for key, members in groups.items():
-            signs = np.array([[(self.sets[k] * a).min() for k in members] for a in _ODD])
+            bits = min(TABLE_BITS, max(10, (64 * len(members) - 1).bit_length()))
+            shift = np.uint64(64 - bits)
             rows = []
-            for values in signs:
+            for a in _ODD:
+                values = np.array([(items.sets[k] * a).min() for k in members])
                 order = np.argsort(values, kind="stable")
-                hit = np.zeros(1 << TABLE_BITS, bool)
-                hit[values >> np.uint64(64 - TABLE_BITS)] = True
-                rows.append((hit, values[order], np.array(members)[order]))
+                hit = np.zeros(1 << bits, bool)
+                hit[values >> shift] = True
+                rows.append((shift, hit, values[order], np.array(members)[order]))
             self.by_class[key] = rows
 
 
+_LOOKUPS: dict[int, tuple[Items, Lookup]] = {}
+
+
+def lookup(items: Items) -> Lookup:
+    """The worker's look-up of the block it holds (one block at a time)."""
+    held = _LOOKUPS.get(0)
+    if held is None or held[0] is not items:
+        _LOOKUPS[0] = held = (items, Lookup(items))
+    return held[1]
+
+
 def block_minima(hashed: np.ndarray, size: int) -> np.ndarray:
     n = -(-len(hashed) // size)
-    out = np.full(n * size, np.iinfo(np.uint64).max, np.uint64)
+    out = np.full(n * size, _NONE, np.uint64)
     out[: len(hashed)] = hashed
     return out.reshape(n, size).min(axis=1)
 
 
-def candidates(found: np.ndarray, width: int, items: Items) -> set[int]:
-    """Items with a signature value in common with a window of this document's shingles."""
-    out: set[int] = set()
+def candidates(found: np.ndarray, broken: np.ndarray, doc: np.ndarray, width: int, items: Lookup) -> set[tuple[int, int]]:
+    """(document, item) pairs with a signature value in common in a window of a chunk's shingles.
+
+    found: the shingle that begins at each word of the chunk, broken: those that
+    reach over a document's end, doc: the words' documents. A window may hold
+    shingles of neighbouring documents; it is a candidate for each of them.
+    """
     classes = sorted(u for w, u in items.by_class if w == width)
-    if not len(found) or not classes:
-        return out
-    for j, a in enumerate(_ODD):
-        low, size = block_minima(found * a, SMALLEST // 2), SMALLEST // 2
+    first, last, item = [], [], []
+    for j, a in enumerate(_ODD if classes and len(found) else ()):
+        size = SMALLEST // 2
+        hashed = found * a
+        hashed[broken] = _NONE
+        low = block_minima(hashed, size)
         for u in classes:
             while size < u // 2:  # blocks of half a class
-                low = np.minimum(low[::2], np.append(low[1::2], np.iinfo(np.uint64).max)[: len(low[::2])]) if len(low) > 1 else low
+                low = block_minima(low, 2)
                 size *= 2
-            window = np.minimum(low, np.append(low[1:], low[-1]))
-            window = np.minimum(window, np.append(low[2:], low[-2:])[: len(low)])
-            hit, values, members = items.by_class[(width, u)][j]
-            maybe = window[hit[window >> np.uint64(64 - TABLE_BITS)]]
-            if len(maybe):
-                lo, hi = np.searchsorted(values, maybe, "left"), np.searchsorted(values, maybe, "right")
-                for p, q in zip(lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
-                    out.update(members[p:q].tolist())
-    return out
+            window = low.copy()
+            np.minimum(window[:-1], low[1:], out=window[:-1])
+            np.minimum(window[:-2], low[2:], out=window[:-2])
+            shift, hit, values, members = items.by_class[(width, u)][j]
+            at = np.flatnonzero(hit[window >> shift])
+            lo, hi = np.searchsorted(values, window[at], "left"), np.searchsorted(values, window[at], "right")
+            for p, x, y in zip(at[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
+                for m in members[x:y].tolist():
+                    first.append(p * size)
+                    last.append(min((p + 3) * size, len(found)) - 1)
+                    item.append(m)
+    pairs = set(zip(doc[first].tolist(), doc[last].tolist(), item, strict=True)) if first else ()
+    return {(d, i) for x, y, i in pairs for d in range(x, y + 1)}
 
 
 def _search(shared, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: Items = shared.value
-        widths = sorted({w for w, _ in items.by_class})
+        table = lookup(items)
+        widths = sorted({w for w, _ in table.by_class})
         for batch in batches:
             ids = batch.column(0)
             rows: list[tuple] = []
             for a, b, data, offsets in chunks(batch.column(1)):
                 words, doc = word_hashes(data, offsets)
                 cut = np.searchsorted(doc, np.arange(b - a + 1))
-                for k in range(b - a):
-                    own = words[cut[k] : cut[k + 1]]
-                    for width in widths:
-                        found = shingles(own, width)
-                        near = candidates(found, width, items)
-                        if near:
-                            there = np.unique(found)
-                            for i in sorted(near):
-                                s = items.sets[i]
-                                at = np.minimum(np.searchsorted(there, s), len(there) - 1)
-                                share = float((there[at] == s).mean())
-                                if share >= threshold:
-                                    rows.append((ids[a + k].as_py(), items.ids[i], len(s), share))
+                for width in widths:
+                    found = windows(words, width)
+                    broken = np.ones(len(words), bool)
+                    broken[: max(0, len(words) - width + 1)] = doc[width - 1 :] != doc[: max(0, len(doc) - width + 1)]
+                    held = (-1, found)
+                    for k, i in sorted(candidates(found, np.flatnonzero(broken), doc, width, table)):
+                        if held[0] != k:
+                            held = (k, np.unique(found[cut[k] : max(cut[k], cut[k + 1] - width + 1)]))
+                        there, s = held[1], items.sets[i]
+                        if not len(there):
+                            continue
+                        at = np.minimum(np.searchsorted(there, s), len(there) - 1)
+                        share = float((there[at] == s).mean())
+                        if share >= threshold:
+                            rows.append((ids[a + k].as_py(), items.ids[i], len(s), share))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (ids.type, pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["doc_id", "item_id", "n_shingles", "containment"])
 
@@ -179,11 +214,9 @@ def item_blocks(items: DataFrame, most: int = BLOCK_SHINGLES) -> Iterator[Items]
             held.sets.append(np.array(r.shingles, np.int64).view(np.uint64))
             size += len(r.shingles)
             if size >= most:
-                held.__post_init__()
                 yield held
                 held, size = Items([], [], []), 0
         if held.ids:
-            held.__post_init__()
             yield held
 
 
