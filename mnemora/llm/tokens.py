@@ -45,7 +45,7 @@ from .common import read_table, stored
 END_ID = 2
 BLOCK = 1024
 SHARD_IDS = 1 << 18
-CACHE = 200_000
+CACHE = 400_000
 #: Simple-8b: ids per word by selector, and bits of each.
 COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], np.int64)
 WIDTHS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], np.int64)
@@ -70,7 +70,9 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     table = flat[escaped].copy()
     # Widths by comparison with each selector's limit: the narrowest class that holds the id.
     limits = (np.uint64(1) << WIDTHS[1:].astype(np.uint64)) - np.uint64(1)
-    klass = np.searchsorted(limits, flat, side="left").astype(np.int8)  # class k: width WIDTHS[k + 1]
+    # Class k: width WIDTHS[k + 1]. Ids of 16 bits, by far most, are looked up.
+    small = np.searchsorted(limits, np.arange(1 << 16, dtype=np.uint64)).astype(np.int8)
+    klass = small[flat] if ids.max() < 1 << 16 else np.searchsorted(limits, flat).astype(np.int8)
     pick = np.full(len(flat), ONE, np.int8)
     for s in range(14, -1, -1):
         count, within = int(COUNTS[s]), klass <= max(s - 1, 0)
@@ -195,12 +197,10 @@ class Pieces(dict):
         self.former_words: dict[str, bytes] = {}
 
     def of_model(self, word: str) -> bytes:
-        found = self.words.get(word)
+        found = self.words.get(word) or self.former_words.get(word)
         if found is None:
-            found = self.former_words.get(word)
-            if found is None:
-                shown = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
-                found = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+            shown = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
+            found = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
             if len(self.words) >= CACHE:
                 self.former_words, self.words = self.words, {}
             self.words[word] = found
@@ -212,8 +212,9 @@ class Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         out = self.former.get(piece)
         if out is None:
-            m = _PLAIN.fullmatch(piece)
-            if m:
+            if piece.isalpha() and piece.isascii():
+                out = self.of_model(piece.lower())
+            elif m := _PLAIN.fullmatch(piece):
                 out = (self.of_model(m[1].lower()) if m[1] else b"") + (self.of_model(m[2]) if m[2] else b"")
             else:
                 out = self.of_whole(piece)
