@@ -14,11 +14,19 @@ probability under one in a thousand.
 Links of the whole fingerprints (operator 8's own, two bits) are added, so no
 group of that operator is split. One document of each component stays.
 
-Scale: a text gives at most 2 * BAGS rows of 28 bytes. A bag's members are never
-paired with each other: each is compared with the bag's smallest and largest
-text hash (random, so different in every bag), two comparisons a member. Copies of a
-text are one member. Only the texts of candidate pairs are read again, with their
-shingles; components are found in the shared folder.
+Scale: a text gives at most 2 * BAGS rows of 28 bytes; copies of a text are one
+member. First each member is compared with two others of its bag: the smallest text
+hash (the same text in all bags that it leads) and the member whose bags are
+largest, which in a group of copies is the one nearest to what they were copied
+from. Texts of bags that this leaves in several components are then searched for all
+pairs that reach the threshold, by their prefixes: in any one order of all shingles
+two sets of n and m shingles that reach it share one of the first n - 0.8 n + 1
+and of the first m - 0.8 m + 1, and as many of these as the rest cannot make up for.
+Rare shingles come first, so a phrase that many texts share brings few pairs. Pairs of one component are left out, and
+a shingle of many texts is dealt out in blocks. Only the texts of candidate pairs are
+read again, with their shingles; components are found in the shared folder.
+Texts that many others resemble to nearly 0.8, and that no link joins, still cost the
+square of their number.
 
 Defined cases: as in simhash; a text with fewer than five words is one shingle of all
 its words, and texts without a word are copies of each other.
@@ -42,6 +50,11 @@ BAGS = 16
 #: Short texts have 16 bags too, of fewer shingles.
 LEAST_LEVEL = 4
 BROADCAST_ROWS = 500_000
+#: Shingles that are put last in the order: those of over LEAST_COMMON texts, the COMMON most frequent.
+COMMON = 200_000
+LEAST_COMMON = 8
+#: Members of a shingle in one block.
+BLOCK = 1000
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int = SHINGLE) -> list[np.ndarray]:
@@ -115,13 +128,66 @@ def text_hash():
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, batch.num_rows, 500):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(batch.column(0).slice(k, 500).to_pylist()), np.int64))], names=["t"])
+
+
+def prefix(shingles: np.ndarray, common: np.ndarray, ranks: np.ndarray, threshold: float) -> np.ndarray:
+    """The first n - threshold * n + 1 of a set's shingles: rare ones by hash, then common ones (sorted, with their ranks) by rank."""
+    n = len(shingles)
+    rank = np.full(n, -1, np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+        rank = np.where(common[at] == shingles, ranks[at], -1)
+    return shingles[np.lexsort((shingles, rank))[: n - int(np.ceil(threshold * n - 1e-9)) + 1]]
+
+
+def _prefixes(shared, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, ranks = shared.value
+        for batch in batches:
+            for k in range(0, batch.num_rows, 500):
+                part = batch.slice(k, 500)
+                sets = [np.frombuffer(x, np.uint64) for x in part.column(2).to_pylist()]
+                firsts = [prefix(x, common, ranks, threshold) for x in sets]
+                which = np.repeat(np.arange(len(sets)), [len(x) for x in firsts])
+                sizes = np.array([len(x) for x in sets], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts).view(np.int64)), part.column(0).take(pa.array(which)), part.column(1).take(pa.array(which)), pa.array(sizes[which])], names=["t", "h", "root", "n"])
+
+    return run
+
+
+def unlinked_pairs(live: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """Pairs (a, b) of rows (h, root, s) with different roots, among them all that reach the threshold."""
+    counts = live.select("s").mapInArrow(_shingles, "t long").groupBy("t").count().where(f"count > {LEAST_COMMON}")
+    common = counts.orderBy(F.desc("count"), "t").limit(COMMON).toPandas().iloc[::-1]  # 16 bytes a row: 3.2 MB at most
+    tokens = common["t"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(tokens)
+    shared = live.sparkSession.sparkContext.broadcast((tokens[order], order.astype(np.int64)))
+    rows = stored(live.select("h", "root", "s").mapInArrow(_prefixes(shared, threshold), "t long, h long, root long, n long"))
+    several = rows.groupBy("t").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    met = rows.join(several.select("t", F.expr(f"cast(ceil(m / {block}) as int)").alias("blocks")), "t")
+    left = met.withColumn("block", F.expr("pmod(xxhash64(h, t), blocks)"))
+    right = met.select("t", F.explode(F.expr("sequence(0L, blocks - 1L)")).alias("block"), F.col("h").alias("o"), F.col("root").alias("other"), F.col("n").alias("size"))
+    near = left.join(right, ["t", "block"]).where(f"h > o and root <> other and least(n, size) >= {threshold} * greatest(n, size) - 1e-6")
+    # Shingles that two sets share lie in both prefixes or behind the end of one: too few in the prefixes are too few in all.
+    shared_first = near.groupBy(F.col("h").alias("a"), F.col("o").alias("b")).agg(F.count("*").alias("k"), F.first("n").alias("n"), F.first("size").alias("size"))
+    behind = f"greatest(ceil({threshold} * n - 1e-9), ceil({threshold} * size - 1e-9)) - 1"
+    return stored(shared_first.where(f"k + {behind} >= {threshold} / (1 + {threshold}) * (n + size) - 1e-6").select("a", "b"))
+
+
 def similar_texts(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Links (a, b) of text hashes whose components are those of all pairs of texts that share a bag and reach the threshold."""
     keyed = docs.select(text_hash().alias("h"), "text")
     sketch = stored(keyed.mapInArrow(_sketch, "h long, level byte, bag byte, fp long").distinct())
     bag = ["level", "bag", "fp"]
-    heads = sketch.groupBy(*bag).agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi")
-    near = sketch.join(heads, bag).select(F.explode(F.array(F.struct("h", F.col("lo").alias("o")), F.struct("h", F.col("hi").alias("o")))).alias("p")).where("p.h <> p.o")
+    sizes = sketch.groupBy(*bag).agg(F.count("*").alias("n")).where("n > 1")
+    met = stored(sketch.join(sizes, bag))
+    weight = met.groupBy("h").agg(F.sum("n").alias("w"))
+    heads = met.join(weight, "h").groupBy(*bag).agg(F.min("h").alias("lo"), F.max(F.struct("w", "h")).alias("top")).select(*bag, "lo", F.col("top.h").alias("hi"))
+    near = met.join(heads, bag).select(F.explode(F.array(F.struct("h", F.col("lo").alias("o")), F.struct("h", F.col("hi").alias("o")))).alias("p")).where("p.h <> p.o")
     pairs = stored(near.select(F.greatest("p.h", "p.o").alias("a"), F.least("p.h", "p.o").alias("b")).distinct())
     # One row of each text in a pair is read again.
     named = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
@@ -131,8 +197,17 @@ def similar_texts(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         wanted = F.broadcast(wanted)  # 16 bytes a row: 8 MB at most
     texts = docs.select(text_hash().alias("h"), "text", "doc_id").join(wanted.withColumnRenamed("h", "k"), (F.col("h") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("id")))
     sets = stored(texts.select("h", "text").mapInArrow(_sets, "h long, s binary").dropDuplicates(["h"]))
-    both = pairs.join(sets.select(F.col("h").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("h").alias("b"), F.col("s").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(_verify(threshold), "a long, b long")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets.select(F.col("h").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("h").alias("b"), F.col("s").alias("y")), "b")
+        return both.select("a", "b", "x", "y").mapInArrow(_verify(threshold), "a long, b long")
+
+    links = stored(verified(pairs))
+    # Texts of bags that hold several components, against each other.
+    rooted = met.join(components(links).withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
+    split = rooted.groupBy(*bag).agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select(*bag)
+    live = stored(rooted.join(split, bag).select("h", "root").distinct().join(sets, "h"))
+    return links.union(verified(unlinked_pairs(live, threshold)))
 
 
 def deduplicate(docs: DataFrame, threshold: float = THRESHOLD, max_bits: int = 2) -> DataFrame:

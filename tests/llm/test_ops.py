@@ -333,6 +333,46 @@ def test_near_copies_go(spark):
     assert sorted(r.doc_id for r in similar.deduplicate(repeated).collect()) == [0, 4, 5, 6]
 
 
+def shingle_set(text):
+    return similar.shingle_sets(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))[0]
+
+
+def jaccard(x, y):
+    return len(np.intersect1d(x, y)) / len(np.union1d(x, y))
+
+
+def variants(base, many, changed, seed):
+    out = []
+    for k in range(many):
+        words = list(base)
+        for j, at in enumerate(np.random.default_rng(seed + k).choice(np.arange(5, len(base) - 5, 6), changed, replace=False)):
+            words[at] = f"v{k}x{j}"
+        out.append(" ".join(words))
+    return out
+
+
+def test_copies_of_one_original_go(spark):
+    # 100 variants at 0.85 to the original and under 0.8 to nearly all others.
+    base = prose(304, 21).split()
+    said = [" ".join(base), *variants(base, 100, 5, 1000)]
+    sets = [shingle_set(t) for t in said]
+    assert all(0.83 < jaccard(sets[0], s) < 0.87 for s in sets[1:])
+    assert sum(jaccard(x, y) >= 0.8 for k, x in enumerate(sets[1:]) for y in sets[1 : k + 1]) < 500
+    df = spark.createDataFrame([(k, t, "s") for k, t in enumerate(said)], "doc_id long, text string, source string")
+    assert [r.doc_id for r in similar.deduplicate(df).collect()] == [0]
+
+
+@pytest.mark.parametrize("block", [1000, 7])
+def test_unlinked_pairs_are_all_found(spark, block):
+    bases = [prose(n, 40 + n).split() for n in (20, 60, 150)]
+    said = [t for k, b in enumerate(bases) for c in range(5) for t in variants(b, 8, min(c, (len(b) - 10) // 6), 100 * k + 10 * c)]
+    sets = {int(k): s for k, s in enumerate(map(shingle_set, sorted(set(said))))}
+    rows_ = [(k, k % 11, bytearray(s.tobytes())) for k, s in sets.items()]
+    pairs = {(r.a, r.b) for r in similar.unlinked_pairs(spark.createDataFrame(rows_, "h long, root long, s binary"), 0.8, block).collect()}
+    want = {(a, b) for a in sets for b in sets if a > b and a % 11 != b % 11 and jaccard(sets[a], sets[b]) >= 0.8}
+    assert want and want <= pairs and all(a % 11 != b % 11 for a, b in pairs)
+
+
 # --- 9 -----------------------------------------------------------------------
 
 
