@@ -10,7 +10,8 @@ writes the same records.
 Scale: one pass, no shuffle; a record is held in memory with its derivatives.
 
 Defined cases: a null page is an empty payload, a null url leaves out the target; a
-page of any length is converted whole; repeated pages give repeated records; bytes
+page of any length is converted whole but for nav, footer and what is not shown (an
+unclosed head holds its title, scripts and the like, other unclosed elements nothing); repeated pages give repeated records; bytes
 that are no UTF-8 are replaced; a record that is no valid response gives one row of
 type ``error`` with the reason and no record; an empty table gives an empty result;
 other columns are ignored.
@@ -35,7 +36,8 @@ from .common import read_table
 VERSION = b"WARC/1.1"
 DATE = "1970-01-01T00:00:00Z"
 KEPT_HEADERS = ("WARC-IP-Address", "WARC-Warcinfo-ID", "WARC-Block-Digest", "WARC-Payload-Digest", "WARC-Truncated")
-_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|nav|footer|head)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
+_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|nav|footer|head|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.I | re.S)
+_CLOSE = {x: re.compile(rf"</{x}\s*>", re.I) for x in ("script", "style", "noscript", "template", "svg", "nav", "footer", "head", "title")}
 _BLOCK = re.compile(r"</?(?:p|div|br|li|ul|ol|tr|table|h[1-6]|article|section|header|main|aside|blockquote|pre|hr|dd|dt|dl)\b[^>]*>", re.I)
 _CELL = re.compile(r"</t[dh]\s*>", re.I)
 _TAG = re.compile(r"<(?:/?[a-zA-Z]|!)(?:[^>\"']|\"[^\"]*\"|'[^']*')*>")
@@ -87,9 +89,27 @@ def response(page_id, url: str | None, page: str | None, date: str = DATE) -> by
     return write_record([*headers, ("Content-Type", "application/http; msgtype=response"), ("WARC-Block-Digest", digest(http + payload)), ("WARC-Payload-Digest", sum_)], http + payload)
 
 
+def without_hidden(page: str) -> str:
+    """The page without comments and hidden elements; of one that nothing closes only the tag is hidden (script and style run to the end)."""
+    out, at, kept, unclosed = [], 0, 0, set()
+    while m := _HIDDEN.search(page, at):
+        name, at = (m[1] or "").lower(), m.end()
+        if name in unclosed or name == "title" and "head" not in unclosed:
+            continue
+        if name:
+            close = _CLOSE[name].search(page, at)
+            if not close and name not in ("script", "style"):
+                unclosed.add(name)
+                continue
+            at = close.end() if close else len(page)
+        out += [page[kept : m.start()], " "]
+        kept = at
+    return "".join([*out, page[kept:]])
+
+
 def plain_text(page: str) -> str:
     """Visible text: blocks on lines of their own, runs of blanks as one, character references resolved."""
-    text = _HIDDEN.sub(" ", page)
+    text = without_hidden(page)
     text = _CELL.sub("\t", text)
     text = _BLOCK.sub("\n", text)
     text = html.unescape(_TAG.sub("", text))

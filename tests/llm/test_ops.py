@@ -233,6 +233,13 @@ def test_warc_records(spark):
     assert warc.derivatives(warc.responses(df.limit(0))).count() == 0
 
 
+def test_unclosed_elements_hide_nothing_after_them():
+    assert warc.plain_text("<html><head><title>T</title><script>a('<p>')</script><meta charset=x><body><p>one</p>two") == "one\ntwo"
+    for tag in ("nav", "footer", "noscript", "svg", "template"):
+        assert warc.plain_text(f"<p>a</p><{tag} class='x'>b<p>c") == "a\nb\nc"
+    assert warc.plain_text("<nav>x</nav>a<!-- b --><style>c</style>d<script>e") == "a d"
+
+
 # --- 7 -----------------------------------------------------------------------
 
 
