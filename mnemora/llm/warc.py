@@ -35,7 +35,8 @@ from .common import read_table
 
 VERSION = b"WARC/1.1"
 DATE = "1970-01-01T00:00:00Z"
-KEPT_HEADERS = ("WARC-IP-Address", "WARC-Warcinfo-ID", "WARC-Block-Digest", "WARC-Payload-Digest", "WARC-Truncated")
+#: Source headers that the derivatives' own say; all others are kept in the metadata record.
+RESTATED = ("warc-type", "warc-record-id", "warc-date", "warc-target-uri", "content-type", "content-length")
 _HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|nav|footer|head|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.I | re.S)
 _CLOSE = {x: re.compile(rf"</{x}\s*>", re.I) for x in ("script", "style", "noscript", "template", "svg", "nav", "footer", "head", "title")}
 _BLOCK = re.compile(r"</?(?:p|div|br|li|ul|ol|tr|table|h[1-6]|article|section|header|main|aside|blockquote|pre|hr|dd|dt|dl)\b[^>]*>", re.I)
@@ -157,7 +158,7 @@ def derive(record: bytes) -> list[tuple]:
         return name, write_record([*head, ("Content-Type", mime), ("WARC-Block-Digest", digest(body)), ("WARC-Payload-Digest", digest(body))], body)
 
     fields = [("title", html.unescape(" ".join(title[1].split())) if title else ""), ("charset", charset), ("payload-digest", digest(payload)), ("http-status", http.split(b"\r\n")[0].decode("latin-1"))]
-    fields += [(f"source-{k.lower()}", v) for k, v in headers if k in KEPT_HEADERS]
+    fields += [(f"source-{k.lower()}", v) for k, v in headers if k.lower() not in RESTATED]
     fields += [("http-header", line.decode("latin-1")) for line in http.split(b"\r\n")[1:]]
     fields += [("outlink", x) for x in found]
     info = "".join(f"{k}: {' '.join(v.split())}\r\n" for k, v in fields).encode()

@@ -240,6 +240,13 @@ def test_unclosed_elements_hide_nothing_after_them():
     assert warc.plain_text("<nav>x</nav>a<!-- b --><style>c</style>d<script>e") == "a d"
 
 
+def test_source_headers_are_kept():
+    headers = [("WARC-Type", "response"), ("WARC-Record-ID", "<urn:x:1>"), ("warc-payload-digest", "sha1:A"), ("WARC-Profile", "p"), ("X-Own", "o"), ("warc-date", warc.DATE)]
+    record = warc.write_record(headers, b"HTTP/1.1 200 OK\r\n\r\nhello")
+    _, info = warc.read_record(warc.derive(record)[0][-1])
+    assert [x for x in info.decode().split("\r\n") if x.startswith("source-")] == ["source-warc-payload-digest: sha1:A", "source-warc-profile: p", "source-x-own: o"]
+
+
 # --- 7 -----------------------------------------------------------------------
 
 
