@@ -1,19 +1,21 @@
 """Quality classifier of supervised subword embeddings (operator 2).
 
-Every word and every character n-gram of a word (in bytes, with the spaces around the
-word as its marks) is hashed to one of ``BUCKETS`` vectors; a word equal to the
-one before it also counts as ``STUTTER`` features of one bucket of their own, as
-no hash of the word itself can say that it is repeated. A document is the
-average of its features' vectors, and a softmax layer over it gives the classes.
-Vectors and layer are trained together by stochastic gradient descent in numpy,
-on a bounded sample of the labelled rows: the ``SAMPLE`` labelled ids of the
-smallest hash, of texts up to ``SAMPLE_CHARS`` characters. Nothing else is
+Every word, every pair of neighbouring words and every character n-gram of a word
+(with the spaces around the word as its marks) is hashed to one of ``BUCKETS``
+vectors. As no hash says that a word repeats the one before it, a run of 2, 3, ...
+``RUN`` equal words is a feature too, each length with a vector of its own that is
+learned as the others are. A document is the average of its features' vectors, and a softmax layer
+over it gives the classes. Vectors and layer are trained together by stochastic
+gradient descent in numpy, on a bounded sample of the labelled rows: the ``SAMPLE``
+labelled ids of the smallest hash, each with its whole text. Nothing else is
 sampled: scoring reads every whole text.
 
 The logit is linear in the features, so for scoring each bucket's vector is
 folded into one number (its product with the softmax layer), and a text's logit is
 the mean of its features' numbers: one table look-up per feature, by numpy over a
-chunk of documents, no shuffle, a 1 MB model in the broadcast.
+chunk of documents, no shuffle, a 1 MB model in the broadcast. The features of the
+training rows are counted where the texts are and written to the shared folder; the
+driver holds ``PART_BYTES`` of them at a time, whatever the texts' length.
 
 Defined cases: a null or blank text has no features and gets the score of the
 layer's bias; labels that are null, or of ids without a document, teach nothing;
@@ -24,15 +26,16 @@ doc_id and text are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, Prefix, chunks, per_doc, read_table, words_of
+from .common import SPACE, Prefix, chunks, mix, per_doc, powers, read_table, stored, words_of
 
 BUCKETS = 1 << 18
 DIMENSIONS = 16
@@ -40,94 +43,148 @@ GRAMS = (3, 4, 5)
 EPOCHS = 3
 RATE = 0.5
 SAMPLE = 4000
-SAMPLE_CHARS = 200_000
+PART_BYTES = 128 << 20
+#: Longest run of equal words that has a vector of its own, and the rows of the table.
+RUN = 5
+ROWS = BUCKETS + RUN - 1
 THRESHOLD = 0.3
-STUTTER = 6
 _SHIFT = np.uint64(64 - 18)
 
 
 @dataclass(frozen=True)
 class Model:
-    weights: np.ndarray  # of the buckets, float32
+    weights: np.ndarray  # of the rows, float32
     bias: float
 
 
-def _grams(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each n-gram length: bucket of the n-gram at each byte, and whether it counts (no space inside, all in one text)."""
-    spaced = np.where(SPACE[data], np.uint8(32), data)
-    prefix = Prefix(spaced)
-    word = spaced != 32
-    at = np.arange(len(data))
+def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """For each n-gram length the bucket of the n-gram at each character and whether it counts (no space inside, all in one text); the texts' offsets in characters."""
+    chars = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    begins = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[offsets] if len(chars) != len(data) else offsets
+    low = np.minimum(chars, 255).astype(np.uint8)
+    word = ~SPACE[low] | (chars > 255)
+    # The letters' own hashes, with powers of a base by position: as in Prefix, over characters.
+    up, down = powers(len(chars) + 1)
+    sums = np.zeros(len(chars) + 1, np.uint64)
+    np.cumsum(mix(np.where(word, chars, 32).astype(np.uint64)) * up[: len(chars)], out=sums[1:])
+    out = []
     for n in GRAMS:
-        m = len(data) - n + 1
+        m = len(chars) - n + 1
         if m <= 0:
             continue
         ok = word[1 : m + 1].copy()
         for k in range(2, n - 1):
             ok &= word[k : m + k]
-        over = (offsets[1:-1, None] - np.arange(1, n)[None, :]).ravel()
+        over = (begins[1:-1, None] - np.arange(1, n)[None, :]).ravel()
         ok[over[(over >= 0) & (over < m)]] = False
-        yield (prefix.raw(at[:m], at[:m] + n) * np.uint64(2 * n + 1) * np.uint64(0x9E3779B97F4A7C15) >> _SHIFT).astype(np.int32), ok
+        out.append((((sums[n:] - sums[:m]) * down[:m] * np.uint64(2 * n + 1) * np.uint64(0x9E3779B97F4A7C15) >> _SHIFT).astype(np.int32), ok))
+    return out, begins
 
 
 def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and documents of the words, of the pairs of neighbours and of the runs of equal words that end at each."""
     start, end, doc = words_of(data, offsets)
     hashes = Prefix(data).of(start, end)
-    again = doc[1:][(hashes[1:] == hashes[:-1]) & (doc[1:] == doc[:-1])]
-    return np.concatenate(((hashes >> _SHIFT).astype(np.int32), np.zeros(STUTTER * len(again), np.int32))), np.concatenate((doc, np.repeat(again, STUTTER)))
+    if not len(hashes):
+        return np.zeros(0, np.int32), doc
+    near = doc[1:] == doc[:-1]
+    pairs = mix(hashes[:-1] * np.uint64(0xA24BAED4963EE407) + hashes[1:])[near]
+    rows, docs = [(np.concatenate((hashes, pairs)) >> _SHIFT).astype(np.int32)], [doc, doc[1:][near]]
+    run = np.concatenate(([False], near & (hashes[1:] == hashes[:-1])))
+    for k in range(RUN - 1):
+        at = np.flatnonzero(run)
+        rows.append(np.full(len(at), BUCKETS + k, np.int32))
+        docs.append(doc[at])
+        run[1:] &= run[:-1].copy()  # one word longer
+        run[0] = False
+    return np.concatenate(rows), np.concatenate(docs)
 
 
 def features(text: bytes) -> tuple[np.ndarray, np.ndarray, int]:
     """Distinct buckets of a text, how often each occurs, and the number of features."""
     data = np.frombuffer(text, np.uint8)
     offsets = np.array([0, len(data)])
-    parts = [_words(data, offsets)[0], *(b[ok] for b, ok in _grams(data, offsets))]
+    parts = [_words(data, offsets)[0], *(b[ok] for b, ok in _grams(data, offsets)[0])]
     all_ = np.concatenate(parts)
-    counts = np.bincount(all_, minlength=BUCKETS) if len(all_) > 50_000 else None
+    counts = np.bincount(all_, minlength=ROWS) if len(all_) > 50_000 else None
     if counts is not None:
-        found = np.flatnonzero(counts)
+        found = np.flatnonzero(counts).astype(np.int32)
         return found, counts[found].astype(np.float32), len(all_)
     found, counts = np.unique(all_, return_counts=True)
     return found, counts.astype(np.float32), len(all_)
 
 
-def train(rows: list[tuple[bytes, int]], epochs: int = EPOCHS, rate: float = RATE, seed: int = 0) -> Model:
-    """rows: (text, label 0 or 1)."""
-    labels = {y for _, y in rows}
+#: A training row: buckets, how often each occurs, number of features, label 0 or 1.
+Row = tuple[np.ndarray, np.ndarray, int, int]
+
+
+def train(parts: Sequence[Callable[[], list[Row]]], labels: set[int], total: int, epochs: int = EPOCHS, rate: float = RATE, seed: int = 0) -> Model:
+    """parts: each gives its training rows, when called; total: rows of all parts; labels: those that occur."""
     if len(labels) < 2:
-        return Model(np.zeros(BUCKETS, np.float32), {frozenset(): 0.0, frozenset({0}): -20.0, frozenset({1}): 20.0}[frozenset(labels)])
+        return Model(np.zeros(ROWS, np.float32), {frozenset(): 0.0, frozenset({0}): -20.0, frozenset({1}): 20.0}[frozenset(labels)])
     rng = np.random.default_rng(seed)
-    e = rng.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (BUCKETS, DIMENSIONS)).astype(np.float32)
+    e = rng.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (ROWS, DIMENSIONS)).astype(np.float32)
     w, b = np.zeros((DIMENSIONS, 2), np.float32), np.zeros(2, np.float32)
-    done, total = 0, epochs * len(rows)
+    done = 0
     for _ in range(epochs):
-        for k in rng.permutation(len(rows)):
-            text, y = rows[k]
-            found, counts, n = features(text)
-            lr = np.float32(rate * (1 - done / total))
-            done += 1
-            share = counts / max(n, 1)
-            vectors = e[found]
-            h = share @ vectors
-            z = h @ w + b
-            p = np.exp(z - z.max())
-            p /= p.sum()
-            p[y] -= 1
-            back = w @ p
-            w -= lr * np.outer(h, p)
-            b -= lr * np.float32(0.1) * p
-            e[found] = vectors - lr * np.outer(share * np.float32(min(n, 1000)), back) / np.float32(20)
+        for part in rng.permutation(len(parts)):
+            rows = parts[part]()
+            for k in rng.permutation(len(rows)):
+                found, counts, n, y = rows[k]
+                lr = np.float32(rate * (1 - done / (epochs * total)))
+                done += 1
+                share = counts / max(n, 1)
+                vectors = e[found]
+                h = share @ vectors
+                z = h @ w + b
+                p = np.exp(z - z.max())
+                p /= p.sum()
+                p[y] -= 1
+                back = w @ p
+                w -= lr * np.outer(h, p)
+                b -= lr * np.float32(0.1) * p
+                e[found] = vectors - lr * np.outer(share * np.float32(min(n, 1000)), back) / np.float32(20)
     layer = w[:, 1] - w[:, 0]
     return Model(e @ layer, float(b[1] - b[0]))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, column: str = "quality") -> list[tuple[bytes, int]]:
-    """The training rows; labels is filtered by the caller."""
-    ids = labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(column).cast("int").alias("y"))
+def train_texts(rows: list[tuple[bytes, int]], **options) -> Model:
+    """rows: (text, label 0 or 1), all in memory."""
+    made = [(*features(t), y) for t, y in rows]
+    return train([lambda: made], {y for _, y in rows}, len(rows), **options)
+
+
+def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, column: str = "quality") -> DataFrame:
+    """doc_id, y, buckets, counts, n of the training rows, stored; labels is filtered by the caller."""
+    ids = labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max(column) > 0).cast("int").alias("y"))
     chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_CHARS)
-    one = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))  # at most `sample` rows
-    return [(r.text.encode(), int(r.y > 0)) for r in sorted(one.collect(), key=lambda r: r.doc_id)]
+    one = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))  # at most `sample` rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                found, counts, n = features((batch.column(2)[k].as_py() or "").encode())
+                yield pa.RecordBatch.from_arrays([*(c.slice(k, 1) for c in batch.columns[:2]), pa.array([found.tobytes()]), pa.array([counts.tobytes()]), pa.array([n])], names=["doc_id", "y", "buckets", "counts", "n"])
+
+    return stored(one.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y int, buckets binary, counts binary, n long"))
+
+
+def fit_rows(rows: DataFrame, part_bytes: int = PART_BYTES, **options) -> Model:
+    """Trains on the rows of labelled(), in parts that the driver reads one at a time."""
+    size, total = rows.agg(F.sum(2 * F.length("buckets")), F.count("*")).first()
+    n = max(1, -(-int(size or 0) // part_bytes))
+    held: list[list[Row]] = []
+
+    def part(k: int) -> list[Row]:
+        if held:
+            return held[0]
+        mine = rows.where(F.expr(f"pmod(xxhash64(doc_id), {n}) = {k}")).collect()
+        made = [(np.frombuffer(r.buckets, np.int32), np.frombuffer(r.counts, np.float32), r.n, r.y) for r in sorted(mine, key=lambda r: r.doc_id)]
+        if n == 1:
+            held.append(made)
+        return made
+
+    return train([partial(part, k) for k in range(n)], {r.y for r in rows.select("y").distinct().collect()}, total, **options)
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -141,10 +198,11 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFram
                 bucket, doc = _words(data, offsets)
                 total = np.bincount(doc, weights=weights[bucket], minlength=b - a)
                 count = np.bincount(doc, minlength=b - a).astype(float)
-                for grams, ok in _grams(data, offsets):
-                    pad = np.zeros(len(data) - len(ok))
-                    total += per_doc(np.concatenate((np.where(ok, weights[grams], 0).astype(np.float64), pad)), offsets)
-                    count += per_doc(np.concatenate((ok, pad)), offsets)
+                made, begins = _grams(data, offsets)
+                for grams, ok in made:
+                    pad = np.zeros(begins[-1] - len(ok))
+                    total += per_doc(np.concatenate((np.where(ok, weights[grams], 0).astype(np.float64), pad)), begins)
+                    count += per_doc(np.concatenate((ok, pad)), begins)
                 z = np.clip(total / np.maximum(count, 1) + bias, -30, 30)
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[1:]), pa.array(1 / (1 + np.exp(-z)))], names=[*batch.schema.names[1:], "score"])
 
@@ -158,7 +216,7 @@ def held_out():
 
 
 def fit(spark, docs: DataFrame, sf_dir: str) -> Model:
-    return train(labelled(docs, read_table(spark, sf_dir, "labels").where(~held_out())))
+    return fit_rows(labelled(docs, read_table(spark, sf_dir, "labels").where(~held_out())))
 
 
 def op2_subword_quality(spark, sf_dir: str) -> DataFrame:
