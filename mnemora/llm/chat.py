@@ -14,9 +14,12 @@ up its text. Template: ``### Role: text</turn>\n`` for each turn; in roles and t
 so no marker occurs inside and the change is reversible. The loss mask is a list of
 [start, end) code point offsets of assistant texts.
 
-Scale: the fold is grouped by (conversation, message), so a conversation that
-holds a third of all events is folded by many tasks; only its final messages meet,
-as its rendering is one row of the output (and so must fit a row, 2 GB).
+Places and sequence numbers may be of any type that has an order. Regenerations are
+taken from a conversation's messages in order, at the end.
+
+Scale: events are numbered within a turn and folded by (conversation, message), so a
+conversation that holds a third of all events is folded by many tasks; only its final
+messages meet, as its rendering is one row of the output (and so must fit a row, 2 GB).
 
 Defined cases: null texts and roles are empty; a null conv_id is a conversation
 of its own; events of equal seq are ordered by kind, role and text; deltas and edits
@@ -61,16 +64,25 @@ def unescape_role(c: Column) -> Column:
 
 
 def as_events(conversations: DataFrame) -> DataFrame:
-    """A log as a streaming client writes it: every row opens a message and arrives in two deltas."""
-    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
-    rows = conversations.select("conv_id", F.row_number().over(order).cast("long").alias("msg"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    """A log as a streaming client writes it.
+
+    Every row opens a message and arrives in two deltas. A message of the assistant is
+    first drafted backwards and regenerated; any other is first sent short and edited.
+    A message's place is its turn with the number of its row among those of the turn, so
+    that no more than a turn's rows are numbered together.
+    """
+    order = Window.partitionBy("conv_id", "turn").orderBy(F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
+    rows = conversations.select("conv_id", "turn", F.row_number().over(order).alias("k"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     half = F.floor(F.length("text") / 2).cast("int")
-    parts = F.array(
-        F.struct(F.lit(0).alias("k"), F.lit("message").alias("kind"), F.lit("").alias("text")),
-        F.struct(F.lit(1).alias("k"), F.lit("delta").alias("kind"), F.substring("text", F.lit(1), half).alias("text")),
-        F.struct(F.lit(2).alias("k"), F.lit("delta").alias("kind"), F.substring("text", half + 1, F.length("text")).alias("text")),
+    begun, rest = F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.length("text"))
+    event = lambda k, kind, text: F.struct(F.lit(k).alias("step"), F.lit(kind).alias("kind"), text.alias("text"))
+    none = F.lit("")
+    drafted = F.array(event(0, "message", none), event(1, "delta", F.reverse("text")), event(2, "regenerate", none), event(3, "delta", begun), event(4, "delta", rest))
+    sent = F.array(event(0, "message", begun), event(1, "edit", begun), event(2, "delta", rest))
+    place = F.struct("turn", "k")
+    return rows.select("conv_id", place.alias("msg"), "role", F.explode(F.when(F.col("role") == "assistant", drafted).otherwise(sent)).alias("e")).select(
+        "conv_id", F.struct("msg.turn", "msg.k", "e.step").alias("seq"), "e.kind", "msg", "role", "e.text"
     )
-    return rows.select("conv_id", "msg", "role", F.explode(parts).alias("e")).select("conv_id", (F.col("msg") * 3 + F.col("e.k")).alias("seq"), "e.kind", "msg", "role", "e.text")
 
 
 def fold(events: DataFrame) -> DataFrame:
