@@ -13,6 +13,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -119,48 +120,101 @@ def chunks(texts: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, int, np.nd
 
 # --- shared folder -----------------------------------------------------------
 
+#: Folders that stored() made, by application, oldest first.
+_MADE: dict[str, list[str]] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset (tests), below a temporary one."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder below spark.checkpoint.dir; where that is unset and Spark is local (tests), below a temporary one."""
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
+        set_dir = context._jsc.sc().getCheckpointDir()
         root = set_dir.get() if set_dir.isDefined() else None
     if not root:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="mnemora-")
         atexit.register(shutil.rmtree, root, ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/mnemora-{uuid.uuid4().hex}"
+        context.setCheckpointDir(root)
+    return f"{root.rstrip('/')}/mnemora-{context.applicationId}/{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """Writes df as a Parquet table in the shared folder and reads it: cuts lineage, survives lost executors."""
-    path = shared_folder(df.sparkSession)
+    """Writes df as a Parquet table in the shared folder and reads it: cuts lineage, survives lost executors.
+
+    The folder goes when the driver's process ends, or before by drop_stored() or scratch().
+    """
+    spark = df.sparkSession
+    path = shared_folder(spark)
+    if not _MADE:
+        atexit.register(_drop_all)
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _drop_all() -> None:
+    spark = SparkSession.getActiveSession()
+    for path in _MADE.pop(spark.sparkContext.applicationId, ()) if spark is not None else ():
+        _delete(spark, path)
 
 
 def drop_stored(df: DataFrame) -> None:
     """Removes the folder of a table made by stored(); only for tables that no later plan reads."""
     spark = df.sparkSession
     for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, f)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Removes what stored() wrote inside the block, but for the tables that the block appends to the list."""
+    name = spark.sparkContext.applicationId
+    before, keep = len(_MADE.get(name, ())), []
+    yield keep
+    kept = {f.rpartition("/")[0].rpartition("/")[2] for df in keep for f in df.inputFiles()}
+    for path in _MADE.get(name, [])[before:]:
+        if path.rpartition("/")[2] not in kept:
+            _delete(spark, path)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+HOT_KEYS = 20_000
+
+
+def skewed_join(rows: DataFrame, table: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """rows with the columns of table, which has each key once and in n how many of the `total` rows have it.
+
+    Keys of more than one row in HOT_KEYS are that many at most: they are joined by
+    broadcast, so their rows meet in no task.
+    """
+    limit = max(1000, total // HOT_KEYS)
+    hot = F.broadcast(table.where(F.col(n) > limit).drop(n))
+    usual = rows.join(hot.select(key), key, "left_anti").join(table.where(F.col(n) <= limit).drop(n), key)
+    return usual.unionByName(rows.join(hot, key))
+
+
 # --- connected components ----------------------------------------------------
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, rounds: int = 100) -> DataFrame:
     """(node, root): the smallest node reachable over links (a, b), by alternating large and small stars.
 
     Each round is two aggregations over the links and is written to the shared
     folder, so no lineage grows; the number of rounds is logarithmic in the
-    longest chain. Nodes without links are not returned.
+    longest chain, and more than `rounds` of them raise an error. The star of a large
+    component is one key of the joins: minima are taken before the shuffle, and the
+    rows of such a key are split by Spark's skew join. Nodes without links are not
+    returned.
     """
     now = stored(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     sign = None
@@ -178,4 +232,6 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         if seen == sign:
             break
         sign = seen
+    else:
+        raise RuntimeError(f"components are not found after {rounds} rounds")
     return now.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root").union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

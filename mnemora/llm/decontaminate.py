@@ -5,7 +5,9 @@ item is the set of its 5-word shingles (of all its words, if it has fewer). Item
 partitioned by size into classes (U/2, U], U a power of two. For each class a
 document is read in windows of 1.5 U shingles, one every U/2, so every run of
 U shingles lies in some window whatever the document's length, and a copy's
-similarity to its window is bounded below whatever surrounds it. Windows and
+similarity to its window is bounded below whatever surrounds it. Items of ``EXACT``
+shingles or fewer, too small for signatures, are looked up by each of their shingles,
+which misses none. Windows and
 items have MinHash signatures of ``HASHES`` values; one equal value makes a
 candidate (an item that the document contains to 0.8 is missed with a
 probability of 1e-4 at most, verbatim copies of 1e-6), and every
@@ -34,12 +36,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Prefix, chunks, read_table, stored, windows, words_of
+from .common import Prefix, chunks, drop_stored, read_table, stored, windows, words_of
 
 SHINGLE = 5
 THRESHOLD = 0.8
 HASHES = 32
-SMALLEST = 4
+#: Items of so many shingles or fewer are looked up by their shingles.
+EXACT = 4
+SMALLEST = 2 * EXACT
 BLOCK_SHINGLES = 1 << 20
 TABLE_BITS = 20
 
@@ -85,20 +89,29 @@ class Lookup:
     def __init__(self, items: Items):
         self.items = items
         self.by_class: dict[tuple[int, int], list[tuple[np.uint64, np.ndarray, np.ndarray, np.ndarray]]] = {}
+        self.exact: dict[int, tuple[np.uint64, np.ndarray, np.ndarray, np.ndarray]] = {}
         groups: dict[tuple[int, int], list[int]] = {}
+        small: dict[int, list[int]] = {}
         for k, s in enumerate(items.sets):
-            groups.setdefault((items.widths[k], class_of(len(s))), []).append(k)
+            if len(s) <= EXACT:
+                small.setdefault(items.widths[k], []).append(k)
+            else:
+                groups.setdefault((items.widths[k], class_of(len(s))), []).append(k)
         for key, members in groups.items():
-            bits = min(TABLE_BITS, max(10, (64 * len(members) - 1).bit_length()))
-            shift = np.uint64(64 - bits)
-            rows = []
-            for a in _ODD:
-                values = np.array([(items.sets[k] * a).min() for k in members])
-                order = np.argsort(values, kind="stable")
-                hit = np.zeros(1 << bits, bool)
-                hit[values >> shift] = True
-                rows.append((shift, hit, values[order], np.array(members)[order]))
-            self.by_class[key] = rows
+            self.by_class[key] = [self.table(np.array([(items.sets[k] * a).min() for k in members]), np.array(members)) for a in _ODD]
+        for width, members in small.items():
+            sizes = [len(items.sets[k]) for k in members]
+            self.exact[width] = self.table(np.concatenate([items.sets[k] for k in members]), np.repeat(members, sizes))
+        self.widths = sorted({w for w, _ in groups} | set(small))
+
+    @staticmethod
+    def table(values: np.ndarray, members: np.ndarray) -> tuple[np.uint64, np.ndarray, np.ndarray, np.ndarray]:
+        bits = min(TABLE_BITS, max(10, (64 * len(values) - 1).bit_length()))
+        shift = np.uint64(64 - bits)
+        order = np.argsort(values, kind="stable")
+        hit = np.zeros(1 << bits, bool)
+        hit[values >> shift] = True
+        return shift, hit, values[order], members[order]
 
 
 _LOOKUPS: dict[int, tuple[Items, Lookup]] = {}
@@ -128,6 +141,21 @@ def candidates(found: np.ndarray, broken: np.ndarray, doc: np.ndarray, width: in
     """
     classes = sorted(u for w, u in items.by_class if w == width)
     first, last, item = [], [], []
+
+    def collect(values: np.ndarray, table: tuple, size: int, reach: int) -> None:
+        shift, hit, known, members = table
+        at = np.flatnonzero(hit[values >> shift])
+        lo, hi = np.searchsorted(known, values[at], "left"), np.searchsorted(known, values[at], "right")
+        for p, x, y in zip(at[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
+            for m in members[x:y].tolist():
+                first.append(p * size)
+                last.append(min((p + reach) * size, len(found)) - 1)
+                item.append(m)
+
+    if width in items.exact and len(found):
+        whole = found.copy()
+        whole[broken] = _NONE
+        collect(whole, items.exact[width], 1, 1)
     for j, a in enumerate(_ODD if classes and len(found) else ()):
         size = SMALLEST // 2
         hashed = found * a
@@ -140,14 +168,7 @@ def candidates(found: np.ndarray, broken: np.ndarray, doc: np.ndarray, width: in
             window = low.copy()
             np.minimum(window[:-1], low[1:], out=window[:-1])
             np.minimum(window[:-2], low[2:], out=window[:-2])
-            shift, hit, values, members = items.by_class[(width, u)][j]
-            at = np.flatnonzero(hit[window >> shift])
-            lo, hi = np.searchsorted(values, window[at], "left"), np.searchsorted(values, window[at], "right")
-            for p, x, y in zip(at[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
-                for m in members[x:y].tolist():
-                    first.append(p * size)
-                    last.append(min((p + 3) * size, len(found)) - 1)
-                    item.append(m)
+            collect(window, items.by_class[(width, u)][j], size, 3)
     pairs = set(zip(doc[first].tolist(), doc[last].tolist(), item, strict=True)) if first else ()
     return {(d, i) for x, y, i in pairs for d in range(x, y + 1)}
 
@@ -156,14 +177,13 @@ def _search(shared, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: Items = shared.value
         table = lookup(items)
-        widths = sorted({w for w, _ in table.by_class})
         for batch in batches:
             ids = batch.column(0)
             rows: list[tuple] = []
             for a, b, data, offsets in chunks(batch.column(1)):
                 words, doc = word_hashes(data, offsets)
                 cut = np.searchsorted(doc, np.arange(b - a + 1))
-                for width in widths:
+                for width in table.widths:
                     found = windows(words, width)
                     broken = np.ones(len(words), bool)
                     broken[: max(0, len(words) - width + 1)] = doc[width - 1 :] != doc[: max(0, len(doc) - width + 1)]
@@ -227,18 +247,21 @@ def search(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
     schema = f"doc_id {kind}, item_id long, n_shingles long, containment double"
     lowered = docs.select("doc_id", F.lower("text").alias("text"))
     out = None
-    for block in item_blocks(item_shingles(benchmark, shingle), most):
+    items = item_shingles(benchmark, shingle)
+    for block in item_blocks(items, most):
         found = lowered.mapInArrow(_search(spark.sparkContext.broadcast(block), threshold), schema)
         out = found if out is None else out.union(found)
+    drop_stored(items)
     return out if out is not None else spark.createDataFrame([], schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, all columns, whose text contains no item to the threshold."""
-    tag = F.xxhash64("doc_id", "text")
-    keyed = docs.withColumn("__row", tag)
-    hits = stored(search(docs.select(tag.alias("doc_id"), "text"), benchmark, threshold).select("doc_id").distinct())
-    return keyed.join(hits.withColumnRenamed("doc_id", "__row"), "__row", "left_anti").select(*docs.columns)
+    # The rows travel as one column, so that no name of theirs can clash; rows equal in id and text are judged alike.
+    whole = docs.select(F.struct("*").alias("doc"), F.xxhash64("doc_id", "text").alias("key"), F.xxhash64("text", "doc_id").alias("check"))
+    named = whole.select(F.struct("key", "check").alias("doc_id"), F.col("doc.text").alias("text"))
+    hits = stored(search(named, benchmark, threshold).select("doc_id.key", "doc_id.check").distinct())
+    return whole.join(hits, ["key", "check"], "left_anti").select("doc.*")
 
 
 def op3_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:

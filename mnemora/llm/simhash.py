@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, read_table, stored
+from .common import components, read_table, scratch, skewed_join, stored
 
 SEED = 42
 SEGMENTS = 16
@@ -188,12 +188,16 @@ def links(distinct: DataFrame, max_bits: int = 2, hot: int = HOT) -> DataFrame:
 
 def cluster(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
     """doc_id, fp, component_id (smallest doc_id reachable) of every row."""
-    prints = stored(fingerprints(docs, shingle))
-    first = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(links(first, max_bits))
-    members = first.join(roots, first.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    named = members.groupBy("root").agg(F.min("first").alias("component_id")).join(members, "root").select("fp", "component_id")
-    return prints.join(named, "fp")
+    with scratch(docs.sparkSession) as keep:
+        prints = stored(fingerprints(docs, shingle))
+        first = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
+        roots = components(links(first, max_bits))
+        members = first.join(roots, first.fp == roots.node, "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
+        # Two steps, so that a large component is reduced before its members meet.
+        least = members.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("prints"))
+        named = stored(skewed_join(members, least, "root", "prints", first.count()).select("fp", "component_id", "n"))
+        keep += [prints, named]
+    return skewed_join(prints, named, "fp", "n", prints.count()).select("doc_id", "fp", "component_id")
 
 
 def deduplicate(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
@@ -201,26 +205,29 @@ def deduplicate(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFra
 
     Of rows that repeat both id and text, one stays.
     """
-    prints = stored(with_hash(docs, shingle))
-    first = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(links(first, max_bits))
-    members = first.join(roots, first.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
-    # Two steps, so that a large component is reduced before its members meet.
-    of_print = prints.groupBy("fp").agg(F.min(order).alias("w"))
-    winners = of_print.join(members, "fp").groupBy("root").agg(F.min("w").alias("w")).select("w.doc_id", "w.h")
+    with scratch(docs.sparkSession) as keep:
+        prints = stored(with_hash(docs, shingle))
+        first = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+        roots = components(links(first, max_bits))
+        members = first.join(roots, first.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
+        order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+        # Two steps, so that a large component is reduced before its members meet.
+        of_print = prints.groupBy("fp").agg(F.min(order).alias("w"))
+        winners = stored(of_print.join(members, "fp").groupBy("root").agg(F.min("w").alias("w")).select("w.doc_id", "w.h"))
+        keep += [prints, winners]
     return only(docs, prints, winners)
 
 
 def only(docs: DataFrame, prints: DataFrame, winners: DataFrame) -> DataFrame:
     """The rows of docs named by winners (doc_id, h), each once; prints: with_hash(docs)."""
-    hashed = F.xxhash64(F.coalesce("text", F.lit("")))
-    times = prints.groupBy("doc_id", "h").agg(F.count("*").alias("__n")).withColumnRenamed("doc_id", "__id").withColumnRenamed("h", "__h")
-    chosen = winners.join(times, winners.doc_id.eqNullSafe(times["__id"]) & (winners.h == times["__h"])).select("__id", "__h", "__n")
-    kept = docs.withColumn("__x", hashed).join(chosen, docs.doc_id.eqNullSafe(chosen["__id"]) & (F.col("__x") == F.col("__h")))
-    single = kept.where("__n = 1").select(*docs.columns)
-    repeats = kept.where("__n > 1").dropDuplicates(["__id", "__h"]).select(*docs.columns)
-    return single.unionByName(repeats)
+    times = prints.groupBy("doc_id", "h").agg(F.count("*").alias("n")).toDF("id", "text_hash", "n")
+    chosen = winners.join(times, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("text_hash"))).select("id", "text_hash", "n")
+    # The rows travel as one column, so that no name of theirs can clash.
+    whole = docs.select(F.struct("*").alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("own_hash"))
+    kept = whole.join(chosen, F.col("doc.doc_id").eqNullSafe(F.col("id")) & (F.col("own_hash") == F.col("text_hash")))
+    single = kept.where("n = 1").select("doc")
+    repeats = kept.where("n > 1").dropDuplicates(["id", "text_hash"]).select("doc")
+    return single.union(repeats).select("doc.*")
 
 
 def with_hash(docs: DataFrame, shingle: int) -> DataFrame:
