@@ -6,11 +6,13 @@ sum r_i (log r_i - 1) under sum_{i in s} r_i size_i = target_s and
 r_i = min(2, exp(lambda_s * size_i / mean_s)); its gradient and Hessian are sums
 over the source's documents, computed as one distributed aggregation per Newton
 step over the (source, size) histogram. The rates are then rounded into 0, 1 or
-2 copies.
+2 copies, first of each size of a source, then of its documents. A dual that
+does not converge raises an error.
 
-Scale: documents are read once for their word counts; every iteration works on
-the histogram (one row per source and distinct size). Strata of equal documents
-are split by a hash of the document once they exceed ``STRATUM`` rows, so
+Scale: documents are read once for their word counts; every iteration and the
+rounding of sizes work on the histogram (one row per source and distinct size, however
+many documents there are). Documents of one source and size beyond ``STRATUM``
+rows, or one in ``HOT_SIZES`` of all, are split by a hash of the document, so
 neither a hot source nor a hot group of copies lands in one task. The driver
 sees only one row per source (checked: at most ``MAX_SOURCES``).
 
@@ -30,14 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read_table, stored
+from .common import drop_stored, read_table, stored
 
 WEIGHTS = (3.0, 1.0, 2.0)
 TOTAL_SHARE = 1.5
 MOST_COPIES = 2
 STRATUM = 4096
 MAX_SOURCES = 200_000
-NEWTON_STEPS = 40
+HOT_SIZES = 20_000
+NEWTON_STEPS = 200
 WORD = "[^\\\\x20\\\\x09-\\\\x0D]+"
 
 
@@ -100,16 +103,18 @@ def solve(histogram: DataFrame, goal: pd.DataFrame, most: float = MOST_COPIES, s
         inside = np.isfinite(step) & (step > low[i]) & (step < high[i])
         lam[i] = np.where(inside, step, (np.maximum(low[i], -50) + np.minimum(high[i], 50)) / 2)
         todo[i] = (np.abs(gap) > tolerance * np.maximum(target[i], 1) + 1e-6) & (high[i] - low[i] > 1e-13)
+    if todo.any():
+        raise RuntimeError(f"{int(todo.sum())} sources are not balanced after {steps} steps")
     lam[full] = 1e3
     lam[~full & (target <= 0)] = -1e3
     return out.assign(lam=lam, mean=mean)
 
 
 def _round(most: int):
-    """Copies of each stratum of one source: rounding errors are carried on, large documents first, so the source's words end within half of its smallest document's size."""
+    """Copies of each (source, size) of one source: rounding errors are carried on, large documents first, so the source's words end within half of its smallest document's size."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["size", "salt"], ascending=[False, True], kind="stable")
+        group = group.sort_values("size", ascending=False, kind="stable")
         size, n = group["size"].to_numpy(np.int64), group["n"].to_numpy(np.int64)
         z = np.minimum(group["lam"].to_numpy() * size / group["mean"].to_numpy(), 700.0)
         want = np.minimum(np.exp(z), most) * n * size
@@ -120,7 +125,7 @@ def _round(most: int):
                 copies[k] = min(most * n[k], max(0, math.floor(carry / size[k] + 0.5)))
                 carry -= copies[k] * size[k]
         group["copies"] = copies
-        return group[["source_no", "size", "salt", "n", "copies"]]
+        return group[["source_no", "size", "n", "copies"]]
 
     return run
 
@@ -133,10 +138,11 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = TOTAL_SHARE, most: int
     spark = docs.sparkSession
     sized = stored(docs.select("doc_id", "source", word_count().alias("size"), F.xxhash64(F.col("doc_id"), F.col("text")).alias("row")))
     per_size = stored(sized.groupBy("source", "size").agg(F.count("*").alias("n")))
-    sources = per_size.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("total"), F.sum(F.when(F.col("size") > 0, F.col("n")).otherwise(0)).alias("n_words_docs"))
+    sources = per_size.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("total"), F.sum(F.when(F.col("size") > 0, F.col("n")).otherwise(0)).alias("n_words_docs"), F.sum("n").alias("n_docs"))
     if sources.limit(MAX_SOURCES + 1).count() > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources: mix groups of sources instead")
-    listed = [(r.source, int(r.total), int(r.n_words_docs)) for r in sources.collect()]
+    found = sources.collect()
+    listed = [(r.source, int(r.total), int(r.n_words_docs)) for r in found]
     goal = targets(pd.DataFrame(listed, columns=["source", "total", "n_words_docs"]).astype({"source": object}).where(lambda d: d.notna(), None), weights, share, most)
     goal["source_no"] = range(len(goal))
     schema = "source_no long, source string, source_size long, target double, lam double, mean double"
@@ -144,27 +150,35 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = TOTAL_SHARE, most: int
     histogram = stored(per_size.join(F.broadcast(plain), per_size.source.eqNullSafe(plain.source)).select("source_no", "size", "n"))
     goal = solve(histogram, goal, most)
     table = F.broadcast(spark.createDataFrame([(int(r.source_no), r.source, int(r.total), float(r.target), float(r.lam), float(r.mean)) for r in goal.itertuples()], schema))
+    quota = stored(histogram.join(table.select("source_no", "lam", "mean"), "source_no").groupBy("source_no").applyInPandas(_round(most), "source_no long, size long, n long, copies long"))
 
+    drop_stored(per_size)
+    drop_stored(histogram)
     numbered = sized.join(table.select("source_no", "source", "source_size", "target"), sized.source.eqNullSafe(table.source)).select("source_no", sized.source, "doc_id", "size", "row", "source_size", "target")
-    large = histogram.where(F.col("n") > stratum).select("source_no", "size", F.ceil(F.col("n") / stratum).cast("int").alias("salts"))
-    salted = numbered.join(large, ["source_no", "size"], "left").withColumn("salt", F.expr("pmod(xxhash64(row, 7), coalesce(salts, 1))").cast("int")).drop("salts")
-    strata = salted.groupBy("source_no", "size", "salt").agg(F.count("*").alias("n")).join(table.select("source_no", "lam", "mean"), "source_no")
-    quota = strata.groupBy("source_no").applyInPandas(_round(most), "source_no long, size long, salt int, n long, copies long")
-    ranked = salted.join(quota, ["source_no", "size", "salt"]).withColumn("k", F.expr("row_number() over (partition by source_no, size, salt order by row, doc_id) - 1"))
-    base = F.expr("copies div n")
-    return ranked.select("row", "doc_id", "source", "size", "source_size", "target", (base + F.when(F.col("k") < F.col("copies") - base * F.col("n"), 1).otherwise(0)).cast("int").alias("copies"))
+    # Strata of over `limit` documents are split; there are HOT_SIZES of them at most, so their list is broadcast.
+    limit = max(stratum, sum(int(r.n_docs) for r in found) // HOT_SIZES)
+    large = quota.where(F.col("n") > limit).select("source_no", "size", F.ceil(F.col("n") / limit).cast("int").alias("salts"))
+    salted = numbered.join(F.broadcast(large), ["source_no", "size"], "left").withColumn("salt", F.expr("pmod(xxhash64(row, 7), coalesce(salts, 1))").cast("int")).drop("salts")
+    # The copies of a stratum are dealt to its salts in proportion, by differences of a rounded running share.
+    strata = salted.groupBy("source_no", "size", "salt").agg(F.count("*").alias("here"))
+    upto = F.expr("sum(here) over (partition by source_no, size order by salt)")
+    shared = strata.join(quota, ["source_no", "size"]).withColumn("upto", upto).withColumn("extra", F.expr("cast(copies % n as decimal(38, 0))"))
+    dealt = shared.select("source_no", "size", "salt", F.expr("copies div n as base"), F.expr("cast(extra * upto div n - extra * (upto - here) div n as long) as extra"))
+    ranked = salted.join(dealt, ["source_no", "size", "salt"]).withColumn("k", F.expr("row_number() over (partition by source_no, size, salt order by row, doc_id) - 1"))
+    return ranked.select("row", "doc_id", "source", "size", "source_size", "target", (F.col("base") + F.when(F.col("k") < F.col("extra"), 1).otherwise(0)).cast("int").alias("copies"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix: each row as often as it is taken, in the columns of docs."""
     plan = mix(docs.select("doc_id", "text", "source"), **options)
     # Rows equal in id and text are interchangeable: their copies are summed and dealt out evenly.
-    share = plan.groupBy(F.col("row").alias("__r"), F.col("doc_id").alias("__id")).agg(F.sum("copies").alias("__copies"), F.count("*").alias("__n")).where("__copies > 0")
-    keyed = docs.withColumn("__row", F.xxhash64(F.col("doc_id"), F.col("text")))
-    joined = keyed.join(share, (F.col("__row") == F.col("__r")) & F.col("doc_id").eqNullSafe(F.col("__id")))
-    alone = joined.where("__n = 1").withColumn("__take", F.col("__copies"))
-    again = joined.where("__n > 1").withColumn("__j", F.expr("row_number() over (partition by __row, doc_id order by source) - 1")).withColumn("__take", F.expr("__copies div __n + if(__j < __copies % __n, 1, 0)")).drop("__j")
-    return alone.unionByName(again).withColumn("__c", F.explode(F.expr("array_repeat(0, cast(__take as int))"))).select(*docs.columns)
+    share = plan.groupBy("row", F.col("doc_id").alias("id")).agg(F.sum("copies").alias("copies"), F.count("*").alias("n")).where("copies > 0")
+    # The rows travel as one column, so that no name of theirs can clash.
+    whole = docs.select(F.struct("*").alias("doc"), F.xxhash64("doc_id", "text").alias("own"))
+    joined = whole.join(share, (F.col("own") == F.col("row")) & F.col("doc.doc_id").eqNullSafe(F.col("id")))
+    alone = joined.where("n = 1").select("doc", F.col("copies").alias("take"))
+    again = joined.where("n > 1").withColumn("j", F.expr("row_number() over (partition by own, id order by doc.source) - 1")).select("doc", F.expr("copies div n + if(j < copies % n, 1, 0)").alias("take"))
+    return alone.union(again).select("doc", F.explode(F.expr("array_repeat(0, cast(take as int))"))).select("doc.*")
 
 
 def op1_entropy_mix(spark, sf_dir: str) -> DataFrame:
