@@ -26,6 +26,7 @@ doc_id and text are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import partial
@@ -43,7 +44,7 @@ GRAMS = (3, 4, 5)
 EPOCHS = 3
 RATE = 0.5
 SAMPLE = 4000
-PART_BYTES = 128 << 20
+PART_BYTES = 32 << 20
 #: Longest run of equal words that has a vector of its own, and the rows of the table.
 RUN = 5
 ROWS = BUCKETS + RUN - 1
@@ -114,8 +115,8 @@ def features(text: bytes) -> tuple[np.ndarray, np.ndarray, int]:
     return found, counts.astype(np.float32), len(all_)
 
 
-#: A training row: buckets, how often each occurs, number of features, label 0 or 1.
-Row = tuple[np.ndarray, np.ndarray, int, int]
+#: A training row: packed buckets and how often each occurs, number of features, label 0 or 1.
+Row = tuple[bytes, int, int]
 
 
 def train(parts: Sequence[Callable[[], list[Row]]], labels: set[int], total: int, epochs: int = EPOCHS, rate: float = RATE, seed: int = 0) -> Model:
@@ -130,7 +131,8 @@ def train(parts: Sequence[Callable[[], list[Row]]], labels: set[int], total: int
         for part in rng.permutation(len(parts)):
             rows = parts[part]()
             for k in rng.permutation(len(rows)):
-                found, counts, n, y = rows[k]
+                made, n, y = rows[k]
+                found, counts = unpacked(made)
                 lr = np.float32(rate * (1 - done / (epochs * total)))
                 done += 1
                 share = counts / max(n, 1)
@@ -150,12 +152,12 @@ def train(parts: Sequence[Callable[[], list[Row]]], labels: set[int], total: int
 
 def train_texts(rows: list[tuple[bytes, int]], **options) -> Model:
     """rows: (text, label 0 or 1), all in memory."""
-    made = [(*features(t), y) for t, y in rows]
+    made = [(packed(found, counts), n, y) for (found, counts, n), y in ((features(t), y) for t, y in rows)]
     return train([lambda: made], {y for _, y in rows}, len(rows), **options)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, column: str = "quality") -> DataFrame:
-    """doc_id, y, buckets, counts, n of the training rows, stored; labels is filtered by the caller."""
+    """doc_id, y, features (see packed), n of the training rows, stored; labels is filtered by the caller."""
     ids = labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max(column) > 0).cast("int").alias("y"))
     chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     one = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))  # at most `sample` rows
@@ -164,22 +166,34 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, column: s
         for batch in batches:
             for k in range(batch.num_rows):
                 found, counts, n = features((batch.column(2)[k].as_py() or "").encode())
-                yield pa.RecordBatch.from_arrays([*(c.slice(k, 1) for c in batch.columns[:2]), pa.array([found.tobytes()]), pa.array([counts.tobytes()]), pa.array([n])], names=["doc_id", "y", "buckets", "counts", "n"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(k, 1) for c in batch.columns[:2]), pa.array([packed(found, counts)]), pa.array([n])], names=["doc_id", "y", "features", "n"])
 
-    return stored(one.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y int, buckets binary, counts binary, n long"))
+    return stored(one.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y int, features binary, n long"))
+
+
+def packed(found: np.ndarray, counts: np.ndarray) -> bytes:
+    """Ascending buckets and their counts, compressed (some two bytes a feature)."""
+    steps = np.diff(found, prepend=np.int32(0)).astype(np.int32)
+    return zlib.compress(np.concatenate((steps, counts.astype(np.int32))).tobytes(), 1)
+
+
+def unpacked(made: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(zlib.decompress(made), np.int32)
+    half = len(both) // 2
+    return np.cumsum(both[:half], dtype=np.int32), both[half:].astype(np.float32)
 
 
 def fit_rows(rows: DataFrame, part_bytes: int = PART_BYTES, **options) -> Model:
     """Trains on the rows of labelled(), in parts that the driver reads one at a time."""
-    size, total = rows.agg(F.sum(2 * F.length("buckets")), F.count("*")).first()
+    size, total = rows.agg(F.sum(F.length("features")), F.count("*")).first()
     n = max(1, -(-int(size or 0) // part_bytes))
     held: list[list[Row]] = []
 
     def part(k: int) -> list[Row]:
         if held:
             return held[0]
-        mine = rows.where(F.expr(f"pmod(xxhash64(doc_id), {n}) = {k}")).collect()
-        made = [(np.frombuffer(r.buckets, np.int32), np.frombuffer(r.counts, np.float32), r.n, r.y) for r in sorted(mine, key=lambda r: r.doc_id)]
+        mine = rows.where(F.expr(f"pmod(xxhash64(doc_id), {n}) = {k}")).select("doc_id", "y", "features", "n").collect()
+        made = [(bytes(r.features), r.n, r.y) for r in sorted(mine, key=lambda r: r.doc_id)]
         if n == 1:
             held.append(made)
         return made
