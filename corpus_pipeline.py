@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from mnemora.llm import decontaminate, mixing, quality_model, similar, tokens
-from mnemora.llm.common import read_table, stored
+from mnemora.llm.common import drop_stored, read_table, scratch, stored
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    """The stages in turn; what a stage wrote for itself, and its input, goes once its result is written."""
+    docs, written = read_table(spark, sf_dir, "documents"), False
     for _, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir))
+        with scratch(spark) as keep:
+            made = stored(stage(spark, docs, sf_dir))
+            keep.append(made)
+        if written:
+            drop_stored(docs)
+        docs, written = made, True
     return docs
