@@ -119,6 +119,21 @@ def aliases(identifier: Column, drop_prefix: bool = True) -> Column:
     return F.when(F.size(parts) < 2, F.array().cast("array<string>")).otherwise(kept)
 
 
+def spoken_base(identifier: Column) -> Column:
+    """The part of an identifier that people say: no scope, module path or group."""
+    return F.substring_index(F.substring_index(F.ltrim(identifier, F.lit("@")), "/", -1), ":", -1)
+
+
+def spoken_forms(identifier: Column) -> Column:
+    """Spoken forms of a package's or repository's name; a dotted one is also said without its first part."""
+    base = spoken_base(identifier)
+    return F.when(F.contains(base, F.lit(".")), aliases(base)).otherwise(aliases(base, drop_prefix=False))
+
+
+def name_parts(identifier: Column) -> Column:
+    return F.filter(F.split(F.lower(spoken_base(identifier)), r"[.\-_]"), lambda x: x != "")
+
+
 def name_tokens(identifier: Column) -> Column:
     """The parts of an identifier that are not generic."""
     return F.array_distinct(F.filter(F.split(F.lower(identifier), r"[^a-z0-9]+"), lambda x: (x != "") & ~x.isin(*GENERIC_TOKENS)))
@@ -180,3 +195,34 @@ def clamp(value: Column, low: int, high: int) -> Column:
 def archive_members(text: Column) -> Column:
     """Member names of an expanded archive's stored text."""
     return F.regexp_extract_all(text, F.lit("(?m)^--- (.+) ---$"), F.lit(1))
+
+
+def upload_name(name: Column) -> Column:
+    """A file name that is safe to store: no folders, few marks, never empty."""
+    base = F.regexp_replace(F.substring_index(F.replace(name, F.lit("\\"), F.lit("/")), "/", -1), r"[^A-Za-z0-9._ +()\-]", "_")
+    kept = F.regexp_replace(base, r"^[ .]+|[ .]+$", "")
+    return F.substring(F.when(kept == "", "upload").otherwise(kept), 1, 180)
+
+
+def distinct_upload_name(name: Column, digest: Column) -> Column:
+    """The name of a file that differs from the stored one of the same name: part of its content's hash before the extension."""
+    safe, short = upload_name(name), F.substring(digest, 1, 8)
+    dotted = F.concat(F.regexp_extract(safe, r"^(.*)\.[^.]*$", 1), F.lit("-"), short, F.lit("."), F.substring_index(safe, ".", -1))
+    return F.when(F.contains(safe, F.lit(".")), dotted).otherwise(F.concat(safe, F.lit("-"), short))
+
+
+def note_uri(topic: Column, fact: Column) -> Column:
+    """Address of a taught fact: a slug of its topic or beginning, and a hash of both, so that teaching it again changes nothing."""
+    slug = F.trim(F.regexp_replace(F.lower(F.coalesce(F.nullif(topic, F.lit("")), F.substring(fact, 1, 40))), "[^a-z0-9]+", "-"), F.lit("-"))
+    digest = F.sha2(F.concat(F.coalesce(topic, F.lit("")), F.lit("\n"), fact), 256)
+    return F.concat(F.lit("note://"), F.when(slug == "", "note").otherwise(slug), F.lit("-"), F.substring(digest, 1, 10))
+
+
+def query_hash(query: Column) -> Column:
+    """Hash of a question without regard to case and blanks."""
+    return F.sha2(F.trim(F.regexp_replace(F.lower(F.coalesce(query, F.lit(""))), r"\s+", " ")), 256)
+
+
+def token_hash(token: Column) -> Column:
+    """What is stored of an access token."""
+    return F.sha2(token, 256)

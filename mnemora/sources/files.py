@@ -6,7 +6,11 @@ import csv
 import io
 import os
 import re
+import struct
 import zipfile
+import zlib
+from collections.abc import Callable
+from itertools import zip_longest
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -15,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .pages import read_page
+from .pdf import pdf_text
 
 # Folders that are never read, caps, and the extensions of each kind.
 SKIP_DIRS = (".git", ".svn", ".hg", "node_modules", "bin", "obj", "dist", "build", "target", ".venv", "venv", "__pycache__", ".idea", ".vs", ".vscode", "packages")
@@ -36,29 +41,110 @@ def kind(path: Column) -> Column:
     return F.when(e.isin(*CODE), "code").when(e.isin(*TEXT, *BINARY), "doc").when(e.isin(*IMAGES), "image").otherwise("unsupported")
 
 
+class Parts:
+    """The members of an archive; of a damaged one, those that its local headers still lead to."""
+
+    def __init__(self, data: bytes):
+        try:
+            z = zipfile.ZipFile(io.BytesIO(data))
+            self._names, self._read = z.namelist(), z.read
+        except zipfile.BadZipFile:
+            held = salvaged(data)
+            if not held:
+                raise
+            self._names, self._read = list(held), held.__getitem__
+
+    def namelist(self) -> list[str]:
+        return self._names
+
+    def read(self, name: str) -> bytes:
+        return self._read(name)
+
+
+def salvaged(data: bytes) -> dict[str, bytes]:
+    """Members of an archive without its directory: every local header whose content unfolds, as far as it does."""
+    out, at, total = {}, 0, 0
+    while (at := data.find(b"PK\x03\x04", at)) >= 0 and len(out) < ZIP_MEMBERS and total < ZIP_BYTES:
+        if at + 30 > len(data):
+            break
+        method, size, name_size, extra = struct.unpack_from("<H", data, at + 8)[0], *struct.unpack_from("<I", data, at + 18), *struct.unpack_from("<HH", data, at + 26)
+        name, begin = data[at + 30 : at + 30 + name_size].decode("utf-8", "replace"), at + 30 + name_size + extra
+        at += 4
+        if method == 8:
+            try:
+                content = zlib.decompressobj(-15).decompress(data[begin:], ZIP_MEMBER_BYTES)
+            except zlib.error:
+                continue
+        elif method == 0:
+            content = data[begin : begin + size]
+        else:
+            continue
+        if not name.endswith("/"):
+            out[name] = content
+            total += len(content)
+    return out
+
+
+def _local(e) -> str:
+    return e.tag.rpartition("}")[2]
+
+
 def _xml_lines(data: bytes, paragraph: str, run: str) -> list[str]:
+    """The text of each paragraph; one inside another (a text box) is a line of its own, once."""
     out = []
-    for p in ElementTree.fromstring(data).iter():
-        if p.tag.rpartition("}")[2] == paragraph:
-            said = "".join(t.text or "" for t in p.iter() if t.tag.rpartition("}")[2] == run)
-            if said.strip():
-                out.append(said)
+
+    def own(e) -> str:
+        return "".join((x.text or "") if _local(x) == run else "" if _local(x) == paragraph else own(x) for x in e)
+
+    def walk(e) -> None:
+        if _local(e) == "AlternateContent":  # the fallback says the same again
+            e = next((x for x in e if _local(x) == "Choice"), e)
+        if _local(e) == paragraph and (said := own(e)).strip():
+            out.append(said)
+        for x in e:
+            walk(x)
+
+    walk(ElementTree.fromstring(data))
     return out
 
 
-def _docx(z: zipfile.ZipFile) -> str:
+def _docx(z: Parts) -> str:
     return "\n".join(_xml_lines(z.read("word/document.xml"), "p", "t"))
 
 
-def _pptx(z: zipfile.ZipFile) -> str:
+def _chart_lines(data: bytes) -> list[str]:
+    """A chart's title, and each series: its name, categories and values."""
+    root, out = ElementTree.fromstring(data), []
+    values = lambda e: [v.text or "" for v in e.iter() if _local(v) == "v"]
+    title = "".join(t.text or "" for c in root.iter() if _local(c) == "title" for t in c.iter() if _local(t) == "t")
+    if title:
+        out.append(title)
+    for series in (e for e in root.iter() if _local(e) == "ser"):
+        part = {_local(e): values(e) for e in series if _local(e) in ("tx", "cat", "val")}
+        points = ", ".join(f"{c}: {v}" if c else v for c, v in zip_longest(part.get("cat", []), part.get("val", []), fillvalue=""))
+        out.append(": ".join(x for x in (" ".join(part.get("tx", [])), points) if x))
+    return [x for x in out if x]
+
+
+def _pptx(z: Parts) -> str:
+    """Slides in order: their shapes, then the charts and diagrams that they show."""
+
     def number(n: str) -> int:
         return int(re.search(r"(\d+)\.xml$", n)[1])
 
-    slides = sorted((n for n in z.namelist() if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=number)
-    return "\n\n".join("\n".join(_xml_lines(z.read(n), "p", "t")) for n in slides)
+    names, out = set(z.namelist()), []
+    for slide in sorted((n for n in names if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=number):
+        lines = _xml_lines(z.read(slide), "p", "t")
+        links = slide.replace("slides/", "slides/_rels/") + ".rels"
+        targets = re.findall(r'Target="\.\./((?:charts/chart|diagrams/data)\d+\.xml)"', z.read(links).decode("utf-8", "replace")) if links in names else []
+        for target in (f"ppt/{t}" for t in targets):
+            if target in names:
+                lines += _chart_lines(z.read(target)) if "/charts/" in target else _xml_lines(z.read(target), "p", "t")
+        out.append("\n".join(lines))
+    return "\n\n".join(out)
 
 
-def _xlsx(z: zipfile.ZipFile) -> str:
+def _xlsx(z: Parts) -> str:
     shared = []
     if "xl/sharedStrings.xml" in z.namelist():
         for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")):
@@ -91,21 +177,39 @@ def _archive(z: zipfile.ZipFile) -> str:
 
 def decode(path: str, data: bytes | None) -> str | None:
     """Text of a file by its extension; None where there is none to be had."""
+    return decoded_or_reason(path, data)[0]
+
+
+def decoded_or_reason(path: str, data: bytes | None, image_reader: Callable[[str, bytes], str] | None = None) -> tuple[str | None, str | None]:
+    """(text, why there is none). image_reader is the seam for a model that reads images; without one they are named as unsupported."""
     if not data:
-        return None
+        return None, "empty"
     e = os.path.splitext(path)[1].lower().lstrip(".")
+    if len(data) > (MAX_BINARY if e in (*BINARY, *IMAGES) else MAX_TEXT):
+        return None, "too large"
+    if e in IMAGES:
+        if image_reader is None:
+            return None, "images are not supported"
+        try:
+            said = image_reader(path, data)
+        except Exception as error:  # the model's own failure is this file's reason
+            return None, f"image: {error}"
+        return (said, None) if said else (None, "no text")
+    if e == "pdf":
+        said = pdf_text(data)
+        return said, None if said else "no text"
     if e in ("docx", "pptx", "xlsx", "zip"):
-        if len(data) > MAX_BINARY:
-            return None
         try:
-            with zipfile.ZipFile(io.BytesIO(data)) as z:
-                return {"docx": _docx, "pptx": _pptx, "xlsx": _xlsx, "zip": _archive}[e](z)
+            if e == "zip":
+                with zipfile.ZipFile(io.BytesIO(data)) as z:
+                    return _archive(z), None
+            return {"docx": _docx, "pptx": _pptx, "xlsx": _xlsx}[e](Parts(data)), None
         except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, RuntimeError, NotImplementedError):
-            return None
-    if e in IMAGES or e == "pdf" or (e not in CODE + TEXT and b"\0" in data[:1024]) or len(data) > MAX_TEXT:
-        return None
+            return None, "damaged"
+    if e not in CODE + TEXT and b"\0" in data[:1024]:
+        return None, "binary"
     said = data.decode("utf-8", "replace")
-    return read_page(said)[0] if e in ("html", "htm") else said
+    return (read_page(said)[0] if e in ("html", "htm") else said), None
 
 
 @F.pandas_udf(T.StringType())
@@ -113,6 +217,11 @@ def decoded(path: pd.Series, content: pd.Series) -> pd.Series:
     return pd.Series([decode(p, c) for p, c in zip(path, content, strict=True)], dtype=object)
 
 
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("reason", T.StringType())]))
+def decoded_with_reason(path: pd.Series, content: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([decoded_or_reason(p, c) for p, c in zip(path, content, strict=True)], columns=["text", "reason"])
+
+
 def read_tree(spark: SparkSession, root: str) -> DataFrame:
     """uri, title, kind, text, updated_at of the readable files below root; skipped folders, empty and oversized files are left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)

@@ -211,11 +211,41 @@ def test_code_and_channels(spark):
     assert {(r.rel, r.dst) for r in mining.channel_edges(df).collect()} == {("subscribes_to", "topic:order-events"), ("publishes_to", "topic:done")}
 
 
-def test_tables():
+def test_more_code(spark):
+    rows = [
+        ("js", "x/a.ts", "import 'side/effects';\nimport a from './near';\nimport {b} from '@scope/pkg/deep';\nconst c = require('lib/x');\nexport default class K {}\nasync function f() {}\n"),
+        ("java", "x/A.java", "import com.acme.util.Helper;\nimport com.acme.core.*;\npublic final class A {}\n"),
+        ("go", "x/a.go", 'import (\n  "fmt"\n  x "net/http"\n)\nimport "os"\nfunc (s *S) Run() {}\ntype S struct {}\n'),
+        ("cs", "x/a.cs", "using System.Text;\ninternal record R(int x);\n"),
+    ]
+    df = spark.createDataFrame([(*r, "git:r") for r in rows], "doc_id string, uri string, text string, source_id string")
+    got = {}
+    for r in mining.code_edges(df).collect():
+        got.setdefault(r.doc_id, set()).add((r.rel, r.dst_name))
+    assert got["js"] == {("imports", "side"), ("imports", "@scope/pkg"), ("imports", "lib"), ("defines", "K"), ("defines", "f")}
+    assert got["java"] == {("imports", "com.acme.util"), ("imports", "com.acme.core"), ("defines", "A")}
+    assert got["go"] == {("imports", "fmt"), ("imports", "net/http"), ("imports", "os"), ("defines", "Run"), ("defines", "S")}
+    assert got["cs"] == {("imports", "System.Text"), ("defines", "R")}
+    kinds = spark.createDataFrame([("code", "x"), ("doc", "a/b.PY?x"), ("doc", "a.b/c"), (None, "appsettings.Dev.json")], "kind string, uri string")
+    assert [tuple(r) for r in kinds.select(mining.looks_like_code(F.col("kind"), F.col("uri")), mining.looks_like_config(F.col("uri"))).collect()] == [(True, False), (True, False), (False, False), (False, True)]
+
+
+def test_channels_need_the_quotes_of_their_language(spark):
+    rows = [("a", "x/f.cs", "CreateSender('single'); CreateSender(\"double\");"), ("b", "x/s.yml", "service: shop\nprovider:\n  name: aws\nresources:\n  TopicName: orders\n"), ("c", "x/appsettings.json", '{"QueueName": "q1", "SubscriptionName": "s", "Db": "Server=x;Database=shop;"}')]
+    df = spark.createDataFrame([(*r, "git:r") for r in rows], "doc_id string, uri string, text string, source_id string")
+    assert {(r.doc_id, r.rel, r.dst) for r in mining.channel_edges(df).collect()} == {("a", "publishes_to", "topic:double"), ("b", "references", "topic:orders"), ("c", "subscribes_to", "topic:q1"), ("c", "stores_in", "datastore:shop")}
+
+
+def test_tables(spark):
     said = "Members\n| Name | Email | Team |\n| --- | --- | --- |\n| Ana B | ana@x.org | Autobots |\n| Cy D |  | Autobots |\n"
-    edges, aliases = mining.table_facts(said, "http://x/?project=Big%20One")
-    assert ("person:ana b", "works_on", "team:autobots") in edges and ("person:cy d", "works_on", "project:big one") in edges
-    assert ("team:autobots", "owns", "project:big one") in edges and aliases == [("ana@x.org", "person:ana b")]
+    alone = "Teams:\n| Name | Note |\n| Blue | yes |\n"
+    df = spark.createDataFrame([(1, said, "http://x/?project=Big%20One&id=45"), (2, alone, "http://x/?service=Shop"), (3, None, None), (4, "| Team | Service |\n| a\\|b | x y |", "")], "doc_id long, text string, uri string")
+    edges = {(r.doc_id, r.src, r.rel, r.dst) for r in mining.table_edges(df).collect()}
+    assert edges == {
+        (1, "person:ana b", "works_on", "team:autobots"), (1, "person:cy d", "works_on", "team:autobots"), (1, "person:ana b", "works_on", "project:big one"), (1, "person:cy d", "works_on", "project:big one"),
+        (1, "team:autobots", "owns", "project:big one"), (2, "team:blue", "owns", "service:shop"), (4, "team:a|b", "owns", "service:x y"),
+    }
+    assert [tuple(r) for r in mining.table_aliases(df).collect()] == [(1, "ana@x.org", "person:ana b")]
     assert mining.pipe_tables("a | b") == []
 
 
@@ -238,8 +268,43 @@ def test_manifests():
     assert ("needs", "NuGet", "X", "1.0") in manifests.facts("p/A.csproj", '<Project><ItemGroup><PackageReference Include="X" Version="1.0"/></ItemGroup></Project>')
     assert manifests.facts("go.mod", "module m/x\nrequire (\n\ta.b/c v1 // indirect\n)\n") == [("provides", "Go module", "m/x", ""), ("needs", "Go", "a.b/c", "v1")]
     assert ("needs", "Gradle", "g:a", "1") in manifests.facts("build.gradle", "testImplementation 'g:a:1'")
-    assert ("needs", "Python", "requests", ">=2") in manifests.facts("pyproject.toml", '[project]\nname = "p"\ndependencies = ["requests[socks]>=2; python_version > \'3\'"]')
+    assert ("needs", "Python", "requests", "[socks]>=2; python_version > '3'") in manifests.facts("pyproject.toml", '[project]\nname = "p"\ndependencies = ["requests[socks]>=2; python_version > \'3\'"]')
     assert manifests.facts("pom.xml", "<broken") == [] and manifests.facts("x.txt", "a") == []
+    assert manifests.facts("a/b.csproj", '<P><PropertyGroup><PackageId>Pkg</PackageId><RootNamespace>Ns</RootNamespace></PropertyGroup><ProjectReference Include="..\\c\\c.csproj"/><Reference Include="Lib, Version=1"/></P>') == [
+        ("provides", "NuGet package id", "Pkg", ""), ("refers", "", "../c/c.csproj", ""), ("needs", "assembly", "Lib", ""), ("provides", "project/assembly", "Ns", ""),
+    ]
+    poetry = '[tool.poetry]\nname="q"\n[tool.poetry.dependencies]\npython="^3"\na="*"\nb={version="2"}\n[tool.poetry.dev-dependencies]\nc="1"\n[tool.poetry.group.x.dependencies]\nd="4"\n'
+    assert manifests.facts("pyproject.toml", poetry) == [("provides", "Python package", "q", ""), ("needs", "Python", "a", ""), ("needs", "Python", "b", "2"), ("needs", "Python", "c", "1"), ("needs", "Python", "d", "4")]
+    assert manifests.facts("x/requirements-dev.txt", "# c\n-r a.txt\n  flask==2 # x\n\n") == [("needs", "Python", "flask", "==2 # x")]
+    assert manifests.facts("setup.cfg", "[metadata]\nname = s\n[options]\ninstall_requires =\n  a>1\n  b\n") == [("provides", "Python package", "s", ""), ("needs", "Python", "a", ">1"), ("needs", "Python", "b", "")]
+    assert manifests.facts("setup.py", "setup(name='s', install_requires=['a>=1', 'b'])") == [("provides", "Python package", "s", ""), ("needs", "Python", "a", ">=1"), ("needs", "Python", "b", "")]
+    assert manifests.facts("go.mod", "module m\nrequire github.com/a/b v2 // x\n") == [("provides", "Go module", "m", ""), ("needs", "Go", "github.com/a/b", "v2")]
+    catalog = '[versions]\nk="1.9"\n[libraries]\na="g:n:2"\nb={module="g:m", version={ref="k"}}\nc={group="h", name="o", version="3"}\n'
+    assert manifests.facts("gradle/libs.versions.toml", catalog) == [("needs", "Gradle", "g:n", "2"), ("needs", "Gradle", "g:m", "1.9"), ("needs", "Gradle", "h:o", "3")]
+    assert manifests.facts("settings.gradle", "rootProject.name = 'r'\ninclude ':a', ':b:c'\n") == [("provides", "project/assembly", x, "") for x in ("r", "a", "b:c")]
+    assert manifests.facts("build.gradle.kts", 'api(project(":core"))\nimplementation("g:a")') == [("needs", "Gradle", "g:a", ""), ("refers", "", ":core", "")]
+    assert manifests.facts("package.json", '{"name": "n", "workspaces": {"packages": ["p/*"]}}') == [("provides", "npm package", "n", ""), ("refers", "", "workspace p/*", "")]
+    assert manifests.facts("angular.json", '{"projects": {"web": {}}}') == [("provides", "project/assembly", "web", "")]
+    assert manifests.facts("packages.config", '<packages><package id="A" version="1"/></packages>') == [("needs", "NuGet", "A", "1")]
+    assert manifests.facts("x.nuspec", "<p><metadata><id>I</id><dependencies><dependency id='D' version='2'/></dependencies></metadata></p>") == [("provides", "NuGet package id", "I", ""), ("needs", "NuGet", "D", "2")]
+    assert manifests.facts("Pipfile", '[packages]\na="*"\n[dev-packages]\nb="1"\n') == [("needs", "Python", "a", ""), ("needs", "Python", "b", "1")]
+
+
+def test_dependency_map(spark):
+    files = [("package.json", '{"name": "@org/shop-web", "dependencies": {"@org/pay-core-lib": "1", "left": "2"}}'), ("a/package.json", '{"dependencies": {"left": "2"}}'), ("b.csproj", "<P/>")]
+    scanned = manifests.scan(spark.createDataFrame(files, "path string, text string"))
+    page = manifests.map_document(scanned, "shop-web", "git://x").first()
+    assert page.uri == "git://x::dependency-map" and page.title == "shop-web: dependencies & packages"
+    assert page.text == (
+        "# shop-web — dependency & package map\n\nshop-web is also referred to as: shop web.\n\n"
+        "## Packages and modules this repo provides\n- @org/shop-web — npm package (package.json) — also referred to as: shop web\n\n"
+        "## Projects and assemblies built here\n- b (b.csproj)\n\n"
+        "## Dependencies\n### npm\n- shop-web depends on @org/pay-core-lib 1 — also referred to as: pay core lib — referenced by package.json\n- shop-web depends on left 2 — referenced by a/package.json, package.json\n"
+    )
+    edges, aliases = manifests.graph(scanned, "shop-web")
+    assert {(r.rel, r.dst) for r in edges.collect()} == {("provides", "package:@org/shop-web"), ("provides", "project:b"), ("depends_on", "package:@org/pay-core-lib"), ("depends_on", "package:left")}
+    assert {(r.alias, r.entity_id) for r in aliases.collect()} == {("shop web", "package:@org/shop-web"), ("shop web", "repo:shop-web"), ("pay core lib", "package:@org/pay-core-lib")}
+    assert manifests.map_document(scanned.limit(0), "r", "u").count() == 0
 
 
 def test_read_tree(spark, tmp_path):
