@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import json
+import time
+from collections.abc import Callable
+from pathlib import Path
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 EVAL_TOLERANCE, BENCH_TOLERANCE, LEAST_SAMPLES, LEAST_CASES = 0.02, 0.20, 5, 10
@@ -122,3 +127,86 @@ def throughput(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
     overall = kept.agg(F.count("*").alias("runs"), F.sum("ingested").alias("documents"), (F.sum("ingested") / (F.sum("seconds") / 60)).alias("docs_per_min"))
     per_source = percentiles(kept.withColumn("rate", F.col("ingested") / (F.col("seconds") / 60)), "rate", ["source"])
     return overall, per_source.select("source", F.col("p50").alias("docs_per_min"), "samples")
+
+
+CASE = "id string, question string, uris array<string>, keywords array<string>, refusal boolean, hops array<string>"
+
+
+def _document(path: str) -> dict:
+    """A JSON file, or a YAML one where its library is there."""
+    said = Path(path).read_text(encoding="utf-8")
+    if path.endswith((".yaml", ".yml")):
+        import yaml
+
+        return yaml.safe_load(said) or {}
+    return json.loads(said) or {}
+
+
+def load_cases(spark: SparkSession, path: str) -> DataFrame:
+    """id, question, uris, keywords, refusal, hops of an evaluation set ({name, cases: [{id, question, expect}]}); an empty one is an error."""
+    rows = []
+    for case in _document(path).get("cases") or ():
+        expect = case.get("expect") or {}
+        listed = [[str(x) for x in expect.get(k) or ()] for k in ("uris", "keywords", "hops")]
+        rows.append((str(case.get("id") or case["question"][:48]), str(case["question"]), listed[0], listed[1], bool(expect.get("refusal", False)), listed[2]))
+    if not rows:
+        raise ValueError(f"{path} holds no cases")
+    return spark.createDataFrame(rows, CASE)
+
+
+def load_queries(spark: SparkSession, path: str) -> DataFrame:
+    """place, query of a query pack ({queries: [...]}), or the questions of an evaluation set."""
+    data = _document(path)
+    asked = [str(q) for q in data.get("queries") or ()] or [str(c["question"]) for c in data.get("cases") or () if c.get("question")]
+    if not asked:
+        raise ValueError(f"{path} holds no queries")
+    return spark.createDataFrame(list(enumerate(asked)), "place int, query string")
+
+
+def measured(spark: SparkSession, stages: dict[str, Callable[[DataFrame], DataFrame]], queries: DataFrame, repeats: int = 3, warmup: int = 1) -> DataFrame:
+    """repeat, stages (milliseconds), total_ms of running the stages over a pack, each on the result of the one before; warm-up runs are not reported, and a stage without rows to work on is not timed."""
+    rows = []
+    for repeat in range(-warmup, max(1, repeats)):
+        took, now = {}, queries
+        for name, stage in stages.items():
+            began = time.perf_counter()
+            now = stage(now)
+            now.write.format("noop").mode("overwrite").save()
+            took[name] = (time.perf_counter() - began) * 1000
+            if now.isEmpty():
+                break
+        if repeat >= 0:
+            rows.append((repeat, took, sum(took.values())))
+    return spark.createDataFrame(rows, "repeat int, stages map<string, double>, total_ms double")
+
+
+def embed_throughput(spark: SparkSession, embedder, sample: str, batch: int = 32, repeats: int = 3, warmup: int = 1) -> DataFrame:
+    """model, batch, batch_ms (median), ms_per_chunk, chunks_per_sec of embedding one text again and again in one task."""
+    rows = embedder.passages(spark.range(batch, numPartitions=1).select(F.lit(sample).alias("text")))
+    times = []
+    for k in range(-warmup, max(1, repeats)):
+        began = time.perf_counter()
+        rows.write.format("noop").mode("overwrite").save()
+        if k >= 0:
+            times.append((embedder.model, batch, (time.perf_counter() - began) * 1000))
+    timed = percentiles(spark.createDataFrame(times, "model string, batch int, ms double"), "ms", ["model", "batch"])
+    return timed.select("model", "batch", F.col("p50").alias("batch_ms"), F.round(F.col("p50") / F.col("batch"), 4).alias("ms_per_chunk"), F.round(F.col("batch") / (F.col("p50") / 1000), 1).alias("chunks_per_sec"))
+
+
+def agent_summary(timings: DataFrame) -> DataFrame:
+    """One row over answers (first_token_ms, answer_ms, rounds, tool_calls, prompt_tokens, completion_tokens, cached_tokens): medians, means, totals and the share of prompt tokens that were cached (null without any)."""
+    tokens = F.col("prompt_tokens") + F.col("completion_tokens")
+    prompt, cached = F.sum("prompt_tokens"), F.sum("cached_tokens")
+    return timings.agg(
+        F.count("*").alias("answers"),
+        F.median("answer_ms").alias("answer_ms_p50"),
+        F.median("first_token_ms").alias("first_token_ms_p50"),
+        F.count("first_token_ms").alias("streamed"),
+        F.round(F.avg("rounds"), 2).alias("rounds_per_answer"),
+        F.round(F.avg("tool_calls"), 2).alias("tool_calls_per_answer"),
+        F.median(tokens).alias("tokens_p50"),
+        prompt.alias("prompt_tokens_total"),
+        F.sum("completion_tokens").alias("completion_tokens_total"),
+        cached.alias("cached_tokens_total"),
+        F.round(F.when(prompt > 0, cached / prompt), 3).alias("cache_hit_rate"),
+    )

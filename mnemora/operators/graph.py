@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -55,7 +56,9 @@ def corroboration(edges: DataFrame, docs: DataFrame, visible=None) -> DataFrame:
     cited = edges.where("evidence_doc_id <> ''").join(docs.select(F.col("doc_id").alias("evidence_doc_id"), "source_id"), "evidence_doc_id", "left")
     if visible is not None:
         cited = cited.where(F.coalesce(scope.allowed(F.col("source_id"), visible), F.lit(False)))
-    return cited.groupBy("src", "rel", "dst").agg(F.count_distinct("evidence_doc_id").alias("doc_count"), F.count_distinct("source_id").alias("source_count"))
+    # Two steps, so that no row is copied for each distinct count: documents of an edge's source, then its sources.
+    per_source = cited.groupBy("src", "rel", "dst", "evidence_doc_id").agg(F.max("source_id").alias("source_id")).groupBy("src", "rel", "dst", "source_id").agg(F.count("*").alias("docs"))
+    return per_source.groupBy("src", "rel", "dst").agg(F.sum("docs").alias("doc_count"), F.count("source_id").alias("source_count"))
 
 
 def bridge_entities(edges: DataFrame, entities: DataFrame, docs: DataFrame, visible=None) -> DataFrame:
@@ -118,15 +121,38 @@ def core(edges: DataFrame, entities: DataFrame, per_type: int) -> DataFrame:
 
 
 def snapshot(edges: DataFrame, entities: DataFrame, docs: DataFrame, limit: int = 400, visible=None) -> DataFrame:
-    """Edges within the connected core, capped per source entity and per type, at most `limit`."""
-    types = edges.select("src").distinct().join(entities.select(F.col("id").alias("src"), "type"), "src").agg(F.count_distinct("type")).first()[0] or 1
-    ids = core(edges, entities, max(6, limit // types)).select("id")
-    inside = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    view = edge_view(inside, entities, docs, visible)
+    """Edges within the connected core, capped per source entity and per type, at most `limit`.
+
+    Degrees are counted once and stored; the core, a few rows for each type, is
+    broadcast; an entity's edges are capped before they are joined with anything, and a type's
+    first edges are taken per entity before they meet.
+    """
+    typed = cut(degrees(edges).join(entities.select("id", "type"), "id"))
+    types = edges.select(F.col("src").alias("id")).distinct().join(typed.select("id", "type"), "id").agg(F.count_distinct("type")).first()[0] or 1
+    top = Window.partitionBy("type").orderBy(F.desc("degree"), "id")
+    ids = typed.withColumn("rn", F.row_number().over(top)).where(F.col("rn") <= max(6, limit // types)).select("id", "type")
+    src_cap, type_cap = max(3, limit // (types * 2)), max(5, limit // types)
+    src = F.broadcast(ids.select(F.col("id").alias("src"), F.col("type").alias("core_type")))  # max(6, limit / types) a type
+    dst = F.broadcast(ids.select(F.col("id").alias("dst")))
+    inside = scope.evidence_visible(edges, docs, visible).join(src, "src").join(dst, "dst", "left_semi")
     by_src = Window.partitionBy("src").orderBy("rel", "dst", "evidence_doc_id")
-    by_type = Window.partitionBy("src_type").orderBy("src", "rel", "dst", "evidence_doc_id")
-    picked = view.withColumn("rn_src", F.row_number().over(by_src)).withColumn("rn_type", F.row_number().over(by_type))
-    return picked.where((F.col("rn_src") <= max(3, limit // (types * 2))) & (F.col("rn_type") <= max(5, limit // types))).orderBy("src_type", "rn_type").limit(limit)
+    by_type = Window.partitionBy("core_type").orderBy("src", "rel", "dst", "evidence_doc_id")
+    # Of a type's first edges an entity gives no more than src_cap, so the others go before the types meet.
+    capped = inside.withColumn("rn_src", F.row_number().over(by_src)).where(F.col("rn_src") <= type_cap)
+    picked = capped.withColumn("rn_type", F.row_number().over(by_type)).where((F.col("rn_src") <= src_cap) & (F.col("rn_type") <= type_cap))
+    return edge_view(picked.orderBy("core_type", "rn_type").limit(limit).drop("core_type", "rn_src"), entities, docs)
+
+
+def snapshot_totals(shown: DataFrame, edges: DataFrame, entities: DataFrame, docs: DataFrame, visible=None) -> DataFrame:
+    """shown, edges, entities, truncated: whether a snapshot leaves anything out."""
+    return totals(edges, entities, docs, visible).crossJoin(shown.agg(F.count("*").alias("shown"))).withColumn("truncated", F.col("shown") < F.col("edges"))  # one row each
+
+
+def evidence_titles(edges: DataFrame, docs: DataFrame, ids: DataFrame, most: int = 3, visible=None) -> DataFrame:
+    """id, title, kind: the first `most` distinct documents behind the edges of each entity (column id), by title."""
+    wanted = ends(scope.evidence_visible(edges, docs, visible).where("evidence_doc_id <> ''")).join(ids.select("id").distinct(), "id", "left_semi")
+    told = wanted.distinct().join(docs.select(F.col("doc_id").alias("evidence_doc_id"), "title", "kind"), "evidence_doc_id").select("id", "title", "kind").distinct()
+    return told.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("title", "kind"))).where(F.col("n") <= most).drop("n")
 
 
 def expand(edges: DataFrame, docs: DataFrame, seeds: DataFrame, limit: int | None = None, visible=None) -> DataFrame:
@@ -190,18 +216,41 @@ def same_as(entities: DataFrame, aliases: DataFrame) -> DataFrame:
 
 
 def upsert_entities(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Entities after arrivals (id, name, type, layer, seq): the latest name wins unless it only differs in case and would lose capitals; a layer, once stated, is only replaced by another."""
-    base = old.select("id", "name", "type", "layer", F.lit(-1).cast("long").alias("seq"))
-    rows = base.unionByName(new.select("id", "name", "type", "layer", F.col("seq").cast("long")))
-    row = F.struct("seq", "name", "type", "layer")
-    grouped = rows.groupBy("id").agg(F.array_sort(F.collect_list(row)).alias("r"))
-    better = F.aggregate(
-        F.slice("r", 2, F.size("r")),
-        F.element_at("r", 1)["name"],
-        lambda name, x: F.when((F.lower(name) == F.lower(x["name"])) & (F.length(F.regexp_replace(x["name"], "[^A-Z]", "")) <= F.length(F.regexp_replace(name, "[^A-Z]", ""))), name).otherwise(x["name"]),
-    )
-    said = F.filter("r", lambda x: F.coalesce(x["layer"], F.lit("")) != "")
-    return grouped.select("id", better.alias("name"), F.element_at("r", 1)["type"].alias("type"), F.coalesce(F.try_element_at(said, F.lit(-1))["layer"], F.lit("")).alias("layer"))
+    """Entities after arrivals (id, name, type, layer, seq, and perhaps source_id and private), in the order of seq.
+
+    Name: a materially different one replaces the former; of spellings that differ only in case, the first with a
+    capital stays. Type: the last. Layer: one of production over test over vendor over none, the
+    first of equals. The source is that of the first arrival. Arrivals from a private source add entities
+    but never rename or relabel one. Every step is an aggregation with map-side combine, so an entity
+    that all documents name is no one task's rows.
+    """
+    columns = ["id", "name", "type", "source_id", "layer"]
+    had = old.columns
+    with_source = lambda df: df if "source_id" in df.columns else df.withColumn("source_id", F.lit(""))
+    base = with_source(old).select(*columns, F.lit(-1).cast("long").alias("seq"), F.lit(False).alias("private"))
+    arrived = with_source(new).select(*columns, F.col("seq").cast("long").alias("seq"), (F.col("private") if "private" in new.columns else F.lit(False)).alias("private"))
+    rows = base.unionByName(arrived).withColumn("layer", F.coalesce("layer", F.lit("")))
+    order = F.struct("seq", "name", "type", "layer")
+    first = rows.groupBy("id").agg(F.min(order).alias("f"), F.min_by("source_id", order).alias("source_id"))
+    # The first arrival counts whatever its source; of the others only the public ones.
+    counted = rows.join(first.select("id", "f"), "id").where(~F.col("private") | (order == F.col("f"))).drop("f")
+    last = counted.groupBy("id").agg(F.max(order).alias("last"))
+    spelling = counted.groupBy("id", F.lower("name").alias("low")).agg(F.max("seq").alias("until"))
+    final = last.select("id", F.lower("last.name").alias("low"), F.col("last.type").alias("type"))
+    former = spelling.join(final.withColumnRenamed("low", "own"), "id").where("low <> own").groupBy("id").agg(F.max("until").alias("since"))
+    run = counted.join(final.drop("type"), "id").where(F.lower("name") == F.col("low")).join(former, "id", "left").where(F.col("seq") > F.coalesce("since", F.lit(-2)))
+    named = run.groupBy("id").agg(F.coalesce(F.min_by("name", F.when(F.col("name") != F.lower("name"), F.struct("seq", "name"))), F.min("low")).alias("name"))
+    production = F.when(~F.col("layer").isin("", "test", "vendor"), F.struct("seq", "layer"))
+    layered = counted.groupBy("id").agg(F.min_by("layer", production).alias("own"), F.max((F.col("layer") == "test").cast("int")).alias("test"), F.max((F.col("layer") == "vendor").cast("int")).alias("vendor"))
+    layer = F.coalesce("own", F.when(F.col("test") == 1, "test"), F.when(F.col("vendor") == 1, "vendor"), F.lit(""))
+    out = final.drop("low").join(named, "id").join(layered.select("id", layer.alias("layer")), "id").join(first.select("id", "source_id"), "id")
+    return out.select(*[c for c in (had if set(had) <= set(columns) else columns)])
+
+
+def upsert_aliases(old: DataFrame, new: DataFrame) -> DataFrame:
+    """alias (trimmed, lower case), entity_id of both, each once."""
+    clean = lambda df: df.select(F.lower(F.trim("alias")).alias("alias"), "entity_id")
+    return clean(old).union(clean(new)).where("alias <> ''").distinct()
 
 
 def replace_edges(old: DataFrame, new: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -218,14 +267,117 @@ def membership_split(view: DataFrame) -> DataFrame:
     return sets.join(split.select("dst"), "dst").select("dst", text.source_label(F.col("source_id")).alias("source"), "members")
 
 
-def candidates(entities: DataFrame, least: float = 0.55, most: int = 5, types: tuple[str, ...] = ("person", "team", "service")) -> DataFrame:
-    """id, other, score: likely the same entity, by the cosine of their names' vectors, within a type and a first name token's block."""
-    from ..functions import embed
+#: Types within which one name may stand for another, and how alike names must be.
+RESOLVABLE, CANDIDATE_FLOOR, MERGE_CUTOFF, MOST_CANDIDATES = ("person", "team", "service"), 0.55, 0.90, 5
+
 
-    kept = entities.where(F.col("type").isin(*types)).select("id", "type", "name")
-    keyed = kept.withColumn("v", embed.hash_embed(F.col("name"))).withColumn("token", F.explode(F.array_distinct(text.name_tokens(F.col("name")))))
-    a = keyed.select("type", "token", "id", "v")
-    b = keyed.select("type", "token", F.col("id").alias("other"), F.col("v").alias("w"))
-    pairs = a.join(b, ["type", "token"]).where("id < other").dropDuplicates(["id", "other"])
-    scored = pairs.withColumn("score", embed.cosine(F.col("v"), F.col("w"))).where(F.col("score") >= least)
-    return scored.withColumn("rn", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "other"))).where(F.col("rn") <= most).select("id", "other", "score")
+def candidates(entities: DataFrame, others: DataFrame | None = None, least: float = CANDIDATE_FLOOR, most: int = MOST_CANDIDATES, types: tuple[str, ...] = RESOLVABLE, embedder=None) -> DataFrame:
+    """id, other, score: the `most` likeliest of the others (id, type, name) of each entity's type, by the cosine of their names' vectors.
+
+    Every pair of a type is scored, in blocks of entities against the others, and `most` are kept in each task.
+    Without others, entities are compared with those of smaller id.
+    """
+    from ..functions import embed
+    from . import retrieval
+
+    model, out = embedder or embed.Embedder(), None
+    pool = entities if others is None else others
+    for kind in types:
+        asked = cut(model.passages(entities.where(F.col("type") == kind).select("id", "name"), "name").withColumn("qid", F.monotonically_increasing_id()))
+        known = cut(model.passages(pool.where(F.col("type") == kind).select("id", "name"), "name").withColumn("row", F.monotonically_increasing_id()))
+        # An entity is its own nearest, and larger ids are left out: where there are no others more must be kept.
+        near = retrieval.dense_topk(known.select(F.col("row").alias("id"), "embedding"), asked, most + 1 if others is not None else 4 * most).select("qid", F.col("id").alias("row"), "score")
+        named = near.join(asked.select("qid", "id"), "qid").join(known.select("row", F.col("id").alias("other")), "row")
+        kept = named.where((F.col("score") >= least - 1e-9) & (F.col("id") != F.col("other")))
+        if others is None:
+            kept = kept.where("other < id")
+        out = kept if out is None else out.union(kept)
+    w = Window.partitionBy("id").orderBy(F.desc("score"), "other")
+    return out.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most).select("id", "other", "score")
+
+
+def resolutions(new: DataFrame, old: DataFrame, adjudicator=None, evidence: DataFrame | None = None, embedder=None) -> DataFrame:
+    """id, canonical: new entities (id, name, type, and perhaps context) that are entities of old under another name.
+
+    adjudicator, the seam for a model, is a function of (type, name, candidate names, context, candidate contexts) to
+    the matching name or None, called in the workers; where it fails nothing is merged. Without
+    one, the likeliest is taken from a cosine of MERGE_CUTOFF on. evidence: id, title, kind.
+    """
+    fresh = new.where(F.col("type").isin(*RESOLVABLE)).join(old.select("id"), "id", "left_anti")
+    pairs = candidates(fresh.select("id", "name", "type"), old.select("id", "name", "type"), embedder=embedder)
+    best = F.struct((-F.col("score")).alias("s"), F.col("other").alias("canonical"))
+    if adjudicator is None:
+        return pairs.where(F.col("score") >= MERGE_CUTOFF).groupBy("id").agg(F.min(best).alias("b")).select("id", "b.canonical")
+    said = F.concat(F.lit('"'), "title", F.lit('" ('), "kind", F.lit(")"))
+    told = evidence.groupBy(F.col("id").alias("other")).agg(F.array_join(F.array_sort(F.collect_list(said)), "; ").alias("context")) if evidence is not None else old.limit(0).select(F.col("id").alias("other"), F.lit("").alias("context"))
+    named = pairs.join(old.select(F.col("id").alias("other"), F.col("name").alias("other_name")), "other").join(told, "other", "left")
+    offer = F.struct((-F.col("score")).alias("s"), "other", "other_name", F.coalesce("context", F.lit("")).alias("context"))
+    grouped = named.groupBy("id").agg(F.array_sort(F.collect_list(offer)).alias("offers"))  # MOST_CANDIDATES at most
+    own = fresh.select("id", "name", "type", (F.coalesce("context", F.lit("")) if "context" in fresh.columns else F.lit("")).alias("said"))
+
+    @F.pandas_udf("string")
+    def chosen(kind: pd.Series, name: pd.Series, context: pd.Series, offers: pd.Series) -> pd.Series:
+        def pick(t, n, c, found):
+            try:
+                match = adjudicator(t, n, [o["other_name"] for o in found], c, [o["context"] for o in found])
+            except Exception:  # no answer: nothing is merged
+                return None
+            return next((o["other"] for o in found if match and o["other_name"].lower() == match.strip().lower()), None)
+
+        return pd.Series([pick(*row) for row in zip(kind, name, context, offers, strict=True)], dtype=object)
+
+    return own.join(grouped, "id").select("id", chosen("type", "name", "said", "offers").alias("canonical")).where("canonical is not null")
+
+
+def guarded(entities: DataFrame, aliases: DataFrame, edges: DataFrame, old: DataFrame, private_sources: DataFrame, adjudicator=None, embedder=None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(entities, aliases, edges) of documents, as they may be written (columns source_id and, of entities, seq).
+
+    Names of public sources are resolved: a merged entity becomes an alias of its canonical one, and edges follow.
+    A private source (column source_id) may attach edges to any entity, but resolves nothing, renames nothing
+    (its entities are marked private) and gives aliases only to entities of its own.
+    """
+    mark = private_sources.select("source_id", F.lit(True).alias("private")).distinct()
+    flagged = lambda df: df.join(F.broadcast(mark), "source_id", "left").withColumn("private", F.coalesce("private", F.lit(False)))  # noqa: E731  a row per private source
+    said = flagged(entities)
+    merged = cut(resolutions(said.where("not private").dropDuplicates(["id"]), old, adjudicator, embedder=embedder))
+    kept = said.join(merged, "id", "left").where(F.col("canonical").isNull() | F.col("private")).drop("canonical")
+    spoken = said.where("not private").join(merged, "id").select(F.col("name").alias("alias"), F.col("canonical").alias("entity_id"))
+    to = merged.select(F.col("id").alias("from_id"), "canonical")
+    moved = lambda df, column: df.join(to, F.col(column) == F.col("from_id"), "left").withColumn(column, F.when(F.col("canonical").isNotNull() & ~F.col("private"), F.col("canonical")).otherwise(F.col(column))).drop("from_id", "canonical")
+    told = moved(flagged(aliases), "entity_id")
+    minted = old.select(F.col("id").alias("entity_id"), F.col("source_id").alias("minted_by"))
+    allowed = told.join(minted, "entity_id", "left").where(~F.col("private") | F.col("minted_by").isNull() | (F.col("minted_by") == F.col("source_id")))
+    all_aliases = allowed.select("alias", "entity_id").union(spoken).distinct()
+    remapped = moved(moved(flagged(edges), "src"), "dst").drop("private")
+    return kept, all_aliases, remapped.select(*edges.columns)
+
+
+def branch_bridges(entities: DataFrame, aliases: DataFrame) -> DataFrame:
+    """src, dst, branch: branches (branch:<repository>/<name>) of one name whose repositories are spellings of one; groups of 2 to MAX_BRANCH_GROUP.
+
+    Spellings of a repository are linked by its names and aliases; families are connected components over
+    normalised names, whose rounds are written to the shared folder.
+    """
+    repos = entities.where("type = 'repo'").select("id", F.col("name").alias("said"))
+    spelled = repos.union(repos.join(aliases.select(F.col("entity_id").alias("id"), "alias"), "id").select("id", "alias")).select("id", text.normalize_name(F.col("said")).alias("norm")).where("norm <> ''").distinct()
+    families = smallest_reachable(spelled.join(spelled.groupBy("id").agg(F.min("norm").alias("least")), "id").select(F.col("norm").alias("a"), F.col("least").alias("b")))
+    rest = F.expr("substr(id, 8)")
+    named = entities.where("type = 'branch' and startswith(id, 'branch:')").select("id", F.substring_index(rest, "/", 1).alias("repo"), F.regexp_extract(rest, r"^[^/]*/(.+)$", 1).alias("branch")).where("repo <> '' and branch <> ''")
+    placed = named.withColumn("norm", text.normalize_name(F.col("repo"))).join(families.withColumnRenamed("node", "norm"), "norm", "left").withColumn("family", F.coalesce("root", "norm"))
+    sized = placed.groupBy("family", "branch").agg(F.count("*").alias("n")).where(F.col("n").between(2, MAX_BRANCH_GROUP)).select("family", "branch")
+    groups = placed.join(sized, ["family", "branch"]).groupBy("family", "branch").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    return groups.select("branch", F.explode("ids").alias("src"), "ids").select("branch", "src", F.explode("ids").alias("dst")).where("src < dst").select("src", "dst", "branch")
+
+
+def smallest_reachable(links: DataFrame, rounds: int = 60) -> DataFrame:
+    """node, root: the smallest node reachable over links (a, b); each round halves the way left, and not ending is an error."""
+    both = cut(links.where("a <> b").union(links.where("a <> b").select("b", "a")).toDF("node", "other").distinct())
+    at = cut(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("root")))
+    for _ in range(rounds):
+        near = both.join(at.withColumnRenamed("node", "other"), "other").select("node", "root")
+        far = at.join(at.select(F.col("node").alias("root"), F.col("root").alias("beyond")), "root").select("node", F.col("beyond").alias("root"))
+        now = cut(at.union(near).union(far).groupBy("node").agg(F.min("root").alias("root")))
+        if now.join(at, ["node", "root"], "left_anti").isEmpty():
+            return now
+        at = now
+    raise RuntimeError(f"components are not found after {rounds} rounds")

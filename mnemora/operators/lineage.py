@@ -1,21 +1,42 @@
-"""Cutting the lineage of iterative programs."""
+"""Cutting the lineage of iterative programs, and folders that driver and executors share."""
 
 from __future__ import annotations
 
 import atexit
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed and read back from the checkpoint folder (spark.checkpoint.dir; a temporary one where none is set, as in tests)."""
-    sc = df.sparkSession.sparkContext
+def shared_root(spark: SparkSession) -> str:
+    """spark.checkpoint.dir of the session; where none is set and Spark is local (tests), a temporary folder."""
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if not folder:
-            folder = tempfile.mkdtemp(prefix="mnemora-")
-            atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        sc.setCheckpointDir(folder)
+        root = sc.getConf().get("spark.checkpoint.dir")
+        if not root:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            root = tempfile.mkdtemp(prefix="mnemora-")
+            atexit.register(shutil.rmtree, root, ignore_errors=True)
+        sc.setCheckpointDir(root)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed and read back from the checkpoint folder."""
+    shared_root(df.sparkSession)
     return df.checkpoint()
+
+
+def folder(spark: SparkSession) -> str:
+    """A new folder below the shared one; it goes when the driver's process ends."""
+    path = f"{shared_root(spark)}/mnemora-{uuid.uuid4().hex}"
+
+    def drop() -> None:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+    atexit.register(lambda: drop() if SparkSession.getActiveSession() is not None else None)
+    return path

@@ -7,13 +7,13 @@ from mnemora.operators import answers
 from mnemora.sources import feeds
 
 
-def test_references():
+def test_references(spark):
     said = "[source: A | uri: u1 | kind: doc | score: 0.81]\n[git:x · A · u1]\nFirst words here.\n\n---\n\n[evidence: B | uri: u2] [evidence: A | uri: u1] rest"
-    got = answers.references(said)
-    assert [(r["label"], r["uri"], r["score"], r["snippet"]) for r in got] == [("A", "u1", 0.81, "First words here."), ("B", "u2", None, "rest")]
-    assert answers.references(None) == []
-    long = answers.references("[source: A | uri: u] " + "word " * 100)[0]["snippet"]
-    assert len(long) <= 221 and long.endswith("word…")
+    df = spark.createDataFrame([(0, said), (1, None), (2, "[source: A | uri: u] " + "word " * 100), (3, "[source: A | uri: ] " + "x" * 400), (4, "[source: A | uri: u | score: 1.2.3]")], "k long, t string")
+    got = {r.k: r.r for r in df.select("k", answers.references(F.col("t")).alias("r")).collect()}
+    assert [(r["label"], r["uri"], r["kind"], r["score"], r["snippet"]) for r in got[0]] == [("A", "u1", "doc", 0.81, "First words here."), ("B", "u2", None, None, "rest")]
+    assert got[1] == [] and got[4][0].score is None
+    assert len(got[2][0].snippet) <= 221 and got[2][0].snippet.endswith("word…") and got[3][0].snippet == "x" * 220 + "…"
 
 
 @pytest.mark.parametrize(
