@@ -79,15 +79,18 @@ def grounding_gate(spark, d):
     return _rounded(retrieval.hybrid_search(corpus(spark, d), asked(spark, d), 8, 0.15))
 
 
-ORACLE_SQL["hybrid_search_scoped"] = f"with {model.CORPUS_SQL}".replace("on doc_id = vec_id", "on doc_id = vec_id where source in ('src0', 'src1', 'src2', 'src5') or doc_id % 50 = 0").replace(
-    "from (select qid, id, list_cosine_similarity", "from (select qid, id, source_id, list_cosine_similarity"
-) + _FUSED + _GATED.format(least="-1")
+_SCOPED = (
+    model.CORPUS_SQL.replace("\ncorpus as (", "\nevery_doc as (")
+    .replace("from corpus where id % 50 = 0", "from every_doc where id % 50 = 0")
+    .replace("), dense as (", "), corpus as (\n  select * from every_doc where source_id in ('src0', 'src1', 'src2', 'src5')\n), dense as (", 1)
+)
 
 
-@query()
+@query(f"with {_SCOPED}" + _FUSED + _GATED.format(least="-1"))
 def hybrid_search_scoped(spark, d):
-    docs = corpus(spark, d).where("source_id in ('src0', 'src1', 'src2', 'src5') or id % 50 = 0")
-    return _rounded(retrieval.hybrid_search(docs, asked(spark, d), 8, -1.0, scope=scope.Scope(visible=None)))
+    """All questions, over what a reader of four sources may see."""
+    docs = corpus(spark, d)
+    return _rounded(retrieval.hybrid_search(docs, asked(spark, d), 8, -1.0, scope=scope.Scope(visible=("src0", "src1", "src2", "src5"))))
 
 
 @query()
@@ -324,9 +327,13 @@ def graph_path_hops(spark, d):
     return graph.hops(edges(spark, d), "nation:3", 2)
 
 
-@query()
+@query(""", both_ways as (select distinct src as a, rel, dst as b from edges union select distinct dst, rel, src from edges),
+p1 as (select 1 as hops, ['supplier:1', b] as n, [rel] as r, b as z from both_ways where a = 'supplier:1'),
+p2 as (select 2 as hops, list_append(n, b) as n, list_append(r, rel) as r, b as z from p1 join both_ways on a = z where z <> 'nation:5' and not list_contains(n, b)),
+p3 as (select 3 as hops, list_append(n, b) as n, list_append(r, rel) as r, b as z from p2 join both_ways on a = z where z <> 'nation:5' and b = 'nation:5' and not list_contains(n, b))
+select hops, array_to_string(n, ' > ') as nodes, array_to_string(r, ' > ') as rels from (from p1 union all from p2 union all from p3) where z = 'nation:5' order by hops, n, r limit 5""", "graph")
 def graph_path_candidates(spark, d):
-    out = graph.paths(edges(spark, d).where("rel <> 'depends_on'"), "supplier:1", "nation:5", 3)
+    out = graph.paths(edges(spark, d), "supplier:1", "nation:5", 3)
     return out.select("hops", F.array_join("nodes", " > ").alias("nodes"), F.array_join("rels", " > ").alias("rels"))
 
 
@@ -337,15 +344,18 @@ def orphan_entities(spark, d):
     return graph.orphans(entities(spark, d), e).select("id", "name", "type")
 
 
-_PLAYED = """(select case type when 'customer' then 'service' when 'supplier' then 'repo' else type end as type, id, case when type = 'supplier' then 'Customer' || substr(name, 9) else name end as name from entities where type in ('customer', 'supplier'))"""
+_PLAYED = """, played as (select case type when 'customer' then 'service' else 'repo' end as type, id, case when type = 'supplier' then 'Customer' || substr(name, 9) else name end as name from entities where type in ('customer', 'supplier')
+), said as (select id, type, regexp_replace(lower(name), '[^a-z0-9]+', '', 'g') as norm from played union select 'supplier:' || s_suppkey, 'repo', 'customer' || lpad((s_suppkey + 1)::varchar, 9, '0') from supplier
+), sized as (select norm from said group by 1 having count(*) between 2 and 6)"""
 
 
-@query(f"select least(a.id, b.id) as src, greatest(a.id, b.id) as dst, regexp_replace(lower(a.name), '[^a-z0-9]+', '', 'g') as norm from {_PLAYED} a join {_PLAYED} b on a.type = 'service' and b.type = 'repo' and regexp_replace(lower(a.name), '[^a-z0-9]+', '', 'g') = regexp_replace(lower(b.name), '[^a-z0-9]+', '', 'g')", "graph")
+@query(_PLAYED + " select a.id as src, b.id as dst, min(norm) as norm from said a join said b using (norm) where norm in (from sized) and a.id < b.id and a.type <> b.type group by 1, 2", "graph")
 def same_as_bridges(spark, d):
-    """Customers as services and suppliers as repos that carry customers' names."""
+    """Customers as services; suppliers as repos that carry a customer's name, and the next customer's as an alias."""
     e = entities(spark, d).where("type in ('customer', 'supplier')")
     named = e.select("id", F.expr("if(type = 'supplier', concat('Customer', substr(name, 9)), name)").alias("name"), F.expr("if(type = 'customer', 'service', 'repo')").alias("type"))
-    return graph.same_as(named, aliases(spark, d).limit(0))
+    spoken = table(spark, d, "supplier").select(F.expr("concat('customer ', lpad(s_suppkey + 1, 9, '0'))").alias("alias"), F.expr("concat('supplier:', s_suppkey)").alias("entity_id"))
+    return graph.same_as(named, spoken)
 
 
 @query(""", m as (select e.dst, d.source_id, lower(s.name) as key, min(s.name) as member from edges e join entities s on s.id = e.src join evidence d on d.doc_id = e.evidence_doc_id where e.rel = 'provides' group by 1, 2, 3),
@@ -419,9 +429,9 @@ def upsert_document(spark, d):
     return catalog.upsert(docs, changed.union(changed), ["doc_id"], F.col("source"))
 
 
-@query("select o_orderkey from orders where o_orderkey % 2 = 0 and o_orderkey not in (select l_orderkey from lineitem where l_linenumber >= 3)")
+@query("select o_orderkey from orders where o_orderkey not in (select l_orderkey from lineitem where l_linenumber >= 3)")
 def pending_anti(spark, d):
-    pending = table(spark, d, "orders").where("o_orderkey % 2 = 0").select("o_orderkey")
+    pending = table(spark, d, "orders").select("o_orderkey")
     gone = table(spark, d, "lineitem").where("l_linenumber >= 3").select(F.col("l_orderkey").alias("o_orderkey"))
     return catalog.without(pending, gone, ["o_orderkey"])
 

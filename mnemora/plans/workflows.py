@@ -11,7 +11,7 @@ from ..functions import classify, dates, embed, text
 from ..operators import ann, answers, catalog, evals, gaps, graph, mining, retrieval
 from ..sources import feeds, manifests, pages
 from . import model
-from .memory import query
+from .memory import ORACLE_SQL, query
 from .model import table
 
 # --- pages -------------------------------------------------------------------
@@ -36,11 +36,16 @@ def page_links(spark, d):
     return pages.links(table(spark, d, "pages"))
 
 
-@query()
+@query(f"select uri, floor(log2(page_id + 1))::int as level from ({ORACLE_SQL['canonical_url'].strip()}) where page_id < 15")
 def crawl_levels(spark, d):
-    p = table(spark, d, "pages")
-    start = [r.url for r in p.where("page_id = 0").select("url").collect()]
-    return pages.crawl(p, start, 2)
+    """Pages as a tree: each links to two others, and three levels below the first are read."""
+    p = table(spark, d, "pages").select("page_id", "url", F.concat("html", F.col("page_id").cast("string")).alias("html"))
+    place = p.select(F.col("page_id").alias("to"), F.col("url").alias("target"))
+    links = p.select("page_id", F.explode(F.array(2 * F.col("page_id") + 1, 2 * F.col("page_id") + 2)).alias("to")).join(place, "to")
+    listed = links.groupBy("page_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit('<a href="'), "target", F.lit('">x</a>')))), "").alias("links"))
+    linked = p.join(listed, "page_id", "left").withColumn("html", F.concat("html", F.coalesce("links", F.lit("")))).drop("links")
+    start = [r.url for r in p.where("page_id = 0").select("url").collect()]  # the one address to begin with
+    return pages.crawl(linked, start, 3)
 
 
 @query(r"""with u as (select [x for x in string_split(regexp_replace(split_part(split_part(url, '#', 1), '?', 1), '^[a-z]+://', ''), '/') if x <> ''] as p from pages),
@@ -183,10 +188,10 @@ def report_compare(spark, d):
 
 def _gaps(spark, d) -> DataFrame:
     b = table(spark, d, "benchmark")
-    return b.select(F.col("item_id").alias("id"), F.substring_index("text", " ", 6).alias("query"), F.sha2("text", 256).alias("query_hash"), F.col("item_id").alias("created_at"))
+    return b.select(F.col("item_id").alias("id"), F.col("text").alias("query"), F.sha2("text", 256).alias("query_hash"), F.col("item_id").alias("created_at"))
 
 
-_JACCARD = """with w as (select item_id as id, item_id % 4 as cluster_id, list_distinct(regexp_extract_all(lower(array_to_string(string_split(text, ' ')[1:6], ' ')), '[a-z0-9]+')) as t from benchmark),
+_JACCARD = """with w as (select item_id as id, item_id % 4 as cluster_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) as t from benchmark),
 s as (select a.cluster_id, a.id, round(coalesce(sum(len(list_intersect(a.t, b.t)) * 1.0 / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t)))), 0), 9) as s
   from w a left join w b on a.cluster_id = b.cluster_id and a.id <> b.id and len(list_intersect(a.t, b.t)) > 0 group by all)
 select cluster_id, id from (select *, row_number() over (partition by cluster_id order by s desc, id) as rn from s) where rn = 1"""

@@ -63,12 +63,12 @@ def compact(table: Table, files: int, most_versions: int = 500) -> bool:
     return True
 
 
-def prepared(documents: DataFrame, version: int = EXTRACTOR_VERSION) -> DataFrame:
-    """Documents (source_id, uri, title, kind, text, updated_at) with their id, normalised text, hash and graph version."""
+def prepared(documents: DataFrame, version: int = EXTRACTOR_VERSION, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Documents (source_id, uri, title, kind, text, updated_at) with their id, normalised text, hash and graph version, and the further columns in keep."""
     said = documents.withColumn("text", text.normalize_text(F.col("text")))
     return said.select(
         text.doc_id(F.col("source_id"), F.col("uri")).alias("doc_id"), "source_id", "uri", "title", "kind", "text",
-        text.content_hash(F.col("text")).alias("content_hash"), F.lit(version).alias("graph_version"), F.col("updated_at").cast("string").alias("updated_at"),
+        text.content_hash(F.col("text")).alias("content_hash"), F.lit(version).alias("graph_version"), F.col("updated_at").cast("string").alias("updated_at"), *keep,
     )
 
 

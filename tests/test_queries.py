@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from mnemora.plans import memory, workflows  # noqa: F401
+from mnemora.plans import ledger, memory, workflows  # noqa: F401
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
