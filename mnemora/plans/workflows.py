@@ -156,7 +156,12 @@ def calibration_curve(spark, d):
     return evals.calibration_curve(_results(spark, d)).select("t", "gr", "ra")
 
 
-@query()
+@query(f"""with curve as (select t, round(avg(case when not refusal then case when score >= t / 100.0 then 1.0 else 0 end end), 3) as gr, round(avg(case when refusal then case when score < t / 100.0 then 1.0 else 0 end end), 3) as ra
+  from {_RESULTS}, (select unnest(generate_series(30, 80))::int as t) group by t),
+o as (select *, ra >= 0.5 as ok, round((ra + gr) / 2, 6) as objective from curve), best as (select max(objective) filter (ok) as best from o), plateau as (select t from o, best where ok and abs(objective - best) < 1e-9),
+edges as (select min(t) as low, max(t) as high from plateau), safe as (select t from o order by ra desc, t desc limit 1), middle as (select t from plateau, edges order by abs(2 * t - low - high), t limit 1)
+select coalesce((select t from middle), safe.t) / 100.0 as threshold, coalesce(low, safe.t) / 100.0 as plateau_low, coalesce(high, safe.t) / 100.0 as plateau_high, best is not null as floor_met,
+  (select count(*) filter (not refusal) < 10 or count(*) filter (refusal) < 10 from {_RESULTS}) as thin from edges, safe, best""")
 def threshold_calibration(spark, d):
     return evals.calibrate(_results(spark, d), 0.5)
 

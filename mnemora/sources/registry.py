@@ -40,6 +40,15 @@ def as_bool(value, default: bool = False) -> bool:
     return value if isinstance(value, bool) else str(value).strip().lower() in ("1", "true", "yes", "on")
 
 
+def instance(names: list[str], wanted: str) -> str:
+    """The one of several configured instances that is meant: by its name, else by a part of it; an error names the choice."""
+    low = wanted.strip().lower()
+    found = [n for n in names if n.lower() == low] or [n for n in names if low and low in n.lower()] or (names if not low else [])
+    if len(found) != 1:
+        raise KeyError(f"{wanted!r} fits {', '.join(found) or 'none'} of {', '.join(names)}")
+    return found[0]
+
+
 def register(name: str):
     def add(cls):
         CONNECTORS[name] = cls

@@ -17,6 +17,14 @@ def test_ann_recall(spark):
     assert ann.topk(corpus.limit(50), asked, 3).count() == asked.count() * 3
 
 
+def test_the_index_recalls_the_embeddings_table(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
+    asked = rows.where("id % 50 = 0").withColumnRenamed("id", "qid")
+    exact = {(r.qid, r.id) for r in retrieval.dense_topk(rows, asked, 10).collect()}
+    found = {(r.qid, r.id) for r in ann.topk(rows, asked, 10, exact_below=1).collect()}  # lists and probes by default
+    assert len(exact & found) >= 0.9 * len(exact)
+
+
 def test_settings():
     base = {"a": 1, "r": {"k": 8, "m": 0.5}}
     assert settings.sparse({"a": 1, "r": {"k": 9, "m": 0.5}}, base) == {"r": {"k": 9}}

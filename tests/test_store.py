@@ -12,10 +12,11 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from mnemora.engine import BACKLOG, Engine
 from mnemora.functions import embed, stem
 from mnemora.operators import evals, graph, retrieval
-from mnemora.sources import files, pdf, push
-from mnemora.sources.registry import TransientError
+from mnemora.sources import export, files, pdf, push
+from mnemora.sources.registry import TransientError, instance
 from mnemora.streaming import runs
 from mnemora.streaming.store import Buckets, Memory
 
@@ -145,6 +146,48 @@ def test_watermarks_are_committed_after_success(spark, memory):
     assert seen[1] == seen[2] == {"cursor": "c1", "since": first} and memory.watermark("wiki:w", "cursor") == "c3"
 
 
+def test_engine_answers_as_one_reader(spark, memory):
+    memory.ingest(docs_of(
+        spark, ("wiki:w", "u1", "Pay", "doc", "the payments service uses stripe for PAY-7", "1", json.dumps({"entities": [["service:pay", "Payments", "service"]], "aliases": [["pay", "service:pay"]], "edges": [["service:pay", "depends_on", "service:stripe", "x"]]})),
+        ("notes:ana", "u2", "Secret", "note", "the payments service is secret for PAY-7", "1"), ("wiki:w", "u3", "Other", "doc", "meeting notes of monday", "1"),
+    ))
+    ask = spark.createDataFrame([(1, "payments service stripe")], "qid long, query string")
+    everyone, reader = Engine(memory, min_score=0.3), Engine(memory, ("wiki:w",), min_score=0.3)
+    assert {r.title for r in everyone.search(ask).collect()} == {"Pay", "Secret"} and {r.title for r in reader.search(ask).collect()} == {"Pay"}
+    assert [r.title for r in everyone.search(ask, sources=("notes:ana",)).collect()] == ["Secret"] and reader.search(ask, documents=("x",)).count() == 0
+    assert Engine(memory, min_score=0.99).search(ask).count() == 0
+    assert reader.search(spark.createDataFrame([(1, "what is pay")], "qid long, query string"), expand=True).count() >= 0
+    hits = everyone.search(ask)
+    assert {r.title for r in everyone.related(hits.where("title = 'Pay'")).join(memory.documents.read().select("doc_id", "title"), "doc_id").collect()} <= {"Secret", "Other"}
+    assert [(r.source_id, r.documents) for r in reader.sources().collect()] == [("wiki:w", 2)] and everyone.stats().first().documents == 3
+    assert [(r.rel, r.names) for r in reader.neighbors("service:pay").collect()] == [("depends_on", ["service:stripe"])]
+    assert [r.names for r in reader.relations("depends_on").collect()] == [["Payments"]]
+    assert reader.paths("service:pay", "service:stripe").first().hops == 1
+    assert reader.resolve(spark.createDataFrame([("PAY",)], "needle string")).first().id == "service:pay"
+    assert reader.snapshot().count() == 1 and reader.dates(spark.createDataFrame([("yesterday",)], "phrase string")).count() == 1
+    assert reader.gap_clusters(spark.createDataFrame([(1, "q one", "h", 0.1, "[]", "", "open", "", "1", None)], BACKLOG)).count() == 1
+    facts = spark.createDataFrame([("Deploys are on friday", "Deploys", "bob", False)], "fact string, topic string, user string, share boolean")
+    assert [r.action for r in everyone.remember(facts).collect()] == ["added"] and [r.action for r in everyone.remember(facts).collect()] == ["skipped"]
+    assert memory.documents.read().where("source_id = 'notes:bob'").count() == 1
+    talk = spark.createDataFrame([("c1", None, "Talk")], "id string, project_id string, title string")
+    said = spark.createDataFrame([("c1", "SUMMARY:\nWe spoke.\nRELATIONSHIPS:\n- service: A | depends_on | service: B\n")], "id string, said string")
+    everyone.learn_conversations(talk, said)
+    assert ("service:a", "depends_on", "service:b") in edges_of(memory)
+
+
+def test_exports(spark, tmp_path):
+    said = "# Head\nText **bold** `c<d`\n\n- one\n- two\n\n| A | B |\n| --- | --- |\n| 1 | x,y |\n```\n<raw> **x**\n```\n| C | D |\n| 2 | 3 |\n"
+    page = export.to_html(said, "T & t")
+    for part in ("<title>T &amp; t</title>", "<h1>Head</h1>", "<p>Text <strong>bold</strong> <code>c&lt;d</code></p>", "<ul><li>one</li><li>two</li></ul>", "<tr><th>A</th><th>B</th></tr><tr><td>1</td><td>x,y</td></tr>", "<pre>&lt;raw&gt; **x**</pre>"):
+        assert part in page
+    assert export.tables_csv(said) == 'A,B\n1,"x,y"\n\nC,D\n2,3\n'
+    export.write_report(spark.createDataFrame([(1, "a")], "n int, s string"), str(tmp_path / "r"))
+    assert spark.read.json(str(tmp_path / "r")).first().s == "a"
+    assert instance(["prod-east", "Prod"], "prod") == "Prod" and instance(["prod-east", "x"], "east") == "prod-east" and instance(["only"], "") == "only"
+    with pytest.raises(KeyError):
+        instance(["a1", "a2"], "a")
+
+
 # --- graph writes ------------------------------------------------------------
 
 
