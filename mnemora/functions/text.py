@@ -43,6 +43,12 @@ def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
 
 
+def nfkc(text: Column) -> Column:
+    """NFKC of a text (null: empty); only texts with other than ASCII characters leave the JVM."""
+    said = F.coalesce(text, F.lit(""))
+    return F.coalesce(_nfkc(F.when(said.rlike(r"[^\x00-\x7f]"), said)), said)
+
+
 def fold(text: Column) -> Column:
     """Typographic characters to their ASCII spelling; zero-width ones go."""
     out = F.translate(text, "".join(FOLD_ONE) + FOLD_NONE, "".join(FOLD_ONE.values()))
@@ -53,7 +59,7 @@ def fold(text: Column) -> Column:
 
 def normalize_text(text: Column) -> Column:
     """Body text: NFKC, folding, \\n line ends, no control characters, single blanks, no trailing blanks, at most one empty line; null is empty."""
-    out = fold(_nfkc(F.coalesce(text, F.lit(""))))
+    out = fold(nfkc(text))
     out = F.regexp_replace(out, r"\r\n?", "\n")
     out = F.regexp_replace(out, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
     out = F.regexp_replace(out, r"[ \t]+", " ")
@@ -63,7 +69,7 @@ def normalize_text(text: Column) -> Column:
 
 
 def normalize_query(text: Column) -> Column:
-    return F.trim(F.regexp_replace(fold(_nfkc(F.coalesce(text, F.lit("")))), r"\s+", " "))
+    return F.trim(F.regexp_replace(fold(nfkc(text)), r"\s+", " "))
 
 
 def content_hash(text: Column) -> Column:
