@@ -2,6 +2,13 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 return the columns of documents. What a stage rejects is gone for the next.
+
+Defined cases, for every stage: an empty table gives an empty result; further columns, whatever
+their names, are passed on (the last stage ignores them). A null or blank text is scored as the
+classifier's bias; such texts are copies of each other; none holds an item; the mix leaves them out, as they have
+no words; as tokens they would be the end id alone. A null doc_id is last among the ids of a group, so
+it stays only where all are null, and first in the token order. Rows that repeat id and text stay once after the
+near copies went. A null source is one source, last in order.
 """
 
 from __future__ import annotations
