@@ -52,10 +52,14 @@ IMAGE_BYTES = 8 << 20
 RAW = ("script", "style")
 HIDDEN = ("noscript", "template", "svg", "nav", "footer", "head")
 BLOCK = frozenset("p div br li ul ol tr table h1 h2 h3 h4 h5 h6 article section header main aside blockquote pre hr dd dt dl".split())
+#: The next <: of a plain tag (no < or >, even quoted), with its name; else alone.
+_TAG = re.compile(r"""<(?:(/?)([a-zA-Z][^\s/>"'<]*)(?:[^<>"']|"[^"<>]*"|'[^'<>]*')*>|)""")
 _NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)?")
 _RAW_END = {x: re.compile(rf"</{x}[\s/>]", re.I) for x in (*RAW, "title")}
 _BLANK = re.compile(r"[ \t\r\f\v\xa0]{2,}|[\t\r\f\v\xa0]")
 _LINES = re.compile(r" ?\n[ \n]*")
+#: Paths that only need their origin.
+_ROOTED = re.compile(r"/(?:[^/.?#;\s][^/?#;\s]*(?:/[^/.?#;\s][^/?#;\s]*)*/?)?")
 _HREF = re.compile(r"""[\s"'/]href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 
 
@@ -135,24 +139,28 @@ class Page:
     def _scan(self) -> None:
         page, at, text, unclosed = self.page, 0, 0, set()
         add = self.pieces.append
-        while (lt := page.find("<", at)) >= 0:
-            if page.startswith("<!--", lt):
+        while m := _TAG.search(page, at):
+            lt = m.start()
+            if m[2]:
+                end, name, closes = m.end(), m[2].lower(), m[1] == "/"
+            elif page.startswith("<!--", lt):
                 add((text, lt, None, False))
                 end = page.find("-->", lt + 4)
                 at = text = len(page) if end < 0 else end + 3
                 add((lt, at, "!", False))
                 continue
-            follows = page[lt + 1 : lt + 2]
-            if not (follows.isascii() and follows.isalpha() or follows in ("/", "!", "?")):
-                at = lt + 1
-                continue
-            end = self._tag_end(lt)
-            if end < 0:
-                break
+            else:
+                follows = page[lt + 1 : lt + 2]
+                if not (follows.isascii() and follows.isalpha() or follows in ("/", "!", "?")):
+                    at = lt + 1
+                    continue
+                end = self._tag_end(lt) + 1
+                if not end:
+                    break
+                closes = follows == "/"
+                name = (_NAME.match(page, lt + 1)[1] or "").lower() if follows not in ("!", "?") else "!"
             add((text, lt, None, False))
-            name = (_NAME.match(page, lt + 1)[1] or "").lower() if follows not in ("!", "?") else "!"
-            closes = follows == "/"
-            at = text = end + 1
+            at = text = end
             add((lt, at, name, closes))
             if name in _RAW_END and not closes and name not in unclosed:
                 close = _RAW_END[name].search(page, at)
@@ -197,12 +205,16 @@ class Page:
     def links(self, base: str | None) -> list[str]:
         """Targets of the page's anchors in order, absolute, each once."""
         out = {}
+        origin = re.match(r"https?://[^/?#]+", base or "")
         for a, b, name, closes in self.pieces:
             if name != "a" or closes:
                 continue
             m = _HREF.search(self.page, a, b)
             target = html.unescape(m[1] or m[2] or m[3] or "").strip() if m else ""
             if target and not target.startswith(("#", "javascript:", "mailto:", "data:")):
+                if origin and _ROOTED.fullmatch(target):
+                    out[origin[0] + target] = None
+                    continue
                 try:
                     out[urljoin(base or "", target)] = None
                 except ValueError:
