@@ -19,14 +19,18 @@ member. First each member is compared with two others of its bag: the smallest t
 hash (the same text in all bags that it leads) and the member whose bags are
 largest, which in a group of copies is the one nearest to what they were copied
 from. Texts of bags that this leaves in several components are then searched for all
-pairs that reach the threshold, by their prefixes: in any one order of all shingles
-two sets of n and m shingles that reach it share one of the first n - 0.8 n + 1
-and of the first m - 0.8 m + 1, and as many of these as the rest cannot make up for.
-Rare shingles come first, so a phrase that many texts share brings few pairs. Pairs of one component are left out, and
-a shingle of many texts is dealt out in blocks. Only the texts of candidate pairs are
+pairs that reach the threshold. Shingles that texts of different components share are
+found by one aggregation; only they can be common to a pair, so a text that has fewer
+than 0.8 of its own goes. In any one order of all shingles two sets of n and m
+shingles, of which p and q are shared, can only reach the threshold if they have one in
+common among the first p - 0.8 n + 1 and q - 0.8 m + 1; rare shingles come first, so a
+phrase that many texts share brings no pairs. Pairs of one component are left out. Where over
+``FEW`` texts share such a shingle no pairs are made: texts are put in blocks, alike ones together,
+and blocks that share one are compared by matrix products in one task for each two, which
+gives no more links than join them. Only the texts of candidate pairs are
 read again, with their shingles; components are found in the shared folder.
-Texts that many others resemble to nearly 0.8, and that no link joins, still cost the
-square of their number.
+Texts that many others resemble to nearly 0.8, in shingles that all of them share, and that no
+link joins, still cost the square of their number in arithmetic (512 by 512 at a time), not in rows.
 
 Defined cases: as in simhash; a text with fewer than five words is one shingle of all
 its words, and texts without a word are copies of each other.
@@ -38,11 +42,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import Prefix, chunks, components, stored, windows, words_of
+from .common import Prefix, chunks, components, scratch, skewed_join, stored, windows, words_of
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -50,11 +56,10 @@ BAGS = 16
 #: Short texts have 16 bags too, of fewer shingles.
 LEAST_LEVEL = 4
 BROADCAST_ROWS = 500_000
-#: Shingles that are put last in the order: those of over LEAST_COMMON texts, the COMMON most frequent.
-COMMON = 200_000
-LEAST_COMMON = 8
-#: Members of a shingle in one block.
-BLOCK = 1000
+#: A shingle of more texts is compared in blocks, of so many shingles together; a text counts as LEAST_WEIGHT of them at least.
+FEW = 32
+LEAST_WEIGHT = 2048
+BLOCK_WEIGHT = 512 * LEAST_WEIGHT
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int = SHINGLE) -> list[np.ndarray]:
@@ -128,58 +133,146 @@ def text_hash():
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
-def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (h, root, s) to a row (t, h, root, n) for each shingle of each set."""
     for batch in batches:
-        for k in range(0, batch.num_rows, 500):
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(batch.column(0).slice(k, 500).to_pylist()), np.int64))], names=["t"])
+        for at in range(0, batch.num_rows, 200):
+            part = batch.slice(at, 200)
+            sets = [np.frombuffer(x, np.int64) for x in part.column(2).to_pylist()]
+            sizes = np.array([len(x) for x in sets], np.int64)
+            which = pa.array(np.repeat(np.arange(len(sets)), sizes))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), part.column(0).take(which), part.column(1).take(which), pa.array(np.repeat(sizes, sizes))], names=["t", "h", "root", "n"])
 
 
-def prefix(shingles: np.ndarray, common: np.ndarray, ranks: np.ndarray, threshold: float) -> np.ndarray:
-    """The first n - threshold * n + 1 of a set's shingles: rare ones by hash, then common ones (sorted, with their ranks) by rank."""
-    n = len(shingles)
-    rank = np.full(n, -1, np.int64)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
-        rank = np.where(common[at] == shingles, ranks[at], -1)
-    return shingles[np.lexsort((shingles, rank))[: n - int(np.ceil(threshold * n - 1e-9)) + 1]]
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (h, root, n, s) of a partition, in order, with the partition and the weight of the rows before: a row weighs its shingles, at least LEAST_WEIGHT."""
+    part, before = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        weight = np.maximum(pc.list_value_length(batch.column(3)).to_numpy(zero_copy_only=False).astype(np.int64), LEAST_WEIGHT)
+        upto = before + np.cumsum(weight)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, part, np.int32)), pa.array(upto - weight), pa.array(upto), *batch.columns], names=["part", "before", "upto", "h", "root", "n", "s"])
+        before = int(upto[-1]) if batch.num_rows else before
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """How many shingles each set of left has in common with each of right."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    sides = []
+    for sets in (left, right):
+        token = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+        sides.append((token, np.repeat(np.arange(len(sets)), [len(x) for x in sets])))
+    both = np.intersect1d(sides[0][0], sides[1][0])
+    placed = []
+    for token, row in sides:
+        at = np.minimum(np.searchsorted(both, token), max(len(both) - 1, 0))
+        hit = both[at] == token if len(both) else np.zeros(len(token), bool)
+        order = np.argsort(at[hit], kind="stable")
+        placed.append((at[hit][order], row[hit][order]))
+    for begin in range(0, len(both), columns):
+        width = min(columns, len(both) - begin)
+        matrix = []
+        for (at, row), sets in zip(placed, (left, right), strict=True):
+            lo, hi = np.searchsorted(at, (begin, begin + width))
+            m = np.zeros((len(sets), width), np.float32)
+            m[row[lo:hi], at[lo:hi] - begin] = 1
+            matrix.append(m)
+        out += matrix[0] @ matrix[1].T
+    return out
 
 
-def _prefixes(shared, threshold: float):
+def _block_links(threshold: float):
+    """Rows (block, other, side, h, root, n, s), sorted by block and other, to links (a, b) that reach the threshold between different roots: as many as join what they join, no more."""
+
+    def settle(held: list[dict]) -> pa.RecordBatch:
+        same = held[0]["block"] == held[0]["other"]
+        left = [r for r in held if same or r["side"] == 0]
+        right = left if same else [r for r in held if r["side"] == 1]
+        column = lambda rows, name: np.array([r[name] for r in rows], np.int64)
+        found = overlaps([np.array(r["s"], np.int64) for r in left], [np.array(r["s"], np.int64) for r in right])
+        size = column(left, "n")[:, None] + column(right, "n")[None, :] - found
+        near = (found >= threshold * size - 1e-6) & (column(left, "root")[:, None] != column(right, "root")[None, :])
+        if same:
+            near &= np.tri(len(left), k=-1, dtype=bool)
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := root.setdefault(x, x)) != x:
+                root[x] = x = root[up]
+            return x
+
+        out = []
+        for i, j in zip(*(k.tolist() for k in np.nonzero(near)), strict=True):
+            p, q = find(left[i]["root"]), find(right[j]["root"])
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                out.append((left[i]["h"], right[j]["h"]))
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, ranks = shared.value
+        held: list[dict] = []
         for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
-                sets = [np.frombuffer(x, np.uint64) for x in part.column(2).to_pylist()]
-                firsts = [prefix(x, common, ranks, threshold) for x in sets]
-                which = np.repeat(np.arange(len(sets)), [len(x) for x in firsts])
-                sizes = np.array([len(x) for x in sets], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts).view(np.int64)), part.column(0).take(pa.array(which)), part.column(1).take(pa.array(which)), pa.array(sizes[which])], names=["t", "h", "root", "n"])
+            for at in range(0, batch.num_rows, 256):
+                for row in batch.slice(at, 256).to_pylist():
+                    if held and (row["block"], row["other"]) != (held[0]["block"], held[0]["other"]):
+                        yield settle(held)
+                        held = []
+                    held.append(row)
+        if held:
+            yield settle(held)
 
     return run
 
 
-def unlinked_pairs(live: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
-    """Pairs (a, b) of rows (h, root, s) with different roots, among them all that reach the threshold."""
-    counts = live.select("s").mapInArrow(_shingles, "t long").groupBy("t").count().where(f"count > {LEAST_COMMON}")
-    common = counts.orderBy(F.desc("count"), "t").limit(COMMON).toPandas().iloc[::-1]  # 16 bytes a row: 3.2 MB at most
-    tokens = common["t"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(tokens)
-    shared = live.sparkSession.sparkContext.broadcast((tokens[order], order.astype(np.int64)))
-    rows = stored(live.select("h", "root", "s").mapInArrow(_prefixes(shared, threshold), "t long, h long, root long, n long"))
-    several = rows.groupBy("t").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-    met = rows.join(several.select("t", F.expr(f"cast(ceil(m / {block}) as int)").alias("blocks")), "t")
-    left = met.withColumn("block", F.expr("pmod(xxhash64(h, t), blocks)"))
-    right = met.select("t", F.explode(F.expr("sequence(0L, blocks - 1L)")).alias("block"), F.col("h").alias("o"), F.col("root").alias("other"), F.col("n").alias("size"))
-    near = left.join(right, ["t", "block"]).where(f"h > o and root <> other and least(n, size) >= {threshold} * greatest(n, size) - 1e-6")
-    # Shingles that two sets share lie in both prefixes or behind the end of one: too few in the prefixes are too few in all.
-    shared_first = near.groupBy(F.col("h").alias("a"), F.col("o").alias("b")).agg(F.count("*").alias("k"), F.first("n").alias("n"), F.first("size").alias("size"))
-    behind = f"greatest(ceil({threshold} * n - 1e-9), ceil({threshold} * size - 1e-9)) - 1"
-    return stored(shared_first.where(f"k + {behind} >= {threshold} / (1 + {threshold}) * (n + size) - 1e-6").select("a", "b"))
+def unlinked_pairs(live: DataFrame, threshold: float, few: int = FEW, weight: int = BLOCK_WEIGHT) -> tuple[DataFrame, DataFrame]:
+    """(pairs (a, b) to be verified, links (a, b) that are) of rows (h, root, s) with different roots: together they join all that the threshold joins.
+
+    Only shingles that texts of different roots share can be common to a pair; a text with fewer of
+    them than the threshold asks for has no partner. Texts that share one of their first shingles
+    with at most `few` others are paired with them; where there are more, blocks of texts that share one are
+    compared whole, in one task for each two blocks, and give no more links than join them.
+    """
+    rows = stored(live.select("h", "root", "s").mapInArrow(_tokens, "t long, h long, root long, n long"))
+    kinds = rows.groupBy("t").agg(F.count("*").alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    common = stored(kinds.select("t", "c", F.col("c").alias("often")))
+    shared = skewed_join(rows, common, "t", "c", rows.count())
+    need = F.ceil(threshold * F.col("n") - 1e-9)
+    counted = stored(shared.withColumn("m", F.count("*").over(Window.partitionBy("h"))).where(F.col("m") >= need))
+    # Rare shingles first, in the one order of all texts.
+    ranked = counted.withColumn("k", F.row_number().over(Window.partitionBy("h").orderBy("often", "t")))
+    first = stored(ranked.where(F.col("k") <= F.col("m") - need + 1).select("t", "h", "root", "n", "m"))
+    several = stored(first.groupBy("t").agg(F.count("*").alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("t", "c"))
+    rare = first.join(several.where(F.col("c") <= few).select("t"), "t")
+    other = rare.select("t", F.col("h").alias("o"), F.col("root").alias("other"), F.col("n").alias("size"), F.col("m").alias("most"))
+    asked = f"{threshold} / (1 + {threshold}) * (n + size) - 1e-6"  # shingles in common at the threshold
+    near = rare.join(other, "t").where(f"h > o and root <> other and least(n, size) >= {threshold} * greatest(n, size) - 1e-6 and least(m, most) >= {asked}")
+    pairs = stored(near.select(F.col("h").alias("a"), F.col("o").alias("b")).distinct())
+
+    frequent = stored(first.join(several.where(F.col("c") > few).select("t"), "t").select("t", "h"))
+    sets = counted.join(frequent.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.first("root").alias("root"), F.first("n").alias("n"), F.sort_array(F.collect_list("t")).alias("s"))
+    # Texts alike stand together in the order of their least shingle by hash, so few blocks share anything.
+    least = F.array_min(F.transform("s", lambda x: F.xxhash64(x)))
+    parts = int(live.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = sets.withColumn("key", least).repartitionByRange(parts, "key", "h").sortWithinPartitions("key", "h").select("h", "root", "n", "s")
+    numbered = stored(ordered.mapInArrow(_numbered, "part int, before long, upto long, h long, root long, n long, s array<long>"))
+    # Blocks go on over the partitions' ends: the driver adds up one number for each partition.
+    spark, start, starts = live.sparkSession, 0, []
+    for r in numbered.groupBy("part").agg(F.max("upto").alias("upto")).orderBy("part").collect():
+        starts.append((r.part, start))
+        start += r.upto
+    placed = numbered.join(F.broadcast(spark.createDataFrame(starts, "part int, start long")), "part")
+    blocks = stored(placed.select(F.expr(f"(start + before) div {weight}").alias("block"), "h", "root", "n", "s"))
+    in_block = frequent.join(blocks.select("h", "block"), "h").select("t", "block").distinct()
+    # Most shingles of a group lie in the same blocks: each set of blocks counts once.
+    met = in_block.groupBy("t").agg(F.sort_array(F.collect_set("block")).alias("bs")).select("bs").distinct()
+    two = stored(met.select(F.explode("bs").alias("block"), "bs").select("block", F.explode("bs").alias("other")).where("block <= other").distinct())
+    left = two.join(blocks, "block").select("block", "other", F.lit(0).alias("side"), "h", "root", "n", "s")
+    right = two.where("block < other").join(blocks.withColumnRenamed("block", "other"), "other").select("block", "other", F.lit(1).alias("side"), "h", "root", "n", "s")
+    together = left.union(right).repartition("block", "other").sortWithinPartitions("block", "other")
+    return pairs, stored(together.mapInArrow(_block_links(threshold), "a long, b long"))
 
 
 def similar_texts(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Links (a, b) of text hashes whose components are those of all pairs of texts that share a bag and reach the threshold."""
+    """Links (a, b) of text hashes whose components are those of all pairs of texts that share a bag and reach the threshold (hubs first, then every pair that they leave apart)."""
     keyed = docs.select(text_hash().alias("h"), "text")
     sketch = stored(keyed.mapInArrow(_sketch, "h long, level byte, bag byte, fp long").distinct())
     bag = ["level", "bag", "fp"]
@@ -207,7 +300,8 @@ def similar_texts(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rooted = met.join(components(links).withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
     split = rooted.groupBy(*bag).agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select(*bag)
     live = stored(rooted.join(split, bag).select("h", "root").distinct().join(sets, "h"))
-    return links.union(verified(unlinked_pairs(live, threshold)))
+    pairs, found = unlinked_pairs(live, threshold)
+    return links.union(verified(pairs)).union(found)
 
 
 def deduplicate(docs: DataFrame, threshold: float = THRESHOLD, max_bits: int = 2) -> DataFrame:
@@ -216,15 +310,18 @@ def deduplicate(docs: DataFrame, threshold: float = THRESHOLD, max_bits: int = 2
     Groups: equal texts, texts within max_bits of each other's fingerprints (3-word
     shingles), texts of a 5-word shingle similarity of the threshold or more.
     """
-    prints = stored(simhash.with_hash(docs, 3))
-    first = stored(prints.groupBy("fp").agg(F.min("h").alias("h")))
-    bits = simhash.links(first, max_bits)
-    of = first.withColumnRenamed("fp", "f")
-    whole = bits.join(of.select(F.col("f").alias("a"), F.col("h").alias("ha")), "a").join(of.select(F.col("f").alias("b"), F.col("h").alias("hb")), "b").select(F.col("ha").alias("a"), F.col("hb").alias("b"))
-    equal = prints.select("fp", "h").distinct().join(of, F.col("fp") == F.col("f")).select(prints.h.alias("a"), of.h.alias("b")).where("a <> b")
-    roots = components(whole.union(equal).union(similar_texts(docs, threshold)))
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
-    # Two steps, so that many copies of a text are reduced before its group meets.
-    texts = prints.groupBy("h").agg(F.min(order).alias("w"))
-    grouped = texts.join(roots, texts.h == roots.node, "left").groupBy(F.coalesce("root", "h").alias("root")).agg(F.min("w").alias("w"))
-    return simhash.only(docs, prints, grouped.select("w.doc_id", "w.h"))
+    with scratch(docs.sparkSession) as keep:
+        prints = stored(simhash.with_hash(docs, 3))
+        first = stored(prints.groupBy("fp").agg(F.min("h").alias("h")))
+        bits = simhash.links(first, max_bits)
+        of = first.withColumnRenamed("fp", "f")
+        whole = bits.join(of.select(F.col("f").alias("a"), F.col("h").alias("ha")), "a").join(of.select(F.col("f").alias("b"), F.col("h").alias("hb")), "b").select(F.col("ha").alias("a"), F.col("hb").alias("b"))
+        equal = prints.select("fp", "h").distinct().join(of, F.col("fp") == F.col("f")).select(prints.h.alias("a"), of.h.alias("b")).where("a <> b")
+        roots = components(whole.union(equal).union(similar_texts(docs, threshold)))
+        order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+        # Two steps, so that many copies of a text are reduced before its group meets.
+        texts = prints.groupBy("h").agg(F.min(order).alias("w"))
+        grouped = texts.join(roots, texts.h == roots.node, "left").groupBy(F.coalesce("root", "h").alias("root")).agg(F.min("w").alias("w"))
+        winners = stored(grouped.select("w.doc_id", "w.h"))
+        keep += [prints, winners]
+    return simhash.only(docs, prints, winners)
