@@ -52,7 +52,7 @@ END_ID = 2
 BLOCK = 1024
 SHARD_IDS = 1 << 18
 #: Pieces whose ids a worker keeps, and the bytes of the longest.
-CACHE = 1_000_000
+CACHE = 500_000
 LONGEST = 64
 _LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 #: Simple-8b: ids per word by selector, and bits of each.
