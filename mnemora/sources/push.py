@@ -25,11 +25,11 @@ PAGE = "id string, type string, title string, body string, webui string, version
 MOST_LISTED = 200
 
 
-def signed(secret: str, body: bytes, headers: dict[str, str], token: str | None = None) -> bool:
-    """Whether a webhook carries its secret: a signature of its body, the secret as a header, or as a token; the first that is there decides."""
+def signed(secret: str, body: bytes, headers: dict[str, str], token: str | None = None, own_header: str = "x-webhook-signature") -> bool:
+    """Whether a webhook carries its secret: a signature of its body, the secret as a header, or as a token; the first that is there decides. own_header: where senders without a convention put the signature."""
     own = hmac.new(secret.encode(), body, hashlib.sha256).hexdigest()
     low = {k.lower(): v for k, v in headers.items()}
-    for name, want in (("x-hub-signature-256", f"sha256={own}"), ("x-gitlab-token", secret), ("x-qj-signature", own)):
+    for name, want in (("x-hub-signature-256", f"sha256={own}"), ("x-gitlab-token", secret), (own_header.lower(), own)):
         if low.get(name):
             return hmac.compare_digest(low[name], want)
     return bool(token) and hmac.compare_digest(token, secret)

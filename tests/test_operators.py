@@ -194,7 +194,7 @@ def test_gap_clusters(spark):
 
     assert sorted(sizes(0.8, ("", "h1"), ("", "h2"), ("", "h2"))) == [1, 2]
     assert sizes(0.8, ("where is it", "a"), ("where is it", "b"), ("who owns payments", "c")) == [2, 1]
-    pair = (("octopus deploy failed", "a"), ("octopus deploy timeout", "b"))
+    pair = (("harbour deploy failed", "a"), ("harbour deploy timeout", "b"))
     assert sizes(0.8, *pair) == [1, 1] and sizes(0.6, *pair) == [2]
 
 
@@ -237,13 +237,13 @@ def test_channels_need_the_quotes_of_their_language(spark):
 
 
 def test_tables(spark):
-    said = "Members\n| Name | Email | Team |\n| --- | --- | --- |\n| Ana B | ana@x.org | Autobots |\n| Cy D |  | Autobots |\n"
+    said = "Members\n| Name | Email | Team |\n| --- | --- | --- |\n| Ana B | ana@x.org | Movers |\n| Cy D |  | Movers |\n"
     alone = "Teams:\n| Name | Note |\n| Blue | yes |\n"
     df = spark.createDataFrame([(1, said, "http://x/?project=Big%20One&id=45"), (2, alone, "http://x/?service=Shop"), (3, None, None), (4, "| Team | Service |\n| a\\|b | x y |", "")], "doc_id long, text string, uri string")
     edges = {(r.doc_id, r.src, r.rel, r.dst) for r in mining.table_edges(df).collect()}
     assert edges == {
-        (1, "person:ana b", "works_on", "team:autobots"), (1, "person:cy d", "works_on", "team:autobots"), (1, "person:ana b", "works_on", "project:big one"), (1, "person:cy d", "works_on", "project:big one"),
-        (1, "team:autobots", "owns", "project:big one"), (2, "team:blue", "owns", "service:shop"), (4, "team:a|b", "owns", "service:x y"),
+        (1, "person:ana b", "works_on", "team:movers"), (1, "person:cy d", "works_on", "team:movers"), (1, "person:ana b", "works_on", "project:big one"), (1, "person:cy d", "works_on", "project:big one"),
+        (1, "team:movers", "owns", "project:big one"), (2, "team:blue", "owns", "service:shop"), (4, "team:a|b", "owns", "service:x y"),
     }
     assert [tuple(r) for r in mining.table_aliases(df).collect()] == [(1, "ana@x.org", "person:ana b")]
     assert mining.pipe_tables("a | b") == []

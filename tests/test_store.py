@@ -192,14 +192,14 @@ def test_exports(spark, tmp_path):
 
 
 def test_entity_upserts(spark):
-    old = spark.createDataFrame([("a", "Nautical", "service", "org", ""), ("b", "stevedore", "repo", "org", "test"), ("c", "Old Name", "x", "org", "service"), ("d", "Keep", "x", "org", "vendor")], "id string, name string, type string, source_id string, layer string")
+    old = spark.createDataFrame([("a", "Harbour", "service", "org", ""), ("b", "loader", "repo", "org", "test"), ("c", "Old Name", "x", "org", "service"), ("d", "Keep", "x", "org", "vendor")], "id string, name string, type string, source_id string, layer string")
     new = [
-        ("a", "nautical", "repo", "org", "", 1, False), ("a", "NAUTICAL", "repo", "org", "", 2, False), ("b", "Stevedore", "repo", "org", "data", 1, False), ("b", "STEVEDORE", "repo", "org", "api", 2, False),
+        ("a", "harbour", "repo", "org", "", 1, False), ("a", "HARBOUR", "repo", "org", "", 2, False), ("b", "Loader", "repo", "org", "data", 1, False), ("b", "LOADER", "repo", "org", "api", 2, False),
         ("c", "New Name", "x", "org", "test", 1, False), ("c", "new name", "x", "org", "", 2, False), ("d", "Renamed", "x", "notes:u", "api", 1, True), ("e", "mine", "x", "notes:u", "", 1, True), ("e", "Mine", "x", "org", "", 2, False),
     ]
     got = {r.id: r for r in graph.upsert_entities(old, spark.createDataFrame(new, "id string, name string, type string, source_id string, layer string, seq long, private boolean")).collect()}
     assert {k: (r.name, r.type, r.source_id, r.layer) for k, r in got.items()} == {
-        "a": ("Nautical", "repo", "org", ""), "b": ("Stevedore", "repo", "org", "data"), "c": ("New Name", "x", "org", "service"), "d": ("Keep", "x", "org", "vendor"), "e": ("Mine", "x", "notes:u", ""),
+        "a": ("Harbour", "repo", "org", ""), "b": ("Loader", "repo", "org", "data"), "c": ("New Name", "x", "org", "service"), "d": ("Keep", "x", "org", "vendor"), "e": ("Mine", "x", "notes:u", ""),
     }
 
 
@@ -218,9 +218,9 @@ def test_resolution_and_its_seam(spark):
 
 
 def test_branch_families(spark):
-    entities = spark.createDataFrame([("repo:connector", "Connector", "repo"), ("repo:x", "x", "repo"), *((f"branch:{b}", b, "branch") for b in ("connector/a/b", "appriver.connector/a/b", "x/a/b", "connector/c"))], "id string, name string, type string")
-    aliases = spark.createDataFrame([("AppRiver.Connector", "repo:connector")], "alias string, entity_id string")
-    assert [tuple(r) for r in graph.branch_bridges(entities, aliases).collect()] == [("branch:appriver.connector/a/b", "branch:connector/a/b", "a/b")]
+    entities = spark.createDataFrame([("repo:connector", "Connector", "repo"), ("repo:x", "x", "repo"), *((f"branch:{b}", b, "branch") for b in ("connector/a/b", "acme.connector/a/b", "x/a/b", "connector/c"))], "id string, name string, type string")
+    aliases = spark.createDataFrame([("Acme.Connector", "repo:connector")], "alias string, entity_id string")
+    assert [tuple(r) for r in graph.branch_bridges(entities, aliases).collect()] == [("branch:acme.connector/a/b", "branch:connector/a/b", "a/b")]
     chain = spark.createDataFrame([(f"n{k:02}", f"n{k + 1:02}") for k in range(40)], "a string, b string")
     assert {r.root for r in graph.smallest_reachable(chain).collect()} == {"n00"}
 
@@ -330,7 +330,7 @@ def test_every_does_not_catch_up():
 def test_webhooks(spark):
     body = b'{"ref": "refs/heads/main"}'
     sign = hmac.new(b"s", body, hashlib.sha256).hexdigest()
-    assert push.signed("s", body, {"X-Hub-Signature-256": f"sha256={sign}"}) and push.signed("s", body, {"x-gitlab-token": "s"}) and push.signed("s", body, {"X-QJ-Signature": sign}) and push.signed("s", body, {}, "s")
+    assert push.signed("s", body, {"X-Hub-Signature-256": f"sha256={sign}"}) and push.signed("s", body, {"x-gitlab-token": "s"}) and push.signed("s", body, {"X-Webhook-Signature": sign}) and push.signed("s", body, {}, "s")
     assert not push.signed("s", body, {}) and not push.signed("s", body, {"x-gitlab-token": "t"}, "s")
     hook = push.Hook("s", lambda p: None, push.branch_pushed("main"))
     assert hook.receive(body, {"x-gitlab-token": "s"}, list, lambda: "synced") == (200, "synced")
