@@ -145,13 +145,18 @@ def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
 
     The folder goes when the driver's process ends, or before by drop_stored() or scratch().
     """
-    spark = df.sparkSession
+    path = own_folder(df.sparkSession)
+    df.write.option("compression", codec).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def own_folder(spark: SparkSession) -> str:
+    """A new shared folder, not made yet, that goes like those of stored()."""
     path = shared_folder(spark)
     if not _MADE:
         atexit.register(_drop_all)
     _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 def _delete(spark: SparkSession, path: str) -> None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, language, licenses, mixing, quality_model, quality_rules, repeats, simhash, tokens, warc
+from . import chat, decontaminate, language, licenses, mixing, negatives, quality_model, quality_rules, repeats, simhash, tokens, warc
 
 QUERIES = {
     "op1_entropy_mix": mixing.op1_entropy_mix,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_simhash_components": simhash.op8_simhash_components,
     "op9_prefix_free_repeats": repeats.op9_prefix_free_repeats,
     "op10_hyperdimensional_language": language.op10_hyperdimensional_language,
+    "op11_blocked_negatives": negatives.op11_blocked_negatives,
     "op13_fuzzy_licenses": licenses.op13_fuzzy_licenses,
 }
 
@@ -22,4 +23,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_minhash_containment": decontaminate.SQL,
     "op4_line_rules": quality_rules.SQL,
     "op7_event_sourced_chat": chat.SQL,
+    "op11_blocked_negatives": negatives.SQL,
 }
