@@ -63,8 +63,8 @@ def matrix(column: pa.ListArray, width: int = 0) -> np.ndarray:
     return out
 
 
-def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a @ b.T as int64, exactly; an error where it does not fit."""
+def products(a: np.ndarray, b: np.ndarray, a_rows: np.ndarray, b_rows: np.ndarray) -> np.ndarray:
+    """a @ b.T as int64, exactly; an error where it does not fit, but for a row with itself, which nobody asks for."""
     width = max(a.shape[1], b.shape[1])
     a, b = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) if x.shape[1] < width else x for x in (a, b))
     bound = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(width, 1)
@@ -74,6 +74,7 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return a.astype(np.int64) @ b.T.astype(np.int64)
     whole = lambda m: np.array([[int(x) for x in r] for r in m], object)
     out = whole(a) @ whole(b).T
+    out[a_rows[:, None] == b_rows[None, :]] = 0
     if out.size and (out.max() >= 2**63 or out.min() < -(2**63)):
         raise OverflowError("a product of two vectors does not fit 64 bits; use a smaller scale")
     return out.astype(np.int64)
@@ -139,7 +140,7 @@ class Block:
             for c in range(0, len(row), TILE):
                 part = slice(c, c + TILE)
                 for at in range(0, len(self.row), TILE):
-                    yield row[part], ids[part], label[part], at, products(self.v[at : at + TILE], v[part])
+                    yield row[part], ids[part], label[part], at, products(self.v[at : at + TILE], v[part], self.row[at : at + TILE], row[part])
 
 
 _KEPT = "slot long, score long, id long"
