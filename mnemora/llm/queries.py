@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, language, licenses, mixing, negatives, quality_model, quality_rules, repeats, simhash, tokens, warc
+from . import chat, decontaminate, expiring, language, licenses, mixing, negatives, quality_model, quality_rules, repeats, simhash, tokens, warc
 
 QUERIES = {
     "op1_entropy_mix": mixing.op1_entropy_mix,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_prefix_free_repeats": repeats.op9_prefix_free_repeats,
     "op10_hyperdimensional_language": language.op10_hyperdimensional_language,
     "op11_blocked_negatives": negatives.op11_blocked_negatives,
+    "op12_expiring_clicks": expiring.op12_expiring_clicks,
     "op13_fuzzy_licenses": licenses.op13_fuzzy_licenses,
 }
 
@@ -24,4 +25,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_line_rules": quality_rules.SQL,
     "op7_event_sourced_chat": chat.SQL,
     "op11_blocked_negatives": negatives.SQL,
+    "op12_expiring_clicks": expiring.SQL,
 }

@@ -58,7 +58,7 @@ def test_no_anchor_no_positive_no_row(spark):
     assert mined(spark, []) == mined(spark, [(1, [1.0], 0), (2, [1.0], 1)]) == mined(spark, [(0, [1.0], 0), (2, [1.0], 1)]) == []
     # A product of 0 has the window [0, 0]; a negative one has an empty window.
     rows = [(0, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [0.0, 2.0], 1), (50, [-1.0, 0.0], 1)]
-    assert mined(spark, rows) == plain(rows) == [(0, 1, 1, 2, 0, 0)]
+    assert mined(spark, rows) == plain(rows) == [(0, 1, 1, 2, 0, 0), (50, 2, 1, 1, 0, 0)]
 
 
 def test_query_equals_plain_loops(spark):
