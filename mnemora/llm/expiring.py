@@ -2,14 +2,17 @@
 
 A stream of events (key, hour, hash) is cut into windows for each key: an event opens one, repeats
 of the key up to ``hold`` hours later belong to it, the next event after that closes it and
-opens another, and so does time. Two stateful operators follow one another in one
-Structured Streaming query:
+opens another, and so does time. Two stateful operators follow one another:
 
 - the first holds, for each key with an open window, its opener and its deadline, and tags every event with
   the window it belongs to; where a window ends it sends a control event on;
 - the second holds, for each window, the opener's hash and counters; a control event makes it send
   the window's row out.
 
+Spark takes one operator of this kind in a streaming query (two need a store of state that keeps
+megabytes on disk for each partition, used or not), so the chain is two queries: the second reads
+the stream that the first has written, by its log, so every event comes once.
+
 Time moves by control rows in the input, one for each state bucket and batch: what is older than
 ``floor`` is dropped, and windows whose deadline lies before ``next_floor`` end with the batch.
 
@@ -30,8 +33,7 @@ names, are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -39,7 +41,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .common import HOT_KEYS, own_folder, read_table, stored
 
@@ -51,7 +53,7 @@ BUCKET_ROWS, LEAST_BUCKETS = 100_000, 512
 EVENTS = "bucket int, key long, hour long, hash binary, n long, crc long, batch long, floor long, next_floor long"
 #: The same, the events of a bucket as packed arrays.
 PACKED = "bucket int, keys binary, hours binary, hashes binary, ns binary, crcs binary, control boolean, batch long, floor long, next_floor long"
-#: kind 0 opens a window, 1 repeats, 2 closes.
+#: kind 0 opens a window (hashes are those of openers), 1 repeats, 2 repeats unlike its opener, 3 closes.
 TAGGED = "bucket int, keys binary, starts binary, kinds binary, hashes binary, ns binary, crcs binary, batch long"
 WINDOWS = "key long, start_hour long, closed_batch long, n_repeats long, n_conflicts long, conflict_crc long, hash binary"
 _NEVER = 2**62
@@ -106,11 +108,11 @@ def _unpacked(rows: list[pd.DataFrame], **kinds: np.dtype) -> list[np.ndarray]:
 
 
 def tag(parts: Iterator[pd.DataFrame], held: Held, hold: int) -> tuple[list[pd.DataFrame], Held]:
-    """First operator, for a bucket and a batch: what it sends, and its state: keys, starts, deadlines of open windows."""
+    """First operator, for a bucket and a batch: what it sends, and its state: keys, starts, deadlines, openers of open windows."""
     parts = list(parts)
     bucket, batch, floor, next_floor = next((int(r.bucket), int(r.batch), r.floor, r.next_floor) for p in parts for r in p[p.control.astype(bool)].itertuples())
     ids, hour, hashes, ns, crcs = _unpacked(parts, keys=_LONG, hours=_LONG, hashes=_HASH, ns=_LONG, crcs=_LONG)
-    keys, starts, ends = (np.frombuffer(x, _LONG) for x in held or (b"",) * 3)
+    keys, starts, ends, openers = (np.frombuffer(x, k) for x, k in zip(held or (b"",) * 4, (_LONG, _LONG, _LONG, _HASH), strict=True))
     # By key, hour, hash; merged rows after the hashes of their hour, which hold its smallest.
     order = np.lexsort((hashes, hashes == b"", hour, ids))
     if not pd.isna(floor):
@@ -122,7 +124,8 @@ def tag(parts: Iterator[pd.DataFrame], held: Held, hold: int) -> tuple[list[pd.D
     at = np.searchsorted(keys, own)
     there = keys[np.minimum(at, len(keys) - 1)] == own if len(keys) else np.zeros(len(own), bool)
     start, end = np.zeros(len(own), np.int64), np.full(len(own), -_NEVER)
-    start[there], end[there] = starts[at[there]], ends[at[there]]
+    opener = np.zeros(len(own), _HASH)
+    start[there], end[there], opener[there] = starts[at[there]], ends[at[there]], openers[at[there]]
     window, kind = np.zeros(len(ids), np.int64), np.ones(len(ids), np.int8)
     closed = []
     low = hour.min() if len(hour) else 0
@@ -133,28 +136,29 @@ def tag(parts: Iterator[pd.DataFrame], held: Held, hold: int) -> tuple[list[pd.D
         # Up to the first event past the deadline all belong to the open window.
         to = np.minimum(np.maximum(place[live], np.searchsorted(line, live * span + np.clip(end[live] - low, -1, span - 2), side="right")), last[live])
         n = to - place[live]
-        window[np.repeat(place[live] - np.cumsum(n) + n, n) + np.arange(n.sum())] = np.repeat(start[live], n)
+        rows = np.repeat(place[live] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        window[rows] = np.repeat(start[live], n)
+        kind[rows] = 1 + (hashes[rows] != np.repeat(opener[live], n))
         more = to < last[live]
         live, to = live[more], to[more]
         was = live[there[live]]
         closed.append((own[was], start[was]))
-        start[live], end[live], there[live] = hour[to], hour[to] + hold, True
+        start[live], end[live], opener[live], there[live] = hour[to], hour[to] + hold, hashes[to], True
         window[to], kind[to] = hour[to], 0
         place[live] = to + 1
     # What is open after the batch; then time.
     stay = ~np.isin(keys, own)
-    keys, starts, ends = np.concatenate((keys[stay], own)), np.concatenate((starts[stay], start)), np.concatenate((ends[stay], end))
+    keys, starts, ends, openers = (np.concatenate((x[stay], y)) for x, y in ((keys, own), (starts, start), (ends, end), (openers, opener)))
     over = np.ones(len(keys), bool) if pd.isna(next_floor) else ends < next_floor
     closed.append((keys[over], starts[over]))
-    keys, starts, ends = keys[~over], starts[~over], ends[~over]
-    order = np.argsort(keys)
+    order = np.flatnonzero(~over)[np.argsort(keys[~over])]
     gone, since = (np.concatenate(x) for x in zip(*closed, strict=True))
     out = []
     if len(ids) + len(gone):
         zero = np.zeros(len(gone), np.int64)
-        columns = {"keys": (ids, gone), "starts": (window, since), "kinds": (kind, np.full(len(gone), 2, np.int8)), "hashes": (hashes, np.zeros(len(gone), _HASH)), "ns": (ns, zero), "crcs": (crcs, zero)}
+        columns = {"keys": (ids, gone), "starts": (window, since), "kinds": (kind, np.full(len(gone), 3, np.int8)), "hashes": (hashes[kind == 0],), "ns": (ns, zero), "crcs": (np.where(kind == 2, crcs, 0), zero)}
         out.append(pd.DataFrame({"bucket": [bucket], **{c: [np.concatenate(x).tobytes()] for c, x in columns.items()}, "batch": [batch]}))
-    return out, (keys[order].tobytes(), starts[order].tobytes(), ends[order].tobytes()) if len(keys) else None
+    return out, tuple(x[order].tobytes() for x in (keys, starts, ends, openers)) if len(order) else None
 
 
 def count(parts: Iterator[pd.DataFrame], held: Held) -> tuple[list[pd.DataFrame], Held]:
@@ -163,8 +167,8 @@ def count(parts: Iterator[pd.DataFrame], held: Held) -> tuple[list[pd.DataFrame]
     batch = int(parts[0].batch.iloc[0])
     ids, since, kind, hashes, n, crc = _unpacked(parts, keys=_LONG, starts=_LONG, kinds=np.dtype(np.int8), hashes=_HASH, ns=_LONG, crcs=_LONG)
     kinds = (_LONG, _LONG, _HASH, _LONG, _LONG, _LONG)
-    opened, again, ends = kind == 0, kind == 1, kind == 2
-    fresh = (ids[opened], since[opened], hashes[opened], *(np.zeros(opened.sum(), np.int64),) * 3)
+    opened, again, unlike, ends = kind == 0, (kind == 1) | (kind == 2), kind == 2, kind == 3
+    fresh = (ids[opened], since[opened], hashes, *(np.zeros(opened.sum(), np.int64),) * 3)
     keys, starts, openers, *counts = (np.concatenate((np.frombuffer(x, k), y)) for x, k, y in zip(held or (b"",) * 6, kinds, fresh, strict=True))
     order = np.lexsort((starts, keys))
     keys, starts, openers, counts = keys[order], starts[order], openers[order], [c[order] for c in counts]
@@ -173,7 +177,6 @@ def count(parts: Iterator[pd.DataFrame], held: Held) -> tuple[list[pd.DataFrame]
     place = np.empty(len(both), np.int64)
     place[both] = np.cumsum(both < len(keys)) - 1
     place = place[len(keys) :]
-    unlike = again & (hashes != openers[place])
     # An opener's event is no repeat; where equal events came merged, the rest of them are.
     np.add.at(counts[0], place, np.where(again, n, np.where(opened, n - 1, 0)))
     np.add.at(counts[1], place[unlike], n[unlike])
@@ -187,45 +190,34 @@ def count(parts: Iterator[pd.DataFrame], held: Held) -> tuple[list[pd.DataFrame]
     return out, (keys[left].tobytes(), starts[left].tobytes(), openers[left].tobytes(), *(c[left].tobytes() for c in counts)) if left.any() else None
 
 
-class Bucketed(StatefulProcessor):
-    """One packed value of state for each bucket, around a function of a batch's rows and that value."""
-
-    def __init__(self, fold, names: str):
-        self.fold, self.schema = fold, ", ".join(f"{n} binary" for n in names.split())
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getValueState("held", self.schema)
+def _folded(rows: DataFrame, fold: Callable, schema: str, names: str) -> DataFrame:
+    """A stateful operator by bucket, around a function of a batch's rows and the bucket's state."""
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        before = self.held.get() if self.held.exists() else None
-        out, after = self.fold(rows, before)
+    def run(_: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        out, after = fold(parts, state.get if state.exists else None)
         if after is not None:
-            self.held.update(after)
-        elif before is not None:
-            self.held.clear()
+            state.update(after)
+        elif state.exists:
+            state.remove()
         yield from out
 
-    def close(self) -> None:
-        pass
+    return rows.groupBy("bucket").applyInPandasWithState(run, schema, ", ".join(f"{n} binary" for n in names.split()), "append", GroupStateTimeout.NoTimeout)
+
+
+def tagged(events: DataFrame, hold: int = HOLD) -> DataFrame:
+    """The first operator over a stream of EVENTS."""
+    return _folded(events.mapInArrow(packed, PACKED), lambda rows, held: tag(rows, held, hold), TAGGED, "keys starts deadlines openers")
 
 
-def chained(events: DataFrame, hold: int = HOLD) -> DataFrame:
-    """The two operators over a stream of EVENTS."""
-    first = Bucketed(lambda rows, held: tag(rows, held, hold), "keys starts deadlines")
-    tagged = events.mapInArrow(packed, PACKED).groupBy("bucket").transformWithStateInPandas(first, TAGGED, "Append", "None")
-    return tagged.groupBy("bucket").transformWithStateInPandas(Bucketed(count, "keys starts hashes repeats conflicts crcs"), WINDOWS, "Append", "None")
+def counted(events: DataFrame) -> DataFrame:
+    """The second operator over a stream of TAGGED."""
+    return _folded(events, count, WINDOWS, "keys starts openers repeats conflicts crcs")
 
 
-@contextmanager
-def state_in_rocksdb(spark: SparkSession) -> Iterator[None]:
-    """Operators of arbitrary state need that store; the session's own is set again afterwards."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+def step(made: DataFrame, root: str, name: str) -> None:
+    """Runs a streaming query over what has come, to its end, on the checkpoint of its name."""
+    out = made.writeStream.format("parquet").option("path", f"{root}/{name}").option("checkpointLocation", f"{root}/checkpoints/{name}").option("compression", "zstd")
+    out.outputMode("append").trigger(availableNow=True).start().awaitTermination()
 
 
 def merged_hot(events: DataFrame, total: int) -> DataFrame:
@@ -263,17 +255,14 @@ def windows(events: DataFrame, batches: int = BATCHES, late: int = LATE, hold: i
     placed = merged_hot(events, total).withColumn("bucket", place).unionByName(control, allowMissingColumns=True)
     names = [c.split()[0] for c in EVENTS.split(", ")]
     root = own_folder(spark)
-    placed.select(*names, F.col("batch").alias("part")).write.partitionBy("part").parquet(f"{root}/batches")
+    placed.select(*names, F.col("batch").alias("part")).write.option("compression", "zstd").partitionBy("part").parquet(f"{root}/batches")
     at = spark._jvm.org.apache.hadoop.fs.Path
     fs = at(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(at(f"{root}/arrived"))
     for b in range(batches):
         fs.rename(at(f"{root}/batches/part={b}"), at(f"{root}/arrived/part={b}"))
-        stream = spark.readStream.schema(EVENTS).parquet(f"{root}/arrived/part=*")
-        out = chained(stream, hold).writeStream.format("parquet").option("path", f"{root}/windows").option("checkpointLocation", f"{root}/checkpoint")
-        with state_in_rocksdb(spark):
-            query = out.outputMode("append").trigger(availableNow=True).start()
-        query.awaitTermination()
+        step(tagged(spark.readStream.schema(EVENTS).parquet(f"{root}/arrived/part=*"), hold), root, "tagged")
+        step(counted(spark.readStream.schema(TAGGED).parquet(f"{root}/tagged")), root, "windows")
     return spark.read.schema(WINDOWS).parquet(f"{root}/windows")
 
 
