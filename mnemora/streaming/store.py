@@ -1,18 +1,12 @@
 """The memory's tables: documents, chunks with vectors, postings, graph, deferred work, state.
 
-Every table that follows documents is kept in buckets of the document's hash. A
-commit rewrites only the buckets that it touches, and becomes visible by one small
-manifest that names the folder of each bucket; readers see the manifest they opened. What an
-ingest writes for a document lies in the same bucket of every table, so a
-changed document replaces its chunks, postings and edges without reading any other bucket.
-
-Order of commits: chunks, postings, edges, deferred work, then documents. A run that
-dies before the last finds the old hashes and does the rest again.
+All of them lie in one log: an ingest appends, for each table, the new rows and the keys that they
+replace, and becomes visible as a whole. A run that dies before has changed nothing, one whose batch is known
+changes nothing, and of two writers the second begins again.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
@@ -26,6 +20,7 @@ from ..operators import catalog, graph, mining
 from ..operators.lineage import cut
 from ..sources import manifests
 from .ingest import EXTRACTOR_VERSION, prepared
+from .log import Conflict, Log, Table
 
 DOCUMENTS = "doc_id string, source_id string, uri string, title string, kind string, content_hash string, graph_version int, updated_at string, chunk_count long, graph_json string"
 CHUNKS = "doc_id string, chunk_index int, source_id string, uri string, title string, kind string, updated_at string, crumb string, text string, embedding array<float>"
@@ -39,80 +34,6 @@ STATE = "source_id string, key string, value string"
 PAYLOAD = "entities array<array<string>>, aliases array<array<string>>, edges array<array<string>>"
 
 
-class Buckets:
-    """A Parquet table in `buckets` parts by the hash of a key; commits are numbered manifests."""
-
-    def __init__(self, spark: SparkSession, path: str, schema: str, key: str = "doc_id", buckets: int = 16):
-        self.spark, self.path, self.schema, self.key, self.buckets = spark, path.rstrip("/"), schema, key, buckets
-
-    def _hadoop(self, path: str):
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return at, at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _listed(self, path: str) -> list[str]:
-        at, fs = self._hadoop(path)
-        return [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
-
-    def commits(self) -> list[int]:
-        return sorted(int(n.removesuffix(".json")) for n in self._listed(f"{self.path}/commits") if n.endswith(".json"))
-
-    def manifest(self, commit: int | None = None) -> dict[int, int]:
-        """The folder's commit of each bucket that has rows."""
-        known = self.commits()
-        if commit is None and not known:
-            return {}
-        said = self.spark.read.text(f"{self.path}/commits/{known[-1] if commit is None else commit}.json", wholetext=True).first()[0]
-        return {int(k): v for k, v in json.loads(said).items()}
-
-    def bucket(self):
-        return F.expr(f"cast(pmod(xxhash64({self.key}), {self.buckets}) as int)")
-
-    def read(self, only: list[int] | None = None) -> DataFrame:
-        held = self.manifest()
-        paths = [f"{self.path}/data/{c}/bucket={b}" for b, c in sorted(held.items()) if only is None or b in only]
-        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
-
-    def touched(self, *rows: DataFrame) -> list[int]:
-        """Buckets of the keys of rows: no more numbers than there are buckets."""
-        out: set[int] = set()
-        for df in rows:
-            out |= {r.bucket for r in df.select(self.bucket().alias("bucket")).distinct().collect()}
-        return sorted(out)
-
-    def replace(self, gone: DataFrame, new: DataFrame) -> int | None:
-        """Rows of the keys in gone are replaced by new; the new commit's number (None: nothing to do)."""
-        marked = self.touched(gone, new)
-        if not marked:
-            return None
-        columns = [f.split()[0] for f in self.schema.split(", ")]
-        kept = self.read(marked).join(gone.select(self.key).distinct(), self.key, "left_anti").select(*columns)
-        number = (self.commits() or [-1])[-1] + 1
-        rows = kept.unionByName(new.select(*columns)).withColumn("bucket", self.bucket())
-        rows.repartition(len(marked), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/data/{number}")
-        written = {int(n.removeprefix("bucket=")) for n in self._listed(f"{self.path}/data/{number}") if n.startswith("bucket=")}
-        now = {b: c for b, c in self.manifest().items() if b not in marked} | dict.fromkeys(written, number)
-        self._publish(number, now)
-        return number
-
-    def _publish(self, number: int, manifest: dict[int, int], keep: int = 2) -> None:
-        """Writes a manifest under a name of its own and renames it; a name that is taken is an error. Folders that the last `keep` do not name go."""
-        at, fs = self._hadoop(f"{self.path}/commits/{number}.json")
-        hidden = self._hadoop(f"{self.path}/commits/.{number}")[0]
-        out = fs.create(hidden, True)
-        out.write(bytearray(json.dumps(manifest).encode()))
-        out.close()
-        if fs.exists(at) or not fs.rename(hidden, at):
-            raise RuntimeError(f"commit {number} of {self.path} is there already")
-        known = self.commits()
-        used = {(b, c) for n in known[-keep:] for b, c in self.manifest(n).items()}
-        for n in known[:-keep]:
-            fs.delete(self._hadoop(f"{self.path}/commits/{n}.json")[0], False)
-        for c in (int(x) for x in self._listed(f"{self.path}/data") if x.isdigit() and int(x) < number):
-            for b in (int(x.removeprefix("bucket=")) for x in self._listed(f"{self.path}/data/{c}") if x.startswith("bucket=")):
-                if (b, c) not in used:
-                    fs.delete(self._hadoop(f"{self.path}/data/{c}/bucket={b}")[0], True)
-
-
 # --- assertions of documents -------------------------------------------------
 
 
@@ -194,19 +115,29 @@ class Memory:
     private_sources: tuple[str, ...] = ()
 
     def __post_init__(self):
-        table = lambda name, schema, key="doc_id": Buckets(self.spark, f"{self.path}/{name}", schema, key, self.buckets)
+        self.log = Log(self.spark, self.path)
+        table = lambda name, schema, key="doc_id": Table(self.log, name, schema, key, self.buckets)
         self.documents, self.chunks, self.postings = table("documents", DOCUMENTS), table("chunks", CHUNKS), table("postings", POSTINGS)
         self.edges, self.pending = table("edges", EDGES), table("pending", PENDING)
         self.entities, self.aliases, self.state = table("entities", ENTITIES, "id"), table("aliases", ALIASES, "entity_id"), table("state", STATE, "source_id")
 
     # -- ingest
 
-    def ingest(self, documents: DataFrame) -> DataFrame:
+    def ingest(self, documents: DataFrame, batch: tuple[str, int] | None = None) -> DataFrame:
         """Takes in documents (source_id, uri, title, kind, text, updated_at, and perhaps graph_json) and returns doc_id, action of each.
 
         Unchanged ones are skipped (their graph is built again where its extractors changed or its work was deferred); of
-        documents given twice the last updated counts.
+        documents given twice the last updated counts. batch is (a stream's name, the number of a batch): one that was taken in
+        already changes nothing.
         """
+        out = self.log.retried(lambda: self._ingest(documents, batch))
+        self.maintain()
+        return out
+
+    def _ingest(self, documents: DataFrame, batch: tuple[str, int] | None) -> DataFrame:
+        known = self.log.current()["batches"]
+        if batch is not None and batch[1] <= known.get(batch[0], -1):
+            return self.spark.createDataFrame([], "doc_id string, action string")
         payload = F.coalesce("graph_json", F.lit("")) if "graph_json" in documents.columns else F.lit("")
         rows = prepared(documents.withColumn("graph_json", payload), keep=("graph_json",))
         latest = cut(rows.groupBy("doc_id").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "doc_id"]), F.struct(F.coalesce("updated_at", F.lit("")), "content_hash")).alias("r")).select("doc_id", "r.*"))
@@ -215,20 +146,39 @@ class Memory:
         waiting = self.pending.read().select("doc_id", F.lit(True).alias("waits"))
         refreshed = F.when((F.col("action") == "skipped") & F.col("waits"), "graph_refreshed").otherwise(F.col("action"))
         actions = cut(acted.join(waiting, "doc_id", "left").select("doc_id", refreshed.alias("action")))
-        placed = latest.join(actions, "doc_id")
-        changed = cut(placed.where("action in ('added', 'updated')"))
-        parts = cut(self._chunked(changed))
-        self.chunks.replace(changed, parts)
-        self.postings.replace(changed, self._posted(parts))
-        self._write_graph(placed.where("action <> 'skipped'"))
-        counted = changed.join(parts.groupBy("doc_id").agg(F.count("*").alias("chunk_count")), "doc_id", "left").withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0)))
-        # An unchanged document keeps its row but for its graph's version and the payload, if the connector gave one.
-        again = old.join(placed.where("action = 'graph_refreshed'").select("doc_id", F.col("graph_json").alias("given"), F.lit(EXTRACTOR_VERSION).alias("version")), "doc_id")
-        kept = again.withColumn("graph_json", F.when(F.col("given") != "", F.col("given")).otherwise(F.col("graph_json"))).withColumn("graph_version", F.col("version"))
-        columns = [f.split()[0] for f in DOCUMENTS.split(", ")]
-        self.documents.replace(placed.where("action <> 'skipped'"), counted.select(*columns).unionByName(kept.select(*columns)))
+        placed = latest.join(actions, "doc_id").where("action <> 'skipped'")
+        if not placed.isEmpty():
+            changed = placed.where("action in ('added', 'updated')")
+            updated = changed.where("action = 'updated'").select("doc_id")
+            parts = cut(self._chunked(changed))
+            self.chunks.replace(updated, parts)
+            self.postings.replace(updated, self._posted(parts))
+            self._write_graph(placed.drop("action"), placed.where("action <> 'added'").select("doc_id"))
+            counted = changed.join(parts.groupBy("doc_id").agg(F.count("*").alias("chunk_count")), "doc_id", "left").withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0)))
+            # An unchanged document keeps its row but for its graph's version and the payload, if the connector gave one.
+            again = old.join(placed.where("action = 'graph_refreshed'").select("doc_id", F.col("graph_json").alias("given"), F.lit(EXTRACTOR_VERSION).alias("version")), "doc_id")
+            kept = again.withColumn("graph_json", F.when(F.col("given") != "", F.col("given")).otherwise(F.col("graph_json"))).withColumn("graph_version", F.col("version"))
+            columns = self.documents.columns
+            self.documents.replace(placed.where("action <> 'added'"), counted.select(*columns).unionByName(kept.select(*columns)))
+        if batch is not None:
+            known[batch[0]] = batch[1]
         return actions
 
+    def tables(self) -> tuple[Table, ...]:
+        return self.documents, self.chunks, self.postings, self.edges, self.pending, self.entities, self.aliases, self.state
+
+    def maintain(self, force: bool = False) -> dict[str, str]:
+        """Compacts the tables that have many appended parts; what was done. A writer that comes first wins, and the next call tries again."""
+        done = {}
+        try:
+            with self.log.transaction():
+                for table in self.tables():
+                    if what := table.compact(force):
+                        done[table.name] = what
+        except Conflict:
+            return {}
+        return done
+
     def _chunked(self, docs: DataFrame) -> DataFrame:
         crumb = text.breadcrumb(F.col("source_id"), F.col("title"), F.col("uri"))
         each = docs.select("doc_id", "source_id", "uri", "title", "kind", "updated_at", (crumb if self.contextual else F.lit("")).alias("crumb"), F.posexplode(chunk.chunks(F.col("text"), F.col("kind"))).alias("chunk_index", "body"))
@@ -242,8 +192,8 @@ class Memory:
 
     # -- graph
 
-    def _write_graph(self, docs: DataFrame) -> None:
-        """Assertions of docs; those that a model should read first are deferred with theirs as a payload."""
+    def _write_graph(self, docs: DataFrame, known: DataFrame) -> None:
+        """Assertions of docs, of which some are known (doc_id); those that a model should read first are deferred with theirs as a payload."""
         docs = cut(docs)
         entities, aliases, edges = (cut(x) for x in assembled(docs))
         code = mining.looks_like_code(F.col("kind"), F.col("uri"))
@@ -253,20 +203,23 @@ class Memory:
         waits = classify.mining_eligible(F.col("kind"), F.col("text"), F.col("uri")) & ~code & ~manifest if self.extractor is not None else F.lit(False)
         deferred = docs.where(waits).select("doc_id", "source_id")
         ready = docs.select("doc_id", "source_id").join(deferred.select("doc_id"), "doc_id", "left_anti")
-        self.pending.replace(docs, payloads(entities, aliases, edges, deferred))
+        self.pending.replace(known, payloads(entities, aliases, edges, deferred))
         only = lambda df: df.join(ready.select("doc_id"), "doc_id", "left_semi")
-        self._persist(ready, only(entities), only(aliases), only(edges))
+        self._persist(ready.join(known, "doc_id", "left_semi"), only(entities), only(aliases), only(edges))
 
     def _persist(self, docs: DataFrame, entities: DataFrame, aliases: DataFrame, edges: DataFrame) -> None:
+        """Writes what documents assert; of those in docs what they asserted before goes."""
         old = self.entities.read(self.entities.touched(entities))
         private = self.spark.createDataFrame([(s,) for s in self.private_sources], "source_id string")
         # All entities are candidates for another name; only those of the buckets that are written are read again below.
         pool = self.entities.read() if self.adjudicator is not None else old.limit(0)
         kept, all_aliases, remapped = graph.guarded(entities.withColumn("seq", F.lit(0)), aliases, edges, pool, private, self.adjudicator, self.embedder)
         arrived = cut(kept.withColumn("seq", F.xxhash64("doc_id").bitwiseAND(F.lit(2**62 - 1))))
-        self.entities.replace(arrived, graph.upsert_entities(old.join(arrived.select("id").distinct(), "id", "left_semi"), arrived))
+        there = cut(old.join(arrived.select("id").distinct(), "id", "left_semi"))
+        self.entities.replace(there, graph.upsert_entities(there, arrived))
         spoken = cut(all_aliases)
-        self.aliases.replace(spoken, graph.upsert_aliases(self.aliases.read(self.aliases.touched(spoken)).join(spoken.select("entity_id").distinct(), "entity_id", "left_semi"), spoken))
+        said = cut(self.aliases.read(self.aliases.touched(spoken)).join(spoken.select("entity_id").distinct(), "entity_id", "left_semi"))
+        self.aliases.replace(said, graph.upsert_aliases(said, spoken))
         self.edges.replace(docs, remapped.select("doc_id", "src", "rel", "dst", F.col("doc_id").alias("evidence_doc_id"), "detail"))
 
     def stored_texts(self, docs: DataFrame) -> DataFrame:
@@ -278,6 +231,9 @@ class Memory:
 
     def drain(self, extractor: Callable | None = None) -> DataFrame:
         """Finishes deferred documents from their stored text; counts: documents, missing_text, orphans. Those without text stay deferred."""
+        return self.log.retried(lambda: self._drain(extractor))
+
+    def _drain(self, extractor: Callable | None) -> DataFrame:
         waiting = cut(self.pending.read())
         docs = self.documents.read()
         orphans = catalog.without(waiting, docs, ["doc_id"])
@@ -303,6 +259,9 @@ class Memory:
         With a stored payload a document's edges are replaced; without one its own edges are kept beside what
         its text says, as nothing else knows what the connector claimed. Without text it is left as it is.
         """
+        return self.log.retried(lambda: self._rebuild(source))
+
+    def _rebuild(self, source: str | None) -> DataFrame:
         docs = self.documents.read()
         docs = docs if source is None else docs.where(F.col("source_id") == source)
         read = cut(self.stored_texts(docs))
@@ -316,12 +275,15 @@ class Memory:
         self._persist(usable.select("doc_id", "source_id"), *(cut(x) for x in assembled(cut(carried.drop("held")))))
         columns = [f.split()[0] for f in DOCUMENTS.split(", ")]
         self.documents.replace(usable, cut(usable.withColumn("graph_version", F.lit(EXTRACTOR_VERSION)).select(*columns)))
-        return read.agg(F.count_if(F.expr("trim(text) <> ''")).alias("documents"), F.count_if(F.expr("trim(text) <> '' and graph_json <> ''")).alias("faithful"), F.count_if(F.expr("trim(text) <> '' and graph_json = ''")).alias("preserved"), F.count_if(F.expr("trim(text) = ''")).alias("missing_text"))
+        return cut(read.agg(F.count_if(F.expr("trim(text) <> ''")).alias("documents"), F.count_if(F.expr("trim(text) <> '' and graph_json <> ''")).alias("faithful"), F.count_if(F.expr("trim(text) <> '' and graph_json = ''")).alias("preserved"), F.count_if(F.expr("trim(text) = ''")).alias("missing_text")))
 
     # -- deletes, state, indexes
 
     def delete(self, gone: DataFrame) -> None:
         """Documents (doc_id) with their chunks, postings, edges and deferred work; then entities that nothing cites any more."""
+        self.log.retried(lambda: self._delete(gone))
+
+    def _delete(self, gone: DataFrame) -> None:
         gone = cut(gone.select("doc_id").distinct())
         for table in (self.chunks, self.postings, self.edges, self.pending, self.documents):
             table.replace(gone, self.spark.createDataFrame([], table.schema))
@@ -332,7 +294,7 @@ class Memory:
     def backfill_postings(self) -> int:
         """Builds postings of chunks that have none (of a memory that was filled before there were any); the number of documents."""
         missing = cut(self.chunks.read().join(self.postings.read().select("doc_id").distinct(), "doc_id", "left_anti"))
-        self.postings.replace(missing, self._posted(missing))
+        self.postings.replace(missing.limit(0), self._posted(missing))
         return missing.select("doc_id").distinct().count()
 
     def watermark(self, source: str, key: str = "since") -> str | None:

@@ -5,6 +5,8 @@ import hashlib
 import hmac
 import io
 import json
+import pathlib
+import random
 import threading
 import zipfile
 import zlib
@@ -14,11 +16,12 @@ from pyspark.sql import functions as F
 
 from mnemora.engine import BACKLOG, Engine
 from mnemora.functions import embed, stem
-from mnemora.operators import evals, graph, retrieval
+from mnemora.operators import evals, graph, lineage, retrieval
 from mnemora.sources import export, files, pdf, push
 from mnemora.sources.registry import TransientError, instance
-from mnemora.streaming import runs
-from mnemora.streaming.store import Buckets, Memory
+from mnemora.streaming import log, runs
+from mnemora.streaming.log import Conflict, Log, Table
+from mnemora.streaming.store import Memory
 
 DOC = "source_id string, uri string, title string, kind string, text string, updated_at string, graph_json string"
 
@@ -27,24 +30,86 @@ def docs_of(spark, *rows):
     return spark.createDataFrame([(*r, *([None] * (7 - len(r)))) for r in rows], DOC)
 
 
-def test_a_commit_rewrites_only_what_it_touches(spark, tmp_path):
-    t = Buckets(spark, str(tmp_path / "t"), "doc_id string, n int", buckets=8)
-    rows = spark.createDataFrame([(f"d{k}", k) for k in range(100)], "doc_id string, n int")
-    t.replace(rows, rows)
-    before = t.manifest()
-    one = spark.createDataFrame([("d7", 700)], "doc_id string, n int")
-    t.replace(one, one)
-    after = t.manifest()
-    assert sum(before[b] != after[b] for b in before) == 1 and len(before) == 8
-    assert {r.doc_id: r.n for r in t.read().collect()} == {f"d{k}": 700 if k == 7 else k for k in range(100)}
-    t.replace(rows, rows.limit(0))
-    assert t.read().count() == 0 and t.manifest() == {} and t.replace(rows.limit(0), rows.limit(0)) is None
-    for _ in range(4):
-        t.replace(one, one)
-    kept = {c for n in t.commits() for c in t.manifest(n).values()}
-    assert len(t.commits()) == 2 and {p.name for p in (tmp_path / "t" / "data").iterdir() if any(p.glob("bucket=*"))} == {str(c) for c in kept}
-    with pytest.raises(RuntimeError, match="there already"):
-        t._publish(t.commits()[-1], {})
+def parts_of(table):
+    return table.log.snapshot()["parts"].get(table.name)
+
+
+@pytest.fixture
+def numbers(spark, tmp_path):
+    return Table(Log(spark, str(tmp_path / "t")), "numbers", "doc_id string, n int", buckets=8)
+
+
+def stored_bytes(path):
+    return sum(p.stat().st_size for p in path.rglob("*.parquet"))
+
+
+def test_a_commit_writes_what_changed(spark, numbers, tmp_path):
+    rows = spark.range(40_000).selectExpr("concat('d', id) as doc_id", "cast(id as int) as n")
+    numbers.replace(rows, rows)
+    before = stored_bytes(tmp_path)
+    some = rows.where("n % 100 = 7").withColumn("n", F.lit(-1))
+    numbers.replace(some, some)
+    assert stored_bytes(tmp_path) - before < before / 20
+    assert numbers.read().count() == 40_000 and numbers.read().where("n = -1").count() == 400
+    numbers.replace(some.where("n > 0"), some.limit(0))  # nothing: no commit
+    assert len(numbers.log.commits()) == 2
+    numbers.replace(rows.where("n < 100"), rows.limit(0))
+    assert numbers.compact(force=True) == "all" and numbers.read().count() == 39_900
+    assert 0 < numbers.read(numbers.touched(some.limit(1))).count() < 10_000  # of buckets only what is asked for
+
+
+def test_compaction_changes_no_row_and_old_snapshots_stay(spark, numbers, monkeypatch):
+    rng = random.Random(1)
+    monkeypatch.setattr(log, "MOST_PARTS", 3)
+    now, done = {}, []
+    for turn in range(14):
+        keys = range(2000) if turn == 0 else rng.sample(range(2100), 40)
+        gone, new = [f"d{k}" for k in keys if f"d{k}" in now], [(f"d{k}", turn) for k in keys if turn == 0 or k % 3]
+        for k in gone:
+            del now[k]
+        now |= dict(new)
+        numbers.replace(spark.createDataFrame([(k,) for k in gone], "doc_id string"), spark.createDataFrame(new, "doc_id string, n int"))
+        with numbers.log.transaction():
+            done.append(numbers.compact())
+        assert {r.doc_id: r.n for r in numbers.read().collect()} == now
+    assert {"all", "tail"} <= set(done)
+    assert numbers.log.vacuum() == 0  # nothing is old enough
+    assert numbers.log.vacuum(keep=1, hours=0) > 0 and len(numbers.log.commits()) == 1
+    assert {r.doc_id: r.n for r in numbers.read().collect()} == now
+
+
+def test_of_two_writers_the_second_begins_again(spark, numbers):
+    one = spark.createDataFrame([("a", 1)], "doc_id string, n int")
+    with pytest.raises(Conflict), numbers.log.transaction():
+        numbers.replace(one.limit(0), one)
+        other = Table(Log(spark, numbers.log.path), "numbers", numbers.schema, buckets=8)
+        other.replace(one.limit(0), one.withColumn("n", F.lit(2)))
+    assert [r.n for r in numbers.read().collect()] == [2]
+    errors = []
+
+    def add(k):
+        try:
+            mine = Table(Log(spark, numbers.log.path), "numbers", numbers.schema, buckets=8)
+            mine.log.retried(lambda: mine.replace(one.limit(0), spark.createDataFrame([(f"w{k}", k)], "doc_id string, n int")), times=20)
+        except Exception as error:
+            errors.append(error)
+
+    threads = [threading.Thread(target=add, args=(k,)) for k in range(4)]
+    [t.start() for t in threads], [t.join() for t in threads]
+    assert not errors and {r.doc_id for r in numbers.read().collect()} == {"a", "w0", "w1", "w2", "w3"}
+
+
+def test_a_replayed_batch_changes_nothing_and_readers_see_one_snapshot(spark, memory):
+    first = docs_of(spark, ("wiki:w", "u1", "T", "doc", "OPS-1", "1"))
+    assert memory.ingest(first, ("s", 0)).count() == 1
+    again = docs_of(spark, ("wiki:w", "u1", "T", "doc", "OPS-2", "2"))
+    assert memory.ingest(again, ("s", 0)).count() == 0 and edges_of(memory) == {("source:w", "references", "ticket:ops-1")}
+    commits = len(memory.log.commits())
+    assert memory.ingest(again, ("s", 1)).count() == 1 and len(memory.log.commits()) == commits + 1  # all tables at once
+    assert edges_of(memory) == {("source:w", "references", "ticket:ops-2")}
+    folders = [p for p in pathlib.Path(lineage.shared_root(spark)).glob("mnemora-*") if p.is_dir()]
+    memory.ingest(docs_of(spark, ("wiki:w", "u2", "T", "doc", "x", "1")))
+    assert len([p for p in pathlib.Path(lineage.shared_root(spark)).glob("mnemora-*") if p.is_dir()]) <= len(folders) + 1  # the returned actions
 
 
 @pytest.fixture
@@ -63,8 +128,8 @@ def test_ingest_replaces_what_changed(spark, memory):
     assert edges_of(memory) == {("repo:shop", "imports", "module:os"), ("repo:shop", "defines", "symbol:run"), ("repo:shop", "references", "ticket:pay-7"), ("service:pay", "part_of", "project:x")}
     assert {r.term: r.tf for r in memory.postings.read().collect()}["pay"] == 1 and memory.chunks.read().count() == 2
     assert {(r.alias, r.entity_id) for r in memory.aliases.read().collect()} == {("payments", "service:pay")}
-    manifest = memory.chunks.manifest()
-    assert {r.action for r in memory.ingest(first).collect()} == {"skipped"} and memory.chunks.manifest() == manifest
+    manifest = parts_of(memory.chunks)
+    assert {r.action for r in memory.ingest(first).collect()} == {"skipped"} and parts_of(memory.chunks) == manifest
     again = memory.ingest(docs_of(spark, ("git:shop", "a.py", "A", "code", "def other():\n    pass\n", "2")))
     assert [r.action for r in again.collect()] == ["updated"]
     assert edges_of(memory) == {("repo:shop", "defines", "symbol:other"), ("repo:shop", "references", "ticket:pay-7"), ("service:pay", "part_of", "project:x")}
@@ -119,10 +184,10 @@ def test_a_stale_graph_is_refreshed_without_new_chunks(spark, memory):
     memory.ingest(docs_of(spark, ("wiki:w", "u1", "T", "doc", "OPS-1", "1")))
     old = memory.documents.read().withColumn("graph_version", F.lit(1))
     memory.documents.replace(old, old)
-    manifest = memory.chunks.manifest()
+    manifest = parts_of(memory.chunks)
     payload = json.dumps({"edges": [["a:1", "part_of", "b:2", "x"]]})
     acted = memory.ingest(docs_of(spark, ("wiki:w", "u1", "T", "doc", "OPS-1", "1", payload)))
-    assert [r.action for r in acted.collect()] == ["graph_refreshed"] and memory.chunks.manifest() == manifest
+    assert [r.action for r in acted.collect()] == ["graph_refreshed"] and parts_of(memory.chunks) == manifest
     assert ("a:1", "part_of", "b:2") in edges_of(memory) and memory.documents.read().first().graph_json == payload
 
 
