@@ -47,7 +47,7 @@ from .common import HOT_KEYS, own_folder, read_table, stored
 
 HOLD, LATE, BATCHES = 48, 24, 10
 #: Rows of a bucket over all batches; at least LEAST_BUCKETS buckets.
-BUCKET_ROWS, LEAST_BUCKETS = 100_000, 512
+BUCKET_ROWS, LEAST_BUCKETS = 100_000, 128
 
 #: n events; without a hash they are unlike any opener, and crc is the sum of theirs. Without a key: a control row.
 EVENTS = "bucket int, key long, hour long, hash binary, n long, crc long, batch long, floor long, next_floor long"
