@@ -17,6 +17,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,10 +53,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+#: Sums of powers modulo 2**64 of certain texts of a thousand bytes and more are equal, whatever the base (as where letters
+#: follow the Thue-Morse sequence); spans from here on are hashed by themselves.
+LONG_SPAN = 512
+
+
 class Prefix:
-    """Hashes of any [start, end) of a byte array in constant time each."""
+    """Hashes of any [start, end) of a byte array, in constant time each but for long ones."""
 
     def __init__(self, data: np.ndarray):
+        self.data = data
         up, self.down = powers(len(data) + 1)
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(BYTE[data] * up[: len(data)], out=self.sums[1:])
@@ -64,7 +71,12 @@ class Prefix:
         return (self.sums[end] - self.sums[start]) * self.down[start]
 
     def of(self, start, end) -> np.ndarray:
-        return mix(self.raw(start, end) + (np.asarray(end) - np.asarray(start)).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+        size = np.asarray(end) - np.asarray(start)
+        out = mix(self.raw(start, end) + size.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+        if size.ndim and size.size and size.max() >= LONG_SPAN:
+            for k in np.flatnonzero(size >= LONG_SPAN):
+                out[k] = xxhash.xxh3_64_intdigest(self.data[start[k] : end[k]])
+        return out
 
 
 def ranges(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
