@@ -41,6 +41,7 @@ from urllib.parse import urljoin
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import read_table, stored
 
@@ -48,6 +49,8 @@ VERSION = b"WARC/1.1"
 DATE = "1970-01-01T00:00:00Z"
 #: Source headers that the derivatives' own say; all others are kept in the metadata record.
 RESTATED = ("warc-type", "warc-record-id", "warc-date", "warc-target-uri", "content-type", "content-length")
+#: A payload may unfold to so many bytes; beyond, its page has an error row.
+UNFOLDED_BYTES = 256 << 20
 IMAGE_BYTES = 8 << 20
 RAW = ("script", "style")
 HIDDEN = ("noscript", "template", "svg", "nav", "footer", "head")
@@ -254,9 +257,9 @@ def decoded(http: bytes, payload: bytes) -> bytes:
         if kind not in (b"gzip", b"x-gzip", b"deflate"):
             raise ValueError(f"a payload in {kind.decode('latin-1')}")
         last = None
-        for bits in (47,) if kind != b"deflate" else (15, -15):
+        for bits in (31,) if kind != b"deflate" else (15, -15):
             try:
-                payload = zlib.decompressobj(bits).decompress(payload)
+                payload = unfolded(payload, bits)
                 break
             except zlib.error as e:
                 last = e
@@ -265,6 +268,22 @@ def decoded(http: bytes, payload: bytes) -> bytes:
     return payload
 
 
+def unfolded(payload: bytes, bits: int, most: int = UNFOLDED_BYTES) -> bytes:
+    """All members of a compressed payload; one that ends early, or unfolds to more than `most` bytes, is an error."""
+    out, left = [], most
+    while True:
+        member = zlib.decompressobj(bits)
+        out.append(member.decompress(payload, left + 1))
+        left -= len(out[-1])
+        if left < 0:
+            raise ValueError(f"a payload that unfolds to more than {most} bytes")
+        if not member.eof:
+            raise ValueError("a compressed payload that ends early")
+        payload = member.unused_data.lstrip(b"\0")  # members may be padded
+        if not payload or bits != 31:
+            return b"".join(out)
+
+
 def derive(record: bytes) -> list[tuple]:
     """(type, record id, refers to, target, date, n_links, text, record) of the two derivatives."""
     headers, block = read_record(record)
@@ -342,7 +361,8 @@ def derivatives(records: DataFrame) -> DataFrame:
     return records.select("page_id", "record").mapInArrow(run, f"page_id {kind}, type string, record_id string, refers_to string, target_uri string, date string, n_links long, error string, record binary")
 
 
-_INDEX = pa.list_(pa.struct([("page_id", pa.int64()), ("offset", pa.int64()), ("size", pa.int64()), ("error", pa.string())]))
+def _index(kind: pa.DataType) -> pa.DataType:
+    return pa.list_(pa.struct([("page_id", kind), ("offset", pa.int64()), ("size", pa.int64()), ("error", pa.string())]))
 
 
 def info_record() -> bytes:
@@ -360,12 +380,14 @@ def member(record: bytes) -> bytes:
 def write_images(records: DataFrame, image_bytes: int = IMAGE_BYTES) -> DataFrame:
     """Derives and writes WARC images (.warc.gz) to the shared folder: image, entries (page_id, offset, size, error) of its derivatives."""
 
+    kind, id_type = records.schema["page_id"].dataType.simpleString(), to_arrow_type(records.schema["page_id"].dataType)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = member(info_record())
         held, entries, size = [first], [], len(first)
 
         def image() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary()), pa.array([entries], _INDEX)], names=["image", "entries"])
+            return pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary()), pa.array([entries], _index(id_type))], names=["image", "entries"])
 
         for batch in batches:
             for k, page_id in enumerate(batch.column(0).to_pylist()):
@@ -383,12 +405,15 @@ def write_images(records: DataFrame, image_bytes: int = IMAGE_BYTES) -> DataFram
         if entries:
             yield image()
 
-    return stored(records.select(F.col("page_id").cast("long"), "record").mapInArrow(run, "image binary, entries array<struct<page_id: long, offset: long, size: long, error: string>>"))
+    return stored(records.select("page_id", "record").mapInArrow(run, f"image binary, entries array<struct<page_id: {kind}, offset: long, size: long, error: string>>"))
 
 
 def read_images(images: DataFrame) -> DataFrame:
     """page_id, type, record_id, refers_to, target_uri, date, n_links, error, record of every derivative, by the images' index."""
 
+    id_field = images.schema["entries"].dataType.elementType["page_id"].dataType
+    kind, id_type = id_field.simpleString(), to_arrow_type(id_field)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
@@ -403,10 +428,10 @@ def read_images(images: DataFrame) -> DataFrame:
                     n_links = block.count(b"\r\noutlink: ") if by["warc-type"] == "metadata" else None
                     rows.append((e["page_id"], by["warc-type"], by["warc-record-id"], by["warc-refers-to"], by.get("warc-target-uri"), by["warc-date"], n_links, None, record))
                 for at in range(0, len(rows), 500):
-                    kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary())
+                    kinds = (id_type, pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 500], strict=True), kinds, strict=True)], names=["page_id", "type", "record_id", "refers_to", "target_uri", "date", "n_links", "error", "record"])
 
-    return images.mapInArrow(run, "page_id long, type string, record_id string, refers_to string, target_uri string, date string, n_links long, error string, record binary")
+    return images.mapInArrow(run, f"page_id {kind}, type string, record_id string, refers_to string, target_uri string, date string, n_links long, error string, record binary")
 
 
 def op6_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
