@@ -35,8 +35,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import Prefix, chunks, drop_stored, read_table, stored, windows, words_of
+from .common import Prefix, chunks, drop_stored, own_folder, read_table, stored, windows, words_of
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -173,7 +174,7 @@ def candidates(found: np.ndarray, broken: np.ndarray, doc: np.ndarray, width: in
     return {(d, i) for x, y, i in pairs for d in range(x, y + 1)}
 
 
-def _search(shared, threshold: float):
+def _search(shared, threshold: float, item_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: Items = shared.value
         table = lookup(items)
@@ -199,7 +200,7 @@ def _search(shared, threshold: float):
                         if share >= threshold:
                             rows.append((ids[a + k].as_py(), items.ids[i], len(s), share))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (ids.type, pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["doc_id", "item_id", "n_shingles", "containment"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (ids.type, item_type, pa.int64(), pa.float64()), strict=True)], names=["doc_id", "item_id", "n_shingles", "containment"])
 
     return run
 
@@ -217,8 +218,9 @@ def item_shingles(benchmark: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 sets = [np.unique(shingles(w, n)).view(np.int64) for w, n in zip(own, widths, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(widths, pa.int32()), pa.array([s.tolist() for s in sets], pa.list_(pa.int64()))], names=["item_id", "width", "shingles"])
 
-    lowered = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.lower("text").alias("text"))
-    return stored(lowered.mapInArrow(run, "item_id long, width int, shingles array<long>").where("width > 0"))
+    kind = benchmark.schema["item_id"].dataType.simpleString()
+    lowered = benchmark.select("item_id", F.lower("text").alias("text"))
+    return stored(lowered.mapInArrow(run, f"item_id {kind}, width int, shingles array<long>").where("width > 0"))
 
 
 def item_blocks(items: DataFrame, most: int = BLOCK_SHINGLES) -> Iterator[Items]:
@@ -241,18 +243,30 @@ def item_blocks(items: DataFrame, most: int = BLOCK_SHINGLES) -> Iterator[Items]
 
 
 def search(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, most: int = BLOCK_SHINGLES) -> DataFrame:
-    """doc_id, item_id, n_shingles, containment of every item that a document contains to the threshold."""
+    """doc_id, item_id, n_shingles, containment of every item that a document contains to the threshold.
+
+    Where there are several blocks of items, what each finds is written before the next is read, so that
+    executors hold one block at a time, and the driver two.
+    """
     spark = docs.sparkSession
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, item_id long, n_shingles long, containment double"
+    kind, item = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType
+    schema = f"doc_id {kind}, item_id {item.simpleString()}, n_shingles long, containment double"
     lowered = docs.select("doc_id", F.lower("text").alias("text"))
-    out = None
     items = item_shingles(benchmark, shingle)
-    for block in item_blocks(items, most):
-        found = lowered.mapInArrow(_search(spark.sparkContext.broadcast(block), threshold), schema)
-        out = found if out is None else out.union(found)
+    blocks = item_blocks(items, most)
+    block, out = next(blocks, None), None
+    while block is not None:
+        shared, after = spark.sparkContext.broadcast(block), next(blocks, None)
+        found = lowered.mapInArrow(_search(shared, threshold, to_arrow_type(item)), schema)
+        if out is None and after is None:
+            drop_stored(items)
+            return found  # the usual case: one block, nothing to write
+        out = out or own_folder(spark)
+        found.write.mode("append").parquet(out)
+        shared.unpersist()
+        block = after
     drop_stored(items)
-    return out if out is not None else spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(out) if out else spark.createDataFrame([], schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
