@@ -5,6 +5,7 @@ An engine reads a memory's tables as one reader: sources outside `visible` (None
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 
@@ -26,6 +27,8 @@ class Engine:
     top_k: int = 8
     min_score: float = 0.55
     rerank: int = 0
+    #: The seam for a model that orders the first `rerank` answers; see retrieval.rerank_head.
+    reranker: Callable | None = None
     expansion_limit: int = 8
     now: datetime = field(default_factory=lambda: datetime.now(UTC))
 
@@ -50,9 +53,17 @@ class Engine:
         ready = self.memory.embedder.queries(asked).withColumn("terms", text.match_terms(F.col("query")))
         rows = self.memory.search_rows()
         wanted = rows.where(scope.Scope(sources, documents, self.visible).predicate(F.col("source_id"), F.col("doc_id")))
-        found = retrieval.hybrid_search(wanted, ready, self.top_k, self.min_score, self.rerank)
+        # Chosen documents are few: their texts are read. Else the sparse leg reads the index alone.
+        sparse = None if documents else lambda q, k: self.memory.index.topk(q, k, self._searched(sources))
+        found = retrieval.hybrid_search(wanted, ready, self.top_k, self.min_score, self.rerank, reranker=self.reranker, sparse=sparse)
         return found.join(rows.select("id", "doc_id", "source_id", "title", "text"), "id").select("qid", "doc_id", "source_id", "title", "text", "score", "rank")
 
+    def _searched(self, sources: tuple[str, ...]) -> tuple[str, ...] | None:
+        """The sources of a search (None: all): those asked for that are seen."""
+        if not sources:
+            return self.visible
+        return sources if self.visible is None else tuple(s for s in sources if s in self.visible)
+
     def related(self, hits: DataFrame) -> DataFrame:
         """doc_id, rel, src, dst: documents one hop in the graph from the hits' documents."""
         edges, _, docs = self._graph()

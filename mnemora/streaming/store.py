@@ -14,9 +14,10 @@ from datetime import UTC, datetime
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import chunk, classify, embed, text
-from ..operators import catalog, graph, mining
+from ..operators import catalog, fulltext, graph, mining
 from ..operators.lineage import cut
 from ..sources import manifests
 from .ingest import EXTRACTOR_VERSION, prepared
@@ -119,6 +120,8 @@ class Memory:
         table = lambda name, schema, key="doc_id": Table(self.log, name, schema, key, self.buckets)
         self.documents, self.chunks, self.postings = table("documents", DOCUMENTS), table("chunks", CHUNKS), table("postings", POSTINGS)
         self.edges, self.pending = table("edges", EDGES), table("pending", PENDING)
+        #: Stems of chunks and, twice, of their titles; see Engine.search.
+        self.index = fulltext.Index(self.log, "index", self.buckets)
         self.entities, self.aliases, self.state = table("entities", ENTITIES, "id"), table("aliases", ALIASES, "entity_id"), table("state", STATE, "source_id")
 
     # -- ingest
@@ -151,6 +154,7 @@ class Memory:
             changed = placed.where("action in ('added', 'updated')")
             updated = changed.where("action = 'updated'").select("doc_id")
             parts = cut(self._chunked(changed))
+            self.index.update(*(self.index_rows(x) for x in (self._chunks_of(updated), parts)))
             self.chunks.replace(updated, parts)
             self.postings.replace(updated, self._posted(parts))
             self._write_graph(placed.drop("action"), placed.where("action <> 'added'").select("doc_id"))
@@ -175,6 +179,8 @@ class Memory:
                 for table in self.tables():
                     if what := table.compact(force):
                         done[table.name] = what
+                if what := self.index.merge(force):
+                    done[self.index.name] = what
         except Conflict:
             return {}
         return done
@@ -185,6 +191,15 @@ class Memory:
         said = F.when(F.col("crumb") != "", text.with_context(F.col("crumb"), F.col("body"))).otherwise(F.col("body"))
         return self.embedder.passages(each.withColumn("text", said).drop("body"))
 
+    @staticmethod
+    def index_rows(parts: DataFrame) -> DataFrame:
+        """id, source_id, title, text of chunks."""
+        return parts.select(F.xxhash64("doc_id", "chunk_index").alias("id"), "source_id", "title", "text")
+
+    def _chunks_of(self, docs: DataFrame) -> DataFrame:
+        """The stored chunks of docs (doc_id), written apart."""
+        return cut(self.chunks.read(self.chunks.touched(docs)).join(docs.select("doc_id").distinct(), "doc_id", "left_semi"))
+
     def _posted(self, parts: DataFrame) -> DataFrame:
         words = parts.select("doc_id", "chunk_index", "source_id", text.tokens(F.col("text")).alias("words"))
         each = words.select("doc_id", "chunk_index", "source_id", F.size("words").alias("dl"), F.explode("words").alias("term"))
@@ -285,6 +300,8 @@ class Memory:
 
     def _delete(self, gone: DataFrame) -> None:
         gone = cut(gone.select("doc_id").distinct())
+        was = self._chunks_of(gone)
+        self.index.update(self.index_rows(was), self.index_rows(was.limit(0)))
         for table in (self.chunks, self.postings, self.edges, self.pending, self.documents):
             table.replace(gone, self.spark.createDataFrame([], table.schema))
         left = cut(graph.orphans(self.entities.read(), self.edges.read()).select("id"))
@@ -297,6 +314,22 @@ class Memory:
         self.postings.replace(missing.limit(0), self._posted(missing))
         return missing.select("doc_id").distinct().count()
 
+    def backfill_index(self) -> int:
+        """Builds the full-text index of a memory that was filled before there was one; the number of chunks."""
+        if self.log.current()["parts"].get(f"{self.index.name}.sizes"):
+            return 0
+        rows = self.index_rows(self.chunks.read())
+        self.log.retried(lambda: self.index.update(rows.limit(0), rows))
+        return rows.count()
+
+    def stream(self, source: DataFrame, checkpoint: str, name: str = "stream") -> StreamingQuery:
+        """Takes in what is there of a stream of documents and stops; restarts go on from the checkpoint. A batch that is replayed changes nothing, as its number is committed with it."""
+
+        def batch(rows: DataFrame, number: int) -> None:
+            self.ingest(rows, (name, number))
+
+        return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
     def watermark(self, source: str, key: str = "since") -> str | None:
         row = self.state.read(self.state.touched(self.spark.createDataFrame([(source,)], "source_id string"))).where((F.col("source_id") == source) & (F.col("key") == key)).first()
         return row.value if row else None

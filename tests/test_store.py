@@ -140,6 +140,28 @@ def test_ingest_replaces_what_changed(spark, memory):
     assert memory.ingest(first.limit(0)).count() == 0
 
 
+def test_a_stream_fills_the_memory_and_search_reads_its_index(spark, memory, tmp_path):
+    def deliver(n, *rows):
+        docs_of(spark, *rows).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        stream = spark.readStream.schema(DOC).json(str(tmp_path / "in"))
+        memory.stream(stream, str(tmp_path / "state"), "wiki").awaitTermination()
+        assert memory.log.snapshot()["batches"] == {"wiki": n}
+
+    deliver(0, ("wiki:w", "u1", "Deploying", "doc", "the portal runs on blue hosts", "1"), ("wiki:w", "u2", "Other", "doc", "nothing of interest", "1"))
+    deliver(1, ("wiki:w", "u1", "Deploying", "doc", "the portal runs on green hosts", "2"), ("git:g", "u3", "G", "doc", "green hosted portals", "1"))
+    assert memory.documents.read().count() == 3
+    asked = spark.createDataFrame([(1, "blue"), (2, "greens host"), (3, "deployed")], "qid long, query string").withColumn("terms", F.split("query", " "))
+    found = lambda sources=None: {(r.qid, r.uri) for r in memory.index.topk(asked, 5, sources).join(memory.chunks.read().select(F.xxhash64("doc_id", "chunk_index").alias("id"), "uri"), "id").collect()}
+    assert found() == {(2, "u1"), (2, "u3"), (3, "u1")} and found(("git:g",)) == {(2, "u3")}
+    memory.delete(memory.documents.read().where("uri = 'u1'"))
+    assert found() == {(2, "u3")} and memory.backfill_index() == 0
+    assert "all" in memory.maintain(force=True).values() and found() == {(2, "u3")}
+    engine = Engine(memory, min_score=-1.0, rerank=2, reranker=lambda: lambda q, texts: [len(t) for t in texts])
+    assert engine.search(asked.drop("terms").where("qid = 2")).count() == 2
+    sparse = memory.index.topk(asked, 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "embedding" not in sparse and "crumb" not in sparse  # no scan of the chunks
+
+
 def test_contexts_and_stored_texts(spark, tmp_path):
     memory = Memory(spark, str(tmp_path), buckets=2, contextual=True)
     memory.ingest(docs_of(spark, ("wiki:w", "u1", "Title", "doc", "First words.\n\nMore.", "1")))
