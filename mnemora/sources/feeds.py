@@ -6,8 +6,13 @@ them); every extractor is a projection and an explode to (src, rel, dst, detail)
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WORK_ITEM = "id long, type string, relations array<struct<rel: string, url: string, name: string>>"
 ISSUE = "key string, summary string, parent string, links array<string>"
@@ -144,15 +149,35 @@ def folder_path(parent_path: Column) -> Column:
     return F.trim(F.coalesce(F.when(F.contains(parent_path, F.lit(":")), F.regexp_replace(parent_path, "^[^:]*:", "")).otherwise(parent_path), F.lit("")), F.lit("/"))
 
 
-def rich_text(document: Column) -> Column:
-    """Plain text of an issue tracker's JSON document: its text nodes in order, a line for each paragraph, heading and list item.
-
-    The serialised tree names a node's type after its content, or before it; either
-    way text nodes appear in reading order, and blocks end where their content array does.
-    """
-    marked = F.regexp_replace(document, r'(?s)\{[^{}]*?"text"\s*:\s*"((?:[^"\\]|\\.)*)"[^{}]*\}', "\u0001$1\u0002")
-    broken = F.regexp_replace(marked, r"\]", "\u0001\n\u0002")
-    pieces = F.regexp_extract_all(broken, F.lit("\u0001([^\u0002]*)\u0002"), F.lit(1))
-    said = F.array_join(pieces, "")
-    said = F.replace(F.replace(said, F.lit('\\"'), F.lit('"')), F.lit("\\n"), F.lit("\n"))
-    return F.regexp_replace(F.regexp_replace(said, r"\n{2,}", "\n"), r"^\s+|\s+$", "")
+BLOCKS = ("paragraph", "heading", "listItem", "codeBlock", "blockquote", "rule", "tableRow")
+
+
+@F.pandas_udf(T.StringType())
+def rich_text(document: pd.Series) -> pd.Series:
+    """Plain text of an issue tracker's JSON document: its text nodes in order, a line for each block. Other texts stay as they are; a tree may nest to any depth, which no fixed schema can say."""
+
+    def plain(said):
+        try:
+            tree = json.loads(said)
+        except (TypeError, ValueError, RecursionError):
+            return said
+        out, todo = [], [tree]
+        while todo:  # reading order; a string on the stack is what ends a block
+            node = todo.pop()
+            if isinstance(node, str):
+                out.append(node)
+            elif isinstance(node, list):
+                todo += reversed(node)
+            elif isinstance(node, dict):
+                kind = node.get("type")
+                if kind == "hardBreak" or kind in BLOCKS:
+                    todo.append("\n")
+                if kind in ("mention", "emoji") and isinstance(node.get("attrs"), dict):
+                    out.append(str(node["attrs"].get("text") or ""))
+                if isinstance(node.get("text"), str):
+                    out.append(node["text"])
+                if isinstance(node.get("content"), list):
+                    todo.append(node["content"])
+        return re.sub(r"\n{2,}", "\n", "".join(out)).strip() if isinstance(tree, dict | list) else said
+
+    return document.map(plain)

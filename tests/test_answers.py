@@ -109,6 +109,14 @@ def test_rich_text(spark):
     doc = {"type": "doc", "content": [{"type": "heading", "content": [{"type": "text", "text": "Head"}]}, {"type": "paragraph", "content": [{"type": "text", "text": 'a "b" '}, {"type": "text", "text": "c", "marks": []}]}]}
     got = spark.createDataFrame([(json.dumps(doc),)], "t string").select(feeds.rich_text(F.col("t"))).first()[0]
     assert got == 'Head\na "b" c'
+    said = lambda *texts: {"type": "paragraph", "content": [{"type": "text", "text": t} for t in texts]}
+    tree = {"type": "doc", "content": [said("see [1] and {x} here"), {"type": "bulletList", "content": [{"type": "listItem", "content": [said("one\\n", ' "text": "no"')]}, {"type": "listItem", "content": [said("two")]}]}, {"type": "paragraph", "content": [{"type": "text", "text": "a"}, {"type": "hardBreak"}, {"type": "mention", "attrs": {"text": "@ana"}}]}]}
+    deep = {"type": "text", "text": "deep"}
+    for _ in range(300):
+        deep = {"type": "x", "content": [deep]}
+    rows = [(0, json.dumps(tree)), (1, "plain [text]"), (2, None), (3, json.dumps(deep)), (4, "17"), (5, "[]"), (6, "{}")]
+    got = {r.k: r.v for r in spark.createDataFrame(rows, "k int, t string").select("k", feeds.rich_text(F.col("t")).alias("v")).collect()}
+    assert got == {0: 'see [1] and {x} here\none\\n "text": "no"\ntwo\na\n@ana', 1: "plain [text]", 2: None, 3: "deep", 4: "17", 5: "", 6: ""}
 
 
 def test_deployments(spark):
