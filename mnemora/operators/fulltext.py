@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..streaming.log import MOST_PARTS, STEPS, TAIL_SHARE, Log
 from . import retrieval
+from .lineage import cut
 from .retrieval import B, K1, TITLE_WEIGHT, ranked
 
 BLOCKS = "term string, source_id string, rng long, n long, max_tf double, min_dl int, ids array<long>, tfs array<double>, dls array<int>"
@@ -70,11 +71,11 @@ class Index:
             at = lambda df: df.withColumn("seq", F.lit(step).cast("long"))
             flat = lambda df: at(df.withColumn("bucket", F.lit(0)))
             put = lambda name, df: self.log.put(f"{self.name}.{name}", df)
-            post = self.postings(new)
+            post = cut(self.postings(new))  # analysed once
             if put("sizes", flat(self._sizes(post, 1))):
-                put("blocks", at(self._blocked(post, new.count(), step)))
+                put("blocks", at(self._blocked(post, post.where("term = ''").count(), step)))
             if put("gone", flat(gone.select("id").distinct())):
-                was = self.postings(gone)
+                was = cut(self.postings(gone))
                 put("sizes", flat(self._sizes(was, -1)))
                 put("minus", flat(was.where("term <> ''").groupBy("term", "source_id").agg(F.count("*").alias("n"))))
 

@@ -6,9 +6,11 @@ hop, keep only the first arrival at each node, and stop at the hop limit.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -296,6 +298,48 @@ def candidates(entities: DataFrame, others: DataFrame | None = None, least: floa
     return out.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most).select("id", "other", "score")
 
 
+#: Random planes of a signature's band, and bands: two names of a cosine of MERGE_CUTOFF (26 degrees) share a band with a probability of 0.9998.
+PLANES, BANDS = 8, 24
+
+
+def near_names(entities: DataFrame, others: DataFrame, least: float = MERGE_CUTOFF, types: tuple[str, ...] = RESOLVABLE, embedder=None, bands: int = BANDS) -> DataFrame:
+    """id, other, score: others (id, type, name) whose names' vectors have a cosine of `least` or more with an entity's of the same type.
+
+    Names that share a band of their signatures are compared, so the work follows the likely pairs, not all of a
+    type. Ids of one name are taken once: the smallest of the others stands for all, and an entity's ids share its name's answer.
+    """
+    from ..functions import embed
+    from . import retrieval
+
+    model = embedder or embed.Embedder()
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            v = retrieval.vectors_of(batch.column(2), len(batch.column(2)[0]))
+            planes = np.random.default_rng(7).standard_normal((v.shape[1], bands * PLANES))
+            bits = ((v @ planes) > 0).reshape(len(v), bands, PLANES)
+            sign = (bits * (1 << np.arange(PLANES))).sum(2) + (np.arange(bands) << PLANES)
+            there = np.flatnonzero(np.abs(v).sum(1) > 0)  # a name without a word is like no other
+            rows = batch.take(pa.array(there))
+            yield pa.RecordBatch.from_arrays([*rows.columns[:2], rows.column(2).cast(pa.list_(pa.float64())), pa.array(sign[there].tolist(), pa.list_(pa.int64()))], names=["type", "name", "v", "signs"])
+
+    def names(df: DataFrame) -> DataFrame:
+        known = df.where(F.col("type").isin(*types) & F.col("name").isNotNull()).select("type", "name").distinct()
+        vectors = model.passages(known, "name").select("type", "name", F.col("embedding").cast("array<double>").alias("embedding"))
+        return cut(vectors.mapInArrow(signed, "type string, name string, v array<double>, signs array<long>"))
+
+    a, b = names(entities), names(others)
+    left = a.select("type", "name", F.explode("signs").alias("sign"))
+    right = b.select("type", F.col("name").alias("other_name"), F.explode("signs").alias("sign"))
+    pairs = left.join(right, ["type", "sign"]).select("type", "name", "other_name").distinct()
+    both = pairs.join(a.drop("signs"), ["type", "name"]).join(b.select("type", F.col("name").alias("other_name"), F.col("v").alias("w")), ["type", "other_name"])
+    scored = both.withColumn("score", embed.cosine(F.col("v"), F.col("w"))).where(F.col("score") >= least - 1e-9).select("type", "name", "other_name", "score")
+    standing = others.where(F.col("type").isin(*types)).groupBy("type", F.col("name").alias("other_name")).agg(F.min("id").alias("other"))
+    return entities.select("id", "type", "name").join(scored, ["type", "name"]).join(standing, ["type", "other_name"]).where("id <> other").select("id", "other", "score")
+
+
 def resolutions(new: DataFrame, old: DataFrame, adjudicator=None, evidence: DataFrame | None = None, embedder=None) -> DataFrame:
     """id, canonical: new entities (id, name, type, and perhaps context) that are entities of old under another name.
 
@@ -304,10 +348,11 @@ def resolutions(new: DataFrame, old: DataFrame, adjudicator=None, evidence: Data
     one, the likeliest is taken from a cosine of MERGE_CUTOFF on. evidence: id, title, kind.
     """
     fresh = new.where(F.col("type").isin(*RESOLVABLE)).join(old.select("id"), "id", "left_anti")
-    pairs = candidates(fresh.select("id", "name", "type"), old.select("id", "name", "type"), embedder=embedder)
-    best = F.struct((-F.col("score")).alias("s"), F.col("other").alias("canonical"))
     if adjudicator is None:
-        return pairs.where(F.col("score") >= MERGE_CUTOFF).groupBy("id").agg(F.min(best).alias("b")).select("id", "b.canonical")
+        best = F.struct((-F.round("score", 9)).alias("s"), F.col("other").alias("canonical"))
+        near = near_names(fresh.select("id", "name", "type"), old.select("id", "name", "type"), embedder=embedder)
+        return near.groupBy("id").agg(F.min(best).alias("b")).select("id", "b.canonical")
+    pairs = candidates(fresh.select("id", "name", "type"), old.select("id", "name", "type"), embedder=embedder)
     said = F.concat(F.lit('"'), "title", F.lit('" ('), "kind", F.lit(")"))
     told = evidence.groupBy(F.col("id").alias("other")).agg(F.array_join(F.array_sort(F.collect_list(said)), "; ").alias("context")) if evidence is not None else old.limit(0).select(F.col("id").alias("other"), F.lit("").alias("context"))
     named = pairs.join(old.select(F.col("id").alias("other"), F.col("name").alias("other_name")), "other").join(told, "other", "left")

@@ -226,8 +226,8 @@ class Memory:
         """Writes what documents assert; of those in docs what they asserted before goes."""
         old = self.entities.read(self.entities.touched(entities))
         private = self.spark.createDataFrame([(s,) for s in self.private_sources], "source_id string")
-        # All entities are candidates for another name; only those of the buckets that are written are read again below.
-        pool = self.entities.read() if self.adjudicator is not None else old.limit(0)
+        # All entities are candidates for another name, and say who made them; only those of the buckets that are written are read again below.
+        pool = self.entities.read()
         kept, all_aliases, remapped = graph.guarded(entities.withColumn("seq", F.lit(0)), aliases, edges, pool, private, self.adjudicator, self.embedder)
         arrived = cut(kept.withColumn("seq", F.xxhash64("doc_id").bitwiseAND(F.lit(2**62 - 1))))
         there = cut(old.join(arrived.select("id").distinct(), "id", "left_semi"))
