@@ -85,8 +85,9 @@ class Engine:
         return answers.grouped_relations(graph.relations(edges, entities, docs, rel, src_type, dst_type, self.visible))
 
     def paths(self, start: str, end: str, max_hops: int = 3, most: int = 5) -> DataFrame:
+        """hops, nodes, rels, classes: materially different paths between two entities, every hop on evidence that is seen."""
         edges, _, docs = self._graph()
-        return graph.paths(scope.evidence_visible(edges, docs, self.visible), start, end, max_hops, most)
+        return graph.different_paths(scope.evidence_visible(edges, docs, self.visible), docs, start, end, max_hops, most)
 
     def resolve(self, names: DataFrame) -> DataFrame:
         """needle, id of names (needle) that are seen."""

@@ -7,6 +7,7 @@ hop, keep only the first arrival at each node, and stop at the hop limit.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import classify, text
 from . import scope
 from .lineage import cut
 
@@ -205,6 +206,45 @@ def paths(edges: DataFrame, start: str, end: str, max_hops: int = 3, most: int =
     return found.orderBy("hops", "nodes", "rels").limit(most)
 
 
+def different_paths(edges: DataFrame, docs: DataFrame, start: str, end: str, max_hops: int = 3, most: int = 3, budget: int = 20_000) -> DataFrame:
+    """hops, nodes, rels, classes: up to `most` materially different simple undirected paths, shortest first, of equals by nodes, rels and classes.
+
+    Paths are the same where their inner nodes, their relations and their classes of evidence (see
+    classify.evidence_class) are equal as sets. The search goes from both ends: nodes that the end reaches in fewer
+    hops than max_hops are found first, and only edges between them are walked. After each hop a node is
+    kept by its first `most` ways, and of all ways the `budget` that are nearest to the end, so a hub costs no more than
+    any other node. A shortest path is never cut by that: its nodes are first reached on it, and no other way is
+    nearer to the end. `start` and `end` alike: none.
+    """
+    spark = edges.sparkSession
+    shape = "hops int, nodes array<string>, rels array<string>, classes array<string>"
+    if start == end or max_hops < 1:
+        return spark.createDataFrame([], shape)
+    left = hops(edges, end, max_hops - 1).withColumnRenamed("id", "to").withColumnRenamed("hops", "left")
+    ids = left.select("to").union(spark.createDataFrame([(start,)], "to string")).distinct()
+    near = edges.select("src", "rel", "dst", "evidence_doc_id").where("src <> dst")
+    for side in ("src", "dst"):
+        near = near.join(ids.withColumnRenamed("to", side), side, "left_semi")
+    cited = docs.select(F.col("doc_id").alias("evidence_doc_id"), classify.evidence_class(F.col("title"), F.col("uri"), F.col("source_id")).alias("class"))
+    told = near.join(cited, "evidence_doc_id", "left").select("src", "rel", "dst", F.coalesce("class", F.lit("generic")).alias("class"))
+    both = cut(told.union(told.select("dst", "rel", "src", "class")).toDF("at", "rel", "to", "class").distinct())
+    way = F.struct("nodes", "rels", "classes")
+    walk, found = spark.createDataFrame([(start, [start], [], [])], "at string, nodes array<string>, rels array<string>, classes array<string>"), []
+    for n in range(1, max_hops + 1):
+        step = walk.join(both, "at").where(~F.array_contains("nodes", F.col("to"))).join(left.where(F.col("left") <= max_hops - n), "to")
+        gone = step.select(F.col("to").alias("at"), "left", F.array_append("nodes", F.col("to")).alias("nodes"), F.array_append("rels", F.col("rel")).alias("rels"), F.array_append("classes", F.col("class")).alias("classes"))
+        found.append(gone.where(F.col("at") == end).select(F.lit(n).alias("hops"), "nodes", "rels", "classes"))
+        if n < max_hops:
+            first = Window.partitionBy("at").orderBy(way)
+            kept = gone.where(F.col("at") != end).withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= most)
+            walk = cut(kept.orderBy("left", way).limit(budget).drop("left", "rn"))
+    arrived = reduce(DataFrame.union, found)
+    as_set = lambda c: F.array_sort(F.array_distinct(c))
+    signature = (F.array_sort(F.slice("nodes", 2, F.col("hops") - 1)).alias("inner"), as_set("rels").alias("related"), as_set("classes").alias("told"))
+    alone = arrived.groupBy(*signature).agg(F.min(F.struct("hops", "nodes", "rels", "classes")).alias("p"))
+    return alone.select("p.*").orderBy("hops", "nodes", "rels", "classes").limit(most)
+
+
 def same_as(entities: DataFrame, aliases: DataFrame) -> DataFrame:
     """src, dst, norm: bridges between entities of different types that share a telling name; groups of 2 to MAX_GROUP only."""
     kept = entities.where(F.col("type").isin(*BRIDGE_TYPES)).select("id", "name", "type")

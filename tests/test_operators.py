@@ -75,6 +75,22 @@ def test_scope_predicate(spark):
     assert pick(scope.Scope(visible=())) == set() and pick(scope.Scope()) == {"a", "b", "c"}
 
 
+def test_different_paths(spark):
+    docs = spark.createDataFrame([("d", "Overview", "file:///x.txt", "w"), ("m", "Jan 6, 2026", "file:///x.txt", "w")], "doc_id string, title string, uri string, source_id string")
+    edge = "src string, rel string, dst string, evidence_doc_id string"
+    e = spark.createDataFrame([("a", "r", "b", "d"), ("a", "r", "b", "m"), ("a", "s", "b", "d"), ("a", "r", "c", "d"), ("c", "r", "b", ""), ("b", "r", "b", "d"), ("c", "r", "b", "d")], edge)
+    got = [(r.hops, r.rels, r.classes) for r in graph.different_paths(e, docs, "a", "b", 3, 9).collect()]
+    assert got == [(1, ["r"], ["generic"]), (1, ["r"], ["meeting-notes"]), (1, ["s"], ["generic"]), (2, ["r", "r"], ["generic", "generic"])]
+    assert [r.hops for r in graph.different_paths(e, docs, "a", "b", 3, 1).collect()] == [1]
+    assert graph.different_paths(e, docs, "a", "a").count() == 0 and graph.different_paths(e, docs, "a", "nobody").count() == 0 and graph.different_paths(e.limit(0), docs, "a", "b").count() == 0
+    # A hub between many: each hop keeps no more than the budget, and the path is found all the same.
+    hub = spark.range(300).select(F.lit("hub").alias("src"), F.lit("r").alias("rel"), F.format_string("n%03d", "id").alias("dst"), F.lit("d").alias("evidence_doc_id"))
+    far = hub.select(F.col("dst").alias("src"), "rel", F.lit("far").alias("dst"), "evidence_doc_id")
+    wide = hub.union(far).union(spark.createDataFrame([("a", "r", "hub", "d"), ("far", "r", "z", "d"), ("hub", "r", "long", "d"), ("long", "r", "way", "d"), ("way", "r", "z", "d")], edge))
+    assert [r.nodes for r in graph.different_paths(wide, docs, "a", "z", 4, 1, budget=1).collect()] == [["a", "hub", "long", "way", "z"]]
+    assert [r.nodes[2] for r in graph.different_paths(wide, docs, "a", "z", 4, 2).collect()] == ["long", "n000"]
+
+
 def test_bridge_entities(spark):
     d = docs(spark, ("d1", "git:a"), ("d2", "confluence:b"))
     e = spark.createDataFrame([("repo:r", "defines", "service:shared", "d1"), ("team:t", "owns", "service:shared", "d2")], EDGE)
