@@ -245,11 +245,19 @@ def different_paths(edges: DataFrame, docs: DataFrame, start: str, end: str, max
     return alone.select("p.*").orderBy("hops", "nodes", "rels", "classes").limit(most)
 
 
-def same_as(entities: DataFrame, aliases: DataFrame) -> DataFrame:
-    """src, dst, norm: bridges between entities of different types that share a telling name; groups of 2 to MAX_GROUP only."""
+def names_of(entities: DataFrame, aliases: DataFrame) -> DataFrame:
+    """norm, id, type: the telling names and aliases of entities that bridges may join."""
     kept = entities.where(F.col("type").isin(*BRIDGE_TYPES)).select("id", "name", "type")
     named = kept.select("id", "type", F.col("name").alias("said")).union(kept.join(aliases.select(F.col("entity_id").alias("id"), "alias"), "id").select("id", "type", "alias"))
-    members = named.withColumn("norm", text.normalize_name(F.col("said"))).where((F.length("norm") >= MIN_NAME) & ~text.all_generic(F.col("said"))).select("norm", "id", "type").distinct()
+    return named.withColumn("norm", text.normalize_name(F.col("said"))).where((F.length("norm") >= MIN_NAME) & ~text.all_generic(F.col("said"))).select("norm", "id", "type").distinct()
+
+
+def same_as(entities: DataFrame, aliases: DataFrame) -> DataFrame:
+    """src, dst, norm: bridges between entities of different types that share a telling name; groups of 2 to MAX_GROUP only."""
+    return _bridged(names_of(entities, aliases))
+
+
+def _bridged(members: DataFrame) -> DataFrame:
     # A group is bounded by MAX_GROUP before its members meet.
     sized = members.groupBy("norm").agg(F.count("*").alias("n")).where(F.col("n").between(2, MAX_GROUP)).select("norm")
     small = members.join(sized, "norm").groupBy("norm").agg(F.array_sort(F.collect_list(F.struct("id", "type"))).alias("m"))
@@ -257,6 +265,43 @@ def same_as(entities: DataFrame, aliases: DataFrame) -> DataFrame:
     return pairs.groupBy(F.col("a.id").alias("src"), F.col("b.id").alias("dst")).agg(F.min("norm").alias("norm"))
 
 
+def refreshed_bridges(entities: DataFrame, aliases: DataFrame, former: DataFrame, spoken: DataFrame, changed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(ids, bridges) after some entities arrived, changed or went: bridges (src, dst, detail) that begin at ids are to be replaced by these; all others stand.
+
+    entities and aliases: all, as they are now; changed: id; former: id, name, type that changed ones had; spoken: their
+    aliases (alias, entity_id), those that went included. A bridge can change only where a changed entity has or had
+    the name it rests on, so only such names' entities are looked at, and of branches the families that a
+    changed repository's or branch's names reach. Equal to same_as and branch_bridges over everything.
+    """
+    now = entities.join(changed, "id", "left_semi").select("id", "name", "type")
+    was = cut(former.select("id", "name", "type").unionByName(now).distinct())
+    said = was.select("id", "type", F.col("name").alias("said")).union(was.join(spoken.select(F.col("entity_id").alias("id"), "alias"), "id").select("id", "type", "alias"))
+    norms = cut(said.select("type", text.normalize_name(F.col("said")).alias("norm")).where("norm <> ''").distinct())
+    members = names_of(entities, aliases)
+    ids = cut(changed.select("id").union(members.join(norms.select("norm"), "norm", "left_semi").select("id")).distinct())
+    theirs = members.join(ids, "id", "left_semi").select("norm").distinct()
+    bridges = _bridged(members.join(theirs, "norm", "left_semi")).join(ids.withColumnRenamed("id", "src"), "src", "left_semi").select("src", "dst", F.col("norm").alias("detail"))
+    if was.where("type in ('repo', 'branch')").isEmpty():
+        return ids, bridges
+    repo = text.normalize_name(F.expr("substring_index(substr(id, 8), '/', 1)"))
+    branches = entities.where("type = 'branch' and startswith(id, 'branch:')").withColumn("norm", repo)
+    repos = entities.where("type = 'repo'").select("id", F.col("name").alias("said"))
+    spelled = cut(repos.union(repos.join(aliases.select(F.col("entity_id").alias("id"), "alias"), "id").select("id", "alias")).select("id", text.normalize_name(F.col("said")).alias("norm")).where("norm <> ''").distinct())
+    reached = cut(norms.where("type = 'repo'").select("norm").union(was.where("type = 'branch' and startswith(id, 'branch:')").select(repo.alias("norm"))).distinct())
+    for _ in range(60):
+        grown = cut(reached.union(spelled.join(spelled.join(reached, "norm", "left_semi").select("id").distinct(), "id", "left_semi").select("norm")).distinct())
+        done = grown.join(reached, "norm", "left_anti").isEmpty()
+        reached = grown
+        if done:
+            break
+    else:
+        raise RuntimeError("the families of branches are not found after 60 rounds")
+    family = cut(branches.join(reached, "norm", "left_semi").select("id", "name", "type"))
+    owners = entities.where("type = 'repo'").join(spelled.join(reached, "norm", "left_semi").select("id").distinct(), "id", "left_semi").select("id", "name", "type")
+    linked = branch_bridges(family.unionByName(owners), aliases).select("src", "dst", F.col("branch").alias("detail"))
+    return ids.union(family.select("id")).distinct(), bridges.unionByName(linked)
+
+
 def upsert_entities(old: DataFrame, new: DataFrame) -> DataFrame:
     """Entities after arrivals (id, name, type, layer, seq, and perhaps source_id and private), in the order of seq.
 

@@ -63,10 +63,23 @@ def evidence_visible(edges: DataFrame, docs: DataFrame, visible: Sequence[str] |
 
 
 def with_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, source_id, uri, kind, value): every label that covers a document; an equi-join on the source, prefixes tested after."""
-    l = labels.select("source_id", "uri_prefix", F.col("kind").alias("label_kind"), "value")  # noqa: E741
-    d = docs.select("doc_id", "source_id", "uri")
-    return d.join(l, "source_id").where(F.startswith("uri", F.col("uri_prefix"))).select("doc_id", "source_id", "uri", "label_kind", "value").distinct()
+    """(doc_id, source_id, uri, label_kind, value): every label that covers a document.
+
+    A uri is cut at each length that a prefix of its source has, and the pieces are looked up, so the work
+    follows documents and the lengths of prefixes, not a source's documents times its labels.
+    """
+    l = labels.select("source_id", "uri_prefix", F.col("kind").alias("label_kind"), "value").where("uri_prefix is not null").distinct()  # noqa: E741
+    lengths = l.groupBy("source_id").agg(F.collect_set(F.length("uri_prefix")).alias("lengths"))  # no more than a uri has characters
+    d = docs.select("doc_id", "source_id", "uri").join(lengths, "source_id")
+    fitting = F.filter("lengths", lambda n: n <= F.length("uri"))
+    pieces = d.select("doc_id", "source_id", "uri", F.explode(F.transform(fitting, lambda n: F.substr(F.col("uri"), F.lit(1), n))).alias("uri_prefix"))
+    return pieces.join(l, ["source_id", "uri_prefix"]).select("doc_id", "source_id", "uri", "label_kind", "value").distinct()
+
+
+def aka_terms(docs: DataFrame, labels: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id, value: the other names (labels of kind aka) that cover each of the documents in ids (doc_id)."""
+    asked = docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
+    return with_labels(asked, labels.where("kind = 'aka'")).select("doc_id", "value").distinct()
 
 
 def resolve_tags(docs: DataFrame, labels: DataFrame, values: Sequence[str]) -> DataFrame:

@@ -424,6 +424,13 @@ def label_prefix_join(spark, d):
     return scope.with_labels(evidence(spark, d), labels(spark, d)).select("doc_id", "label_kind", "value")
 
 
+@query("select distinct e.doc_id, t.value from evidence e join tags t on t.source_id = e.source_id and starts_with(e.uri, t.uri_prefix) where t.kind = 'aka' and substr(e.doc_id, 7)::bigint % 2 = 0", "graph")
+def aka_terms(spark, d):
+    """Of the orders of even numbers."""
+    docs = evidence(spark, d)
+    return scope.aka_terms(docs, labels(spark, d), docs.where("cast(substr(doc_id, 7) as bigint) % 2 = 0").select("doc_id"))
+
+
 @query("select 'source' as kind, source_id as id from tags where kind = 'tag' and uri_prefix = '' and value in ('urgent', 'done') union select 'doc', doc_id from evidence e join tags t on t.source_id = e.source_id and t.uri_prefix <> '' and t.kind = 'tag' and t.value in ('urgent', 'done') and starts_with(e.uri, t.uri_prefix)", "graph")
 def resolve_scope(spark, d):
     return scope.resolve_tags(evidence(spark, d), labels(spark, d), ("urgent", "done"))

@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from datetime import UTC, datetime
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -114,6 +114,8 @@ class Memory:
     extractor: Callable | None = None
     adjudicator: Callable | None = None
     private_sources: tuple[str, ...] = ()
+    #: Called with a stage's name and its counts as soon as the stage of a running ingest is written.
+    progress: Callable[[str, dict], None] | None = None
 
     def __post_init__(self):
         self.log = Log(self.spark, self.path)
@@ -124,6 +126,15 @@ class Memory:
         self.index = fulltext.Index(self.log, "index", self.buckets)
         self.entities, self.aliases, self.state = table("entities", ENTITIES, "id"), table("aliases", ALIASES, "entity_id"), table("state", STATE, "source_id")
 
+    def _stage(self, name: str, rows: DataFrame, *counts: Column) -> DataFrame:
+        """rows, cut; what progress is told was counted while they were written."""
+        if self.progress is None:
+            return cut(rows)
+        seen = Observation()
+        out = cut(rows.observe(seen, F.count(F.lit(1)).alias("rows"), *counts))
+        self.progress(name, seen.get)
+        return out
+
     # -- ingest
 
     def ingest(self, documents: DataFrame, batch: tuple[str, int] | None = None) -> DataFrame:
@@ -143,17 +154,18 @@ class Memory:
             return self.spark.createDataFrame([], "doc_id string, action string")
         payload = F.coalesce("graph_json", F.lit("")) if "graph_json" in documents.columns else F.lit("")
         rows = prepared(documents.withColumn("graph_json", payload), keep=("graph_json",))
-        latest = cut(rows.groupBy("doc_id").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "doc_id"]), F.struct(F.coalesce("updated_at", F.lit("")), "content_hash")).alias("r")).select("doc_id", "r.*"))
+        latest = self._stage("documents", rows.groupBy("doc_id").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "doc_id"]), F.struct(F.coalesce("updated_at", F.lit("")), "content_hash")).alias("r")).select("doc_id", "r.*"))
         old = self.documents.read(self.documents.touched(latest))
         acted = catalog.ingest_actions(old, latest, EXTRACTOR_VERSION)
         waiting = self.pending.read().select("doc_id", F.lit(True).alias("waits"))
         refreshed = F.when((F.col("action") == "skipped") & F.col("waits"), "graph_refreshed").otherwise(F.col("action"))
-        actions = cut(acted.join(waiting, "doc_id", "left").select("doc_id", refreshed.alias("action")))
+        skipped = F.count_if(F.col("action") == "skipped").alias("skipped")
+        actions = self._stage("actions", acted.join(waiting, "doc_id", "left").select("doc_id", refreshed.alias("action")), skipped)
         placed = latest.join(actions, "doc_id").where("action <> 'skipped'")
         if not placed.isEmpty():
             changed = placed.where("action in ('added', 'updated')")
             updated = changed.where("action = 'updated'").select("doc_id")
-            parts = cut(self._chunked(changed))
+            parts = self._stage("chunks", self._chunked(changed), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("characters"))
             self.index.update(*(self.index_rows(x) for x in (self._chunks_of(updated), parts)))
             self.chunks.replace(updated, parts)
             self.postings.replace(updated, self._posted(parts))
@@ -210,7 +222,7 @@ class Memory:
     def _write_graph(self, docs: DataFrame, known: DataFrame) -> None:
         """Assertions of docs, of which some are known (doc_id); those that a model should read first are deferred with theirs as a payload."""
         docs = cut(docs)
-        entities, aliases, edges = (cut(x) for x in assembled(docs))
+        entities, aliases, edges = (self._stage(name, x) for name, x in zip(("entities", "aliases", "edges"), assembled(docs), strict=True))
         code = mining.looks_like_code(F.col("kind"), F.col("uri"))
         manifest = F.lit(False)
         for pattern, _ in manifests.FORMATS:
@@ -231,11 +243,29 @@ class Memory:
         kept, all_aliases, remapped = graph.guarded(entities.withColumn("seq", F.lit(0)), aliases, edges, pool, private, self.adjudicator, self.embedder)
         arrived = cut(kept.withColumn("seq", F.xxhash64("doc_id").bitwiseAND(F.lit(2**62 - 1))))
         there = cut(old.join(arrived.select("id").distinct(), "id", "left_semi"))
-        self.entities.replace(there, graph.upsert_entities(there, arrived))
+        merged = cut(graph.upsert_entities(there, arrived))
+        self.entities.replace(there, merged)
         spoken = cut(all_aliases)
         said = cut(self.aliases.read(self.aliases.touched(spoken)).join(spoken.select("entity_id").distinct(), "entity_id", "left_semi"))
         self.aliases.replace(said, graph.upsert_aliases(said, spoken))
         self.edges.replace(docs, remapped.select("doc_id", "src", "rel", "dst", F.col("doc_id").alias("evidence_doc_id"), "detail"))
+        told = catalog.without(spoken.select(F.lower(F.trim("alias")).alias("alias"), "entity_id").where("alias <> ''"), said, ["alias", "entity_id"])
+        changed = cut(merged.join(there, ["id", "name", "type"], "left_anti").select("id").union(told.select("entity_id")).distinct())
+        if not changed.isEmpty():
+            self._bridge(changed, there, self.aliases.read(self.aliases.touched(changed.withColumnRenamed("id", "entity_id"))))
+
+    def _bridge(self, changed: DataFrame, former: DataFrame, spoken: DataFrame) -> None:
+        """Bridges of names after entities (id) arrived, changed or went; see graph.refreshed_bridges. Those that a private source made take part in none, as a bridge cites no document."""
+        named = self.entities.read()
+        open_ = named.where(~F.coalesce(F.col("source_id").isin(*self.private_sources), F.lit(False))) if self.private_sources else named
+        joinable = lambda df: df.where(F.col("type").isin(*graph.BRIDGE_TYPES, "branch"))
+        mine = cut(joinable(former.select("id", "type").union(named.select("id", "type"))).join(changed, "id", "left_semi").select("id").distinct())
+        if mine.isEmpty():
+            return
+        ids, bridges = graph.refreshed_bridges(open_, self.aliases.read(), joinable(former).join(mine, "id", "left_semi"), spoken, mine)
+        keys = ids.select(F.concat(F.lit("same_as:"), "id").alias("doc_id"))
+        there = cut(self.edges.read().where("rel = 'same_as'").select("doc_id").join(keys, "doc_id", "left_semi").distinct())
+        self.edges.replace(there, cut(bridges.select(F.concat(F.lit("same_as:"), "src").alias("doc_id"), "src", F.lit("same_as").alias("rel"), "dst", F.lit("").alias("evidence_doc_id"), "detail")))
 
     def stored_texts(self, docs: DataFrame) -> DataFrame:
         """docs (doc_id, ...) with the text that was indexed: their chunks without what was put before them, in order."""
@@ -304,9 +334,14 @@ class Memory:
         self.index.update(self.index_rows(was), self.index_rows(was.limit(0)))
         for table in (self.chunks, self.postings, self.edges, self.pending, self.documents):
             table.replace(gone, self.spark.createDataFrame([], table.schema))
-        left = cut(graph.orphans(self.entities.read(), self.edges.read()).select("id"))
+        was = cut(graph.orphans(self.entities.read(), self.edges.read()).select("id", "name", "type"))
+        left = was.select("id")
+        unsaid = left.withColumnRenamed("id", "entity_id")
+        spoken = cut(self.aliases.read(self.aliases.touched(unsaid)).join(unsaid, "entity_id", "left_semi"))
         self.aliases.replace(left.withColumnRenamed("id", "entity_id"), self.spark.createDataFrame([], ALIASES))
         self.entities.replace(left, self.spark.createDataFrame([], ENTITIES))
+        if not was.isEmpty():
+            self._bridge(left, was, spoken)
 
     def backfill_postings(self) -> int:
         """Builds postings of chunks that have none (of a memory that was filled before there were any); the number of documents."""

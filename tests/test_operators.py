@@ -91,6 +91,54 @@ def test_different_paths(spark):
     assert [r.nodes[2] for r in graph.different_paths(wide, docs, "a", "z", 4, 2).collect()] == ["long", "n000"]
 
 
+def test_refreshed_bridges_equal_a_full_rebuild(spark):
+    names = "id string, name string, type string"
+    state = {"repo:a": ("Acme.Connector", "repo"), "service:a": ("acme connector", "service"), "repo:b": ("billing", "repo"), "branch:acmeconnector/main": ("m", "branch"), "branch:crane/main": ("m", "branch"), "branch:other/x/y": ("m", "branch")}
+    said = {("crane", "repo:a")}
+
+    def frames():
+        rows = [(k, *v) for k, v in state.items()]
+        return spark.createDataFrame(rows, names), spark.createDataFrame([(a, e) for a, e in said if e in state], "alias string, entity_id string")
+
+    def full():
+        e, al = frames()
+        return {(r.src, r.dst, r.norm) for r in graph.same_as(e, al).collect()} | {(r.src, r.dst, r.branch) for r in graph.branch_bridges(e, al).collect()}
+
+    held = full()
+    assert len(held) == 2
+    steps = (
+        ({"pipeline:a": ("ACME-connector", "pipeline"), "service:c": ("Crane", "service")}, set(), ()),  # arrivals
+        ({}, {("other", "repo:b"), ("crane", "repo:b")}, ()),  # aliases that make two families one
+        ({"service:a": ("Provision", "service")}, set(), ()),  # a name is no more
+        ({}, set(), ("repo:b", "pipeline:a")),  # a family falls apart
+    )
+    for arrived, spoken, gone in steps:
+        changed = set(arrived) | {e for _, e in spoken} | set(gone)
+        former = [(k, *state[k]) for k in changed if k in state]
+        said |= spoken
+        state.update(arrived)
+        for k in gone:
+            del state[k]
+        all_said = spark.createDataFrame([(a, e) for a, e in said if e in changed], "alias string, entity_id string")
+        e, al = frames()
+        ids, new = graph.refreshed_bridges(e, al, spark.createDataFrame(former, names), all_said, spark.createDataFrame([(c,) for c in changed], "id string"))
+        touched = {r.id for r in ids.collect()}
+        held = {b for b in held if b[0] not in touched} | {(r.src, r.dst, r.detail) for r in new.collect()}
+        assert held == full()
+
+
+def test_labels_are_looked_up_by_prefix(spark):
+    docs = spark.createDataFrame([(1, "s", "file:///a/b.md"), (2, "s", "file:///c"), (3, "t", "file:///a/b.md"), (4, "s", None), (5, "s", "")], "doc_id long, source_id string, uri string")
+    rows = [("s", "file:///a/", "tag", "x"), ("s", "", "aka", "all"), ("s", "file:///c", "aka", "c"), ("s", "file:///cc", "aka", "cc"), ("s", None, "aka", "never"), ("t", "file:///a_", "tag", "y"), ("s", "file:///a/", "tag", "x")]
+    labels = spark.createDataFrame(rows, "source_id string, uri_prefix string, kind string, value string")
+    assert sorted((r.doc_id, r.value) for r in scope.with_labels(docs, labels).collect()) == [(1, "all"), (1, "x"), (2, "all"), (2, "c"), (5, "all")]
+    assert sorted((r.doc_id, r.value) for r in scope.aka_terms(docs, labels, docs.where("doc_id < 3").select("doc_id")).collect()) == [(1, "all"), (2, "all"), (2, "c")]
+    assert scope.with_labels(docs, labels.limit(0)).count() == 0 and scope.with_labels(docs.limit(0), labels).count() == 0
+    many = spark.range(20_000).select(F.lit("s").alias("source_id"), F.format_string("file:///a/%05d", "id").alias("uri_prefix"), F.lit("tag").alias("kind"), F.col("id").cast("string").alias("value"))
+    crowd = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("s").alias("source_id"), F.format_string("file:///a/%05d/x", "id").alias("uri"))
+    assert scope.with_labels(crowd, many).where("cast(value as long) = doc_id").count() == 20_000  # 4e8 pairs of one source, not made
+
+
 def test_bridge_entities(spark):
     d = docs(spark, ("d1", "git:a"), ("d2", "confluence:b"))
     e = spark.createDataFrame([("repo:r", "defines", "service:shared", "d1"), ("team:t", "owns", "service:shared", "d2")], EDGE)

@@ -121,6 +121,22 @@ def edges_of(memory):
     return {(r.src, r.rel, r.dst) for r in memory.edges.read().collect()}
 
 
+def test_bridges_follow_ingests_and_deletes(spark, memory):
+    said = lambda *rows: json.dumps({"entities": rows, "aliases": [], "edges": [[r[0], "part_of", "project:x", ""] for r in rows]})
+    bridges = lambda: {(s, d) for s, r, d in edges_of(memory) if r == "same_as"}
+    memory.private_sources, told = ("notes:ana",), []
+    memory.progress = lambda stage, counts: told.append((stage, counts))
+    memory.ingest(docs_of(spark, ("wiki:w", "u1", "T", "doc", "one", "1", said(["service:conn", "Acme Connector", "service"]))))
+    assert bridges() == set()
+    counts = dict(told)
+    assert list(counts) == ["documents", "actions", "chunks", "entities", "aliases", "edges"]
+    assert counts["documents"] == {"rows": 1} and counts["actions"] == {"rows": 1, "skipped": 0} and counts["chunks"] == {"rows": 1, "characters": 3} and counts["aliases"] == {"rows": 0}
+    memory.ingest(docs_of(spark, ("git:g", "u2", "T", "doc", "two", "1", said(["repo:conn", "acme-connector", "repo"])), ("notes:ana", "u3", "T", "doc", "own", "1", said(["pipeline:conn", "acme.connector", "pipeline"]))))
+    assert bridges() == {("repo:conn", "service:conn")}
+    memory.delete(memory.documents.read().where("uri = 'u1'"))
+    assert bridges() == set() and memory.entities.read().where("id = 'service:conn'").count() == 0
+
+
 def test_ingest_replaces_what_changed(spark, memory):
     payload = json.dumps({"entities": [["service:pay", "Pay", "service"]], "aliases": [["payments", "service:pay"]], "edges": [["service:pay", "part_of", "project:x", "said"]]})
     first = docs_of(spark, ("git:shop", "a.py", "A", "code", "import os\ndef run():\n    pass\n", "1"), ("git:shop", "b.md", "B", "doc", "see PAY-7", "1", payload), ("git:shop", "b.md", "B", "doc", "older", "0"))
