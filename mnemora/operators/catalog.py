@@ -41,7 +41,7 @@ def move_documents(docs: DataFrame, moved: DataFrame) -> DataFrame:
 def entities_touched(edges: DataFrame, docs: DataFrame) -> DataFrame:
     """id: entities on an edge that one of these documents (doc_id) evidences."""
     mine = edges.join(docs.select(F.col("doc_id").alias("evidence_doc_id")).distinct(), "evidence_doc_id", "left_semi")
-    return mine.select("src").union(mine.select("dst")).toDF("id").distinct()
+    return mine.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
 
 
 def ordered_chunks(chunks: DataFrame) -> DataFrame:

@@ -34,6 +34,16 @@ def edge_view(edges: DataFrame, entities: DataFrame, docs: DataFrame, visible: S
     return out.where((F.col("evidence_doc_id") == "") | F.coalesce(scope.allowed(F.col("evidence_source_id"), visible), F.lit(False)))
 
 
+def signed(edges: DataFrame, entities: DataFrame, as_type=F.col) -> DataFrame:
+    """Edges with their ends' types, where the vocabulary allows these; as_type maps a column of types to the vocabulary's.
+
+    Relations and types that no signature names go before anything is joined.
+    """
+    typed = lambda end, side: entities.select(F.col("id").alias(end), F.col("type").alias(f"{end}_type")).where(as_type(f"{end}_type").isin(*{t for s in classify.SIGNATURES.values() for t in s[side]}))
+    known = edges.where(F.col("rel").isin(*classify.SIGNATURES))
+    return known.join(typed("src", 0), "src").join(typed("dst", 1), "dst").where(classify.signature_allows(as_type("src_type"), F.col("rel"), as_type("dst_type")))
+
+
 def neighbors(edges: DataFrame, entities: DataFrame, docs: DataFrame, entity: str, visible=None) -> DataFrame:
     return edge_view(edges.where((F.col("src") == entity) | (F.col("dst") == entity)), entities, docs, visible)
 
@@ -79,7 +89,9 @@ def totals(edges: DataFrame, entities: DataFrame, docs: DataFrame, visible=None)
     if visible is None:
         return edges.agg(F.count("*").alias("edges")).crossJoin(entities.agg(F.count("*").alias("entities")))  # one row each
     seen = scope.evidence_visible(edges, docs, visible)
-    return seen.agg(F.count("*").alias("edges")).crossJoin(ends(seen).select("id").distinct().agg(F.count("*").alias("entities")))
+    # Every edge is two ends, so one pass counts both.
+    per_entity = ends(seen).groupBy("id").agg(F.count("*").alias("n"))
+    return per_entity.agg(F.expr("coalesce(sum(n), 0) div 2").alias("edges"), F.count("*").alias("entities"))
 
 
 def resolve(entities: DataFrame, aliases: DataFrame, names: DataFrame) -> DataFrame:
@@ -153,9 +165,11 @@ def snapshot_totals(shown: DataFrame, edges: DataFrame, entities: DataFrame, doc
 
 def evidence_titles(edges: DataFrame, docs: DataFrame, ids: DataFrame, most: int = 3, visible=None) -> DataFrame:
     """id, title, kind: the first `most` distinct documents behind the edges of each entity (column id), by title."""
-    wanted = ends(scope.evidence_visible(edges, docs, visible).where("evidence_doc_id <> ''")).join(ids.select("id").distinct(), "id", "left_semi")
-    told = wanted.distinct().join(docs.select(F.col("doc_id").alias("evidence_doc_id"), "title", "kind"), "evidence_doc_id").select("id", "title", "kind").distinct()
-    return told.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("title", "kind"))).where(F.col("n") <= most).drop("n")
+    seen = docs if visible is None else docs.where(scope.allowed(F.col("source_id"), visible))
+    told = edges.where("evidence_doc_id <> ''").join(seen.select(F.col("doc_id").alias("evidence_doc_id"), "title", "kind"), "evidence_doc_id")
+    each = told.select(F.explode(F.array("src", "dst")).alias("id"), "title", "kind")
+    first = each.distinct().withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("title", "kind"))).where(F.col("n") <= most).drop("n")
+    return first.join(ids.select("id").distinct(), "id", "left_semi")
 
 
 def expand(edges: DataFrame, docs: DataFrame, seeds: DataFrame, limit: int | None = None, visible=None) -> DataFrame:
@@ -175,31 +189,41 @@ def expand(edges: DataFrame, docs: DataFrame, seeds: DataFrame, limit: int | Non
 
 def hops(edges: DataFrame, start: str, max_hops: int = 3) -> DataFrame:
     """id, hops: the fewest undirected edges from `start` to every entity within the limit."""
-    both = cut(edges.select("src", "dst").union(edges.select("dst", "src")).toDF("id", "to").distinct())
+    one = cut(edges.select("src", "dst").distinct())
+    both = one.toDF("id", "to").union(one.select("dst", "src"))
     seen = edges.sparkSession.createDataFrame([(start, 0)], "id string, hops int")
     frontier = seen
     for n in range(1, max_hops + 1):
-        step = frontier.join(both, "id").select(F.col("to").alias("id")).distinct().join(seen, "id", "left_anti")
+        step = both.join(_few(frontier.select("id")), "id").select(F.col("to").alias("id")).distinct().join(seen, "id", "left_anti")
         frontier = step.withColumn("hops", F.lit(n))
         frontier = cut(frontier)
         seen = seen.union(frontier)
     return seen
 
 
+#: Rows of a frontier that are broadcast, so that the edges need not be moved for it.
+FRONTIER = 100_000
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    """rows, to be broadcast where they are few; they are stored, or cheap."""
+    return F.broadcast(rows) if rows.limit(FRONTIER + 1).count() <= FRONTIER else rows
+
+
 def paths(edges: DataFrame, start: str, end: str, max_hops: int = 3, most: int = 5) -> DataFrame:
     """hops, nodes, rels: up to `most` simple undirected paths with different relations or nodes, shortest first.
 
     Only nodes that can still reach the end in the hops left are followed.
     """
-    one = edges.groupBy("src", "rel", "dst").agg(F.min("evidence_doc_id").alias("evidence_doc_id"))
-    both = cut(one.select("src", "rel", "dst").union(one.select("dst", "rel", "src")).toDF("at", "rel", "to").distinct())
-    left = hops(edges, end, max_hops).withColumnRenamed("id", "to").withColumnRenamed("hops", "left")
+    one = cut(edges.select("src", "rel", "dst").distinct())
+    both = one.toDF("at", "rel", "to").union(one.select("dst", "rel", "src"))
+    left = hops(one, end, max_hops).withColumnRenamed("id", "to").withColumnRenamed("hops", "left")
     spark = edges.sparkSession
     walk = spark.createDataFrame([(start, [start], [])], "at string, nodes array<string>, rels array<string>")
     found = None
     for n in range(1, max_hops + 1):
-        step = walk.join(both, "at").where(~F.array_contains("nodes", F.col("to"))).join(left.where(F.col("left") <= max_hops - n), "to")
-        walk = step.select(F.col("to").alias("at"), F.array_append("nodes", F.col("to")).alias("nodes"), F.array_append("rels", F.col("rel")).alias("rels"))
+        step = both.join(_few(walk), "at").where(~F.array_contains("nodes", F.col("to"))).join(left.where(F.col("left") <= max_hops - n), "to")
+        walk = cut(step.select(F.col("to").alias("at"), F.array_append("nodes", F.col("to")).alias("nodes"), F.array_append("rels", F.col("rel")).alias("rels")).distinct())
         arrived = walk.where(F.col("at") == end).select(F.lit(n).alias("hops"), "nodes", "rels")
         found = arrived if found is None else found.union(arrived)
         walk = walk.where(F.col("at") != end)
@@ -223,6 +247,7 @@ def different_paths(edges: DataFrame, docs: DataFrame, start: str, end: str, max
     left = hops(edges, end, max_hops - 1).withColumnRenamed("id", "to").withColumnRenamed("hops", "left")
     ids = left.select("to").union(spark.createDataFrame([(start,)], "to string")).distinct()
     near = edges.select("src", "rel", "dst", "evidence_doc_id").where("src <> dst")
+    ids = _few(cut(ids))
     for side in ("src", "dst"):
         near = near.join(ids.withColumnRenamed("to", side), side, "left_semi")
     cited = docs.select(F.col("doc_id").alias("evidence_doc_id"), classify.evidence_class(F.col("title"), F.col("uri"), F.col("source_id")).alias("class"))
@@ -231,7 +256,7 @@ def different_paths(edges: DataFrame, docs: DataFrame, start: str, end: str, max
     way = F.struct("nodes", "rels", "classes")
     walk, found = spark.createDataFrame([(start, [start], [], [])], "at string, nodes array<string>, rels array<string>, classes array<string>"), []
     for n in range(1, max_hops + 1):
-        step = walk.join(both, "at").where(~F.array_contains("nodes", F.col("to"))).join(left.where(F.col("left") <= max_hops - n), "to")
+        step = both.join(_few(walk), "at").where(~F.array_contains("nodes", F.col("to"))).join(left.where(F.col("left") <= max_hops - n), "to")
         gone = step.select(F.col("to").alias("at"), "left", F.array_append("nodes", F.col("to")).alias("nodes"), F.array_append("rels", F.col("rel")).alias("rels"), F.array_append("classes", F.col("class")).alias("classes"))
         found.append(gone.where(F.col("at") == end).select(F.lit(n).alias("hops"), "nodes", "rels", "classes"))
         if n < max_hops:

@@ -43,15 +43,16 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
         return df.select(src.alias("src"), F.lit(rel).alias("rel"), dst.alias("dst"), doc.alias("evidence_doc_id"))
 
     none = F.lit("")
-    lines = table(spark, d, "lineitem")
+    # Equal rows go by their numbers, before these are spelled out as names.
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey").distinct()
     orders = table(spark, d, "orders").select("o_orderkey", "o_custkey")
-    bought = lines.select("l_orderkey", "l_partkey").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    bought = table(spark, d, "lineitem").select("l_orderkey", "l_partkey").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_partkey", "o_custkey").distinct()
     order = _id("order", "l_orderkey")
     out = rows(table(spark, d, "nation"), _id("nation", "n_nationkey"), "part_of", _id("region", "n_regionkey"), none)
     out = out.union(rows(table(spark, d, "customer"), _id("customer", "c_custkey"), "belongs_to", _id("nation", "c_nationkey"), none))
     out = out.union(rows(table(spark, d, "supplier"), _id("supplier", "s_suppkey"), "belongs_to", _id("nation", "s_nationkey"), none))
-    out = out.union(rows(lines, _id("supplier", "l_suppkey"), "provides", _id("part", "l_partkey"), order).distinct())
-    return out.union(rows(bought, _id("customer", "o_custkey"), "depends_on", _id("part", "l_partkey"), order).distinct())
+    out = out.union(rows(lines, _id("supplier", "l_suppkey"), "provides", _id("part", "l_partkey"), order))
+    return out.union(rows(bought, _id("customer", "o_custkey"), "depends_on", _id("part", "l_partkey"), order))
 
 
 def aliases(spark: SparkSession, d: str) -> DataFrame:

@@ -262,9 +262,8 @@ def past_questions(spark, d):
 @query(f"select src, rel, dst, src_type, dst_type from (select e.*, s.type as src_type, t.type as dst_type from edges e join entities s on s.id = e.src join entities t on t.id = e.dst) where rel = 'part_of'", "graph")
 def signature_filter(spark, d):
     """Relations of entities whose types the vocabulary allows: nations and regions stand for projects."""
-    e = graph.edge_view(model.edges(spark, d), model.entities(spark, d), model.evidence(spark, d))
     as_type = lambda c: F.when(F.col(c).isin("nation", "region"), "project").otherwise(F.col(c))
-    return e.where(classify.signature_allows(as_type("src_type"), F.col("rel"), as_type("dst_type"))).select("src", "rel", "dst", "src_type", "dst_type")
+    return graph.signed(model.edges(spark, d), model.entities(spark, d), as_type).select("src", "rel", "dst", "src_type", "dst_type")
 
 
 @query("select dst, array_to_string(list_sort(list(distinct name)), ',') as names from edges join entities on id = src where rel = 'part_of' group by 1", "graph")

@@ -3,7 +3,9 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from mnemora.operators import retrieval
+from mnemora.functions import classify
+from mnemora.operators import catalog, graph, retrieval
+from mnemora.plans import model
 
 
 def _logical(df) -> str:
@@ -23,3 +25,55 @@ def test_sparse_search_makes_no_row_for_a_query_and_a_document(spark):
         found = retrieval.bm25_topk(docs, asked, 6, **options)
         assert "Aggregate [qid" not in _logical(found)
         assert {(r.qid, r["rank"]): (r.id, r.score) for r in found.collect()} == expected
+
+
+def _edges(spark):
+    rows = [(f"s{n % 9}", ("provides", "part_of")[n % 2], f"p{n % 17}", f"d{n}") for n in range(60)] + [("s1", "part_of", "p3", "")]
+    docs = spark.createDataFrame([(f"d{n}", f"src{n % 3}", f"t{n % 5}", "doc", "u") for n in range(60)], "doc_id string, source_id string, title string, kind string, uri string")
+    return spark.createDataFrame(rows, "src string, rel string, dst string, evidence_doc_id string"), docs
+
+
+def test_edges_are_read_once_for_both_ends(spark):
+    edges, docs = _edges(spark)
+    read = lambda df: _logical(df).count("LogicalRDD [src")
+    both = graph.totals(edges, None, docs, ("src1",))
+    seen = [r for r in edges.collect() if not r.evidence_doc_id or int(r.evidence_doc_id[1:]) % 3 == 1]
+    assert read(both) == 2  # with evidence, and without
+    assert tuple(both.first()) == (len(seen), len({r.src for r in seen} | {r.dst for r in seen}))
+    assert tuple(graph.totals(edges.limit(0), None, docs, ("src1",)).first()) == (0, 0)
+    touched = catalog.entities_touched(edges, docs.where("source_id = 'src2'"))
+    assert read(touched) == 1 and {r.id for r in touched.collect()} == {x for r in edges.where("evidence_doc_id like 'd%' and cast(substr(evidence_doc_id, 2) as int) % 3 = 2").collect() for x in (r.src, r.dst)}
+
+
+def test_titles_meet_edges_before_these_are_taken_apart(spark):
+    edges, docs = _edges(spark)
+    ids = spark.createDataFrame([("s1",), ("p3",), ("gone",)], "id string")
+    found = graph.evidence_titles(edges, docs, ids, 2, ("src0", "src1"))
+    assert _logical(found).count("Aggregate [") == 2
+    own = {i: sorted({f"t{int(r.evidence_doc_id[1:]) % 5}" for r in edges.collect() if i in (r.src, r.dst) and r.evidence_doc_id and int(r.evidence_doc_id[1:]) % 3 < 2})[:2] for i in ("s1", "p3")}
+    assert sorted((r.id, r.title) for r in found.collect()) == sorted((i, t) for i, ts in own.items() for t in ts)
+
+
+def test_signatures_need_no_documents(spark):
+    edges, _ = _edges(spark)
+    entities = spark.createDataFrame([(f"s{n}", "nation") for n in range(9)] + [(f"p{n}", "region" if n % 2 else "part") for n in range(17)], "id string, type string")
+    as_type = lambda c: F.when(F.col(c).isin("nation", "region"), "project").otherwise(F.col(c))
+    found = graph.signed(edges, entities, as_type)
+    docs = spark.createDataFrame([], "doc_id string, title string, uri string, kind string, source_id string")
+    named = graph.edge_view(edges, entities.withColumn("name", F.col("id")), docs)
+    expected = named.where(classify.signature_allows(as_type("src_type"), F.col("rel"), as_type("dst_type"))).select("src", "rel", "dst", "src_type", "dst_type")
+    assert expected.count() and sorted(map(tuple, found.select(*expected.columns).collect())) == sorted(map(tuple, expected.collect()))
+
+
+def test_path_searches_store_an_edge_once(spark, monkeypatch):
+    edges, docs = _edges(spark)
+    stored, n = [], edges.select("src", "rel", "dst").distinct().count()
+    real = graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: (stored.append(df.count()), real(df))[1])
+    found = graph.paths(edges, "s1", "p3", 1).collect()
+    assert [(r.nodes, r.rels) for r in found] == [(["s1", "p3"], [rel]) for rel in sorted({r.rel for r in edges.where("src = 's1' and dst = 'p3'").collect()})]
+    assert max(stored) <= n
+
+
+def test_equal_lines_go_before_names_are_made(spark):
+    assert "Aggregate [src" not in _logical(model.edges(spark, "/root/testdata/sf0.001"))
