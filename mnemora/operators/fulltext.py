@@ -48,8 +48,11 @@ class Index:
         return self.log.spark.createDataFrame([], f"{schema}, seq long, part string, bucket int") if rows is None else rows
 
     def postings(self, rows: DataFrame) -> DataFrame:
-        """id, source_id, dl, term, tf of rows, and one with the term '' for each row."""
-        words = retrieval.search_words(rows, self.stemming, ("source_id",))
+        """id, source_id, dl, term, tf of rows, and one with the term '' for each row.
+
+        Rows are dealt out by id as texts, so that their terms are counted where they are and no posting is moved for that.
+        """
+        words = retrieval.search_words(rows.repartition("id"), self.stemming, ("source_id",))
         said = F.concat(F.array(F.struct(F.lit("").alias("term"), F.lit(0.0).alias("w"))), F.transform("words", lambda x: F.struct(x.alias("term"), F.lit(1.0).alias("w"))), F.transform("title_words", lambda x: F.struct(x.alias("term"), F.lit(self.title_weight).alias("w"))))
         each = words.select("id", F.coalesce("source_id", F.lit("")).alias("source_id"), (F.size("words") + F.size("title_words")).alias("dl"), F.explode(said).alias("t"))
         return each.groupBy("id", "source_id", "dl", F.col("t.term").alias("term")).agg(F.sum("t.w").alias("tf"))

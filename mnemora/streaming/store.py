@@ -213,7 +213,8 @@ class Memory:
         return cut(self.chunks.read(self.chunks.touched(docs)).join(docs.select("doc_id").distinct(), "doc_id", "left_semi"))
 
     def _posted(self, parts: DataFrame) -> DataFrame:
-        words = parts.select("doc_id", "chunk_index", "source_id", text.tokens(F.col("text")).alias("words"))
+        # Chunks are dealt out as texts: their terms are counted where they are.
+        words = parts.select("doc_id", "chunk_index", "source_id", "text").repartition("doc_id", "chunk_index").select("doc_id", "chunk_index", "source_id", text.tokens(F.col("text")).alias("words"))
         each = words.select("doc_id", "chunk_index", "source_id", F.size("words").alias("dl"), F.explode("words").alias("term"))
         return each.groupBy("doc_id", "chunk_index", "source_id", "term", "dl").agg(F.count("*").alias("tf"))
 

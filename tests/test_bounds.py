@@ -4,8 +4,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from mnemora.functions import classify
-from mnemora.operators import catalog, graph, retrieval
+from mnemora.operators import catalog, fulltext, graph, retrieval
 from mnemora.plans import model
+from mnemora.streaming.log import Log
+from mnemora.streaming.store import Memory
 
 
 def _logical(df) -> str:
@@ -77,3 +79,17 @@ def test_path_searches_store_an_edge_once(spark, monkeypatch):
 
 def test_equal_lines_go_before_names_are_made(spark):
     assert "Aggregate [src" not in _logical(model.edges(spark, "/root/testdata/sf0.001"))
+
+
+def test_postings_are_counted_where_their_texts_are(spark, tmp_path):
+    """One exchange, of texts; equal to a plain count."""
+    rows = spark.createDataFrame([(n, f"s{n % 2}", "a title", "a b a c" if n % 3 else "b b") for n in range(20)], "id long, source_id string, title string, text string")
+    post = fulltext.Index(Log(spark, str(tmp_path)), stemming=False).postings(rows)
+    plan = post._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "term" not in plan[plan.index("Exchange hashpartitioning") :].split("\n")[0]
+    got = {(r.id, r.term): (r.tf, r.dl) for r in post.collect()}
+    assert got[(1, "a")] == (4.0, 6) and got[(3, "b")] == (2.0, 4) and got[(3, "")] == (0.0, 4) and len(got) == 13 * 5 + 7 * 4
+    parts = rows.select(F.col("id").cast("string").alias("doc_id"), F.col("id").cast("int").alias("chunk_index"), "source_id", "text")
+    posted = Memory._posted(None, parts)
+    assert posted._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert {(r.doc_id, r.term, r.tf, r.dl) for r in posted.where("doc_id in ('1', '3')").collect()} == {("1", "a", 2, 4), ("1", "b", 1, 4), ("1", "c", 1, 4), ("3", "b", 2, 2)}
