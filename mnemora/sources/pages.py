@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import html as entities
+from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import parse_qsl, quote, urldefrag, urlencode, urljoin, urlsplit, urlunsplit
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -132,32 +136,59 @@ def read_page(html: str | None) -> tuple[str, str, list[str]]:
 _PAGE = T.StructType([T.StructField("title", T.StringType()), T.StructField("text", T.StringType()), T.StructField("links", T.ArrayType(T.StringType()))])
 
 
+#: Bytes of pages that are read before their rows go on; a longer page is alone.
+READ_AT_ONCE = 4_000_000
+
+
+def _links(url: str | None, hrefs: list[str]) -> list[str]:
+    links = {}
+    for x in hrefs:
+        try:
+            full = urljoin(url or "", entities.unescape(x))
+            if full.startswith(("http://", "https://")):
+                links[canonical(full)] = None
+        except ValueError:
+            continue
+    return list(links)
+
+
 @F.pandas_udf(_PAGE)
 def parsed(url: pd.Series, html: pd.Series) -> pd.DataFrame:
     rows = []
     for u, h in zip(url, html, strict=True):
         said, title, hrefs = read_page(h)
-        links = {}
-        for x in hrefs:
-            try:
-                full = urljoin(u or "", entities.unescape(x))
-                if full.startswith(("http://", "https://")):
-                    links[canonical(full)] = None
-            except ValueError:
-                continue
-        rows.append((title or u, said, list(links)))
+        rows.append((title or u, said, _links(u, hrefs)))
     return pd.DataFrame(rows, columns=["title", "text", "links"])
 
 
+def _read(pages: DataFrame, links: bool) -> DataFrame:
+    """page_id, uri, and either the links or title and text; each page is read once, and few are in memory at a time."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = pc.binary_length(batch.column(3)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            _, begins, counts = np.unique((np.cumsum(size) - size) // READ_AT_ONCE, return_index=True, return_counts=True)
+            for part in (batch.slice(at, n) for at, n in zip(begins, counts, strict=True)):
+                each = [(u.as_py(), read_page(h.as_py())) for u, h in zip(part.column(2), part.column(3), strict=True)]
+                if links:
+                    out = {"links": pa.array([_links(u, hrefs) for u, (_, _, hrefs) in each], pa.list_(pa.string()))}
+                else:
+                    out = {"title": pa.array([title or u for u, (_, title, _) in each], pa.string()), "text": pa.array([said for _, (said, _, _) in each], pa.string())}
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *out.values()], names=["page_id", "uri", *out])
+
+    given = pages.select("page_id", canonical_url(F.col("url")).alias("uri"), "url", "html")
+    made = "links array<string>" if links else "title string, text string"
+    return given.mapInArrow(rows, f"page_id {pages.schema['page_id'].dataType.simpleString()}, uri string, {made}")
+
+
 def documents(pages: DataFrame) -> DataFrame:
     """page_id, uri, title, text of pages with enough text."""
-    out = pages.select("page_id", canonical_url(F.col("url")).alias("uri"), parsed("url", "html").alias("p"))
-    return out.select("page_id", "uri", "p.title", "p.text").where(F.length("text") >= MIN_TEXT)
+    return _read(pages, links=False).where(F.length("text") >= MIN_TEXT)
 
 
 def links(pages: DataFrame, hosts: list[str] | None = None, prefixes: list[str] | None = None) -> DataFrame:
     """page_id, link: distinct targets of each page within the allowed hosts and prefixes."""
-    out = pages.select("page_id", F.explode(parsed("url", "html")["links"]).alias("link"))
+    out = _read(pages, links=True).select("page_id", F.explode("links").alias("link"))
     if hosts is not None:
         out = out.where(F.regexp_extract("link", "^[a-z]+://([^/?]*)", 1).isin(*hosts))
     if prefixes is not None:

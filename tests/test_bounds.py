@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from mnemora.functions import classify
 from mnemora.operators import catalog, fulltext, graph, retrieval
 from mnemora.plans import model
+from mnemora.sources import pages
 from mnemora.streaming.log import Log
 from mnemora.streaming.store import Memory
 
@@ -93,3 +94,16 @@ def test_postings_are_counted_where_their_texts_are(spark, tmp_path):
     posted = Memory._posted(None, parts)
     assert posted._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     assert {(r.doc_id, r.term, r.tf, r.dl) for r in posted.where("doc_id in ('1', '3')").collect()} == {("1", "a", 2, 4), ("1", "b", 1, 4), ("1", "c", 1, 4), ("3", "b", 2, 2)}
+
+
+def test_a_page_is_read_once_and_few_at_a_time(spark, monkeypatch):
+    rows = [(n, f"http://h/{n}", f"<title>t{n}</title><p>{'word ' * 40}</p><a href='/x{n % 3}'>x</a>" if n % 4 else "<p>short</p>") for n in range(40)] + [(40, "http://h/40", None), (41, None, "word " * 30)]
+    given = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    for most in (100, 4_000_000):
+        monkeypatch.setattr(pages, "READ_AT_ONCE", most)
+        found = pages.documents(given)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan
+        plain = {r.page_id: r for r in given.select("page_id", pages.parsed("url", "html").alias("p")).collect()}
+        assert sorted((r.page_id, r.title, r.text) for r in found.collect()) == sorted((i, r.p.title, r.p.text) for i, r in plain.items() if len(r.p.text) >= pages.MIN_TEXT)
+        assert sorted(map(tuple, pages.links(given).collect())) == sorted((i, x) for i, r in plain.items() for x in r.p.links)
