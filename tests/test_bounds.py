@@ -173,3 +173,17 @@ def test_lists_are_searched_without_a_row_for_a_candidate(spark):
             got.setdefault(x.qid, []).append((-round(x.score, 9), x.id))
         assert len(got) == 56 and got == {q: sorted(c)[:5] for q, c in of.items()}
     assert ann.topk(corpus, asked, 5, 8, 3, exact_below=1).count() == 56 * 5
+
+
+def test_sources_of_an_edge_are_counted_in_one_step(spark, monkeypatch):
+    edges, docs = _edges(spark)
+    edges = edges.union(edges.limit(9)).union(spark.createDataFrame([("s1", "provides", "p3", "missing"), ("s2", "provides", "p3", "none")], edges.schema))
+    docs = docs.union(spark.createDataFrame([("none", None, "t", "doc", "u"), ("d4", "zzz", "t", "doc", "u")], docs.schema))  # a document of two rows
+    for visible in (None, ("src1",), ("src0", "zzz")):
+        monkeypatch.setattr(graph, "SOURCES", 60)
+        found = graph.corroboration(edges, docs, visible)
+        assert _logical(found).count("Aggregate [src") == 1
+        monkeypatch.setattr(graph, "SOURCES", 0)
+        plain = graph.corroboration(edges, docs, visible)
+        assert found.schema.simpleString() == plain.schema.simpleString()
+        assert found.count() and sorted(map(tuple, found.collect())) == sorted(map(tuple, plain.collect()))
