@@ -186,9 +186,11 @@ def evidence_titles(edges: DataFrame, docs: DataFrame, ids: DataFrame, most: int
     """id, title, kind: the first `most` distinct documents behind the edges of each entity (column id), by title."""
     seen = docs if visible is None else docs.where(scope.allowed(F.col("source_id"), visible))
     told = edges.where("evidence_doc_id <> ''").join(seen.select(F.col("doc_id").alias("evidence_doc_id"), "title", "kind"), "evidence_doc_id")
-    each = told.select(F.explode(F.array("src", "dst")).alias("id"), "title", "kind")
-    first = each.distinct().withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("title", "kind"))).where(F.col("n") <= most).drop("n")
-    return first.join(ids.select("id").distinct(), "id", "left_semi")
+    # An entity once for each document, where edges and documents meet; then what a task cannot rule out, by a hash beside the id, as ids begin alike.
+    each = told.select("evidence_doc_id", F.explode(F.array("src", "dst")).alias("id"), "title", "kind").distinct().select(F.xxhash64("id").alias("h"), "id", "title", "kind")
+    n = F.dense_rank().over(Window.partitionBy("h", "id").orderBy("title", "kind"))
+    first = each.withColumn("n", n).where(F.col("n") <= most).select("h", "id", "title", "kind").distinct().drop("h")
+    return first.join(ids.select("id"), "id", "left_semi")
 
 
 def expand(edges: DataFrame, docs: DataFrame, seeds: DataFrame, limit: int | None = None, visible=None) -> DataFrame:

@@ -187,3 +187,11 @@ def test_sources_of_an_edge_are_counted_in_one_step(spark, monkeypatch):
         plain = graph.corroboration(edges, docs, visible)
         assert found.schema.simpleString() == plain.schema.simpleString()
         assert found.count() and sorted(map(tuple, found.collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_equal_titles_of_several_documents_count_once(spark):
+    edges = spark.createDataFrame([("a", "r", "b", f"d{n}") for n in range(12)] * 2, "src string, rel string, dst string, evidence_doc_id string")
+    docs = spark.createDataFrame([(f"d{n}", f"t{n // 4}", "doc", "s") for n in range(12)], "doc_id string, title string, kind string, source_id string")
+    found = graph.evidence_titles(edges, docs, spark.createDataFrame([("a",), ("a",)], "id string"), 2)
+    assert "DENSE_RANK" in found._jdf.queryExecution().optimizedPlan().toString().upper()
+    assert sorted(map(tuple, found.collect())) == [("a", "t0", "doc"), ("a", "t1", "doc")]
