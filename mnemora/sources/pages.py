@@ -21,7 +21,8 @@ from ..operators.lineage import cut
 TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "gclid", "fbclid", "mc_cid", "mc_eid")
 DROPPED = ("script", "style", "nav", "footer", "header", "noscript")
 MIN_TEXT = 80
-MAX_ROWS, MAX_CELL = 500, 300
+#: Blank cells that a table's short rows may be filled up with.
+FILL = 1_000_000
 BLOCKS = ("p", "div", "br", "li", "ul", "ol", "tr", "table", "h1", "h2", "h3", "h4", "h5", "h6", "article", "section", "main", "blockquote", "pre", "td", "th", "title", "body", "html", "a", "b", "span")
 
 
@@ -77,14 +78,14 @@ class _Reader(HTMLParser):
         elif tag == "table" and not self.hidden:
             if self.tables:
                 self.tables[-1]["leaf"] = False
-            self.tables.append({"leaf": True, "rows": [], "at": len(self.parts)})
+            self.tables.append({"leaf": True, "rows": [], "loose": [], "at": len(self.parts)})
         elif tag == "tr" and self.tables:
             self.tables[-1]["rows"].append([])
         elif tag in ("td", "th") and self.tables:
             if not self.tables[-1]["rows"]:
                 self.tables[-1]["rows"].append([])
             span = dict(attrs).get("colspan") or "1"
-            self.tables[-1]["rows"][-1].append([tag, int(span) if span.isdigit() else 1, ""])
+            self.tables[-1]["rows"][-1].append([tag, int(span) if span.isdigit() else 1, []])
         if tag in BLOCKS:
             self.parts.append("\n")
 
@@ -99,7 +100,7 @@ class _Reader(HTMLParser):
             done = self.tables.pop()
             if done["leaf"]:
                 del self.parts[done["at"] :]
-                self.parts.append("\n" + pipe_table(done["rows"]) + "\n")
+                self.parts.append("\n" + " ".join("".join(done["loose"]).split()) + "\n" + pipe_table(done["rows"]) + "\n")
         if tag in BLOCKS:
             self.parts.append("\n")
 
@@ -110,17 +111,23 @@ class _Reader(HTMLParser):
             if self.in_h1:
                 self.h1 += data
             if self.tables and self.tables[-1]["rows"] and self.tables[-1]["rows"][-1]:
-                self.tables[-1]["rows"][-1][-1][2] += data
+                self.tables[-1]["rows"][-1][-1][2].append(data)
+            elif self.tables:  # a caption, or what stands between rows
+                self.tables[-1]["loose"].append(data)
             self.parts.append(data)
 
 
 def pipe_table(rows: list[list[list]]) -> str:
-    """Markdown rows; a table of one column is plain lines; blank cells keep their places."""
-    grid = [[c for tag, span, said in row for c in [" ".join(said.split())[:MAX_CELL].replace("|", "\\|")] + [""] * (min(span, 100) - 1)] for row in rows if row][:MAX_ROWS]
+    """Markdown rows with the whole text of every cell; a table of one column is plain lines; blank cells keep their places.
+
+    Short rows are filled up to the widest, unless that took more than FILL blank cells: a reader takes missing ones at a row's end as blank.
+    """
+    grid = [[c for tag, span, said in row for c in [" ".join("".join(said).split()).replace("|", "\\|")] + [""] * (min(span, 100) - 1)] for row in rows if row]
     if not grid or max(map(len, grid)) < 2:
         return "\n".join(c for row in grid for c in row if c)
     wide = max(map(len, grid))
-    lines = ["| " + " | ".join(r + [""] * (wide - len(r))) + " |" for r in grid]
+    full = len(grid) * wide - sum(map(len, grid)) <= FILL
+    lines = ["| " + " | ".join(r + [""] * (wide - len(r) if full or not n else 0)) + " |" for n, r in enumerate(grid)]
     return "\n".join([lines[0], "|" + " --- |" * wide, *lines[1:]])
 
 

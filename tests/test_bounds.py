@@ -195,3 +195,15 @@ def test_equal_titles_of_several_documents_count_once(spark):
     found = graph.evidence_titles(edges, docs, spark.createDataFrame([("a",), ("a",)], "id string"), 2)
     assert "DENSE_RANK" in found._jdf.queryExecution().optimizedPlan().toString().upper()
     assert sorted(map(tuple, found.collect())) == [("a", "t0", "doc"), ("a", "t1", "doc")]
+
+
+def test_a_page_keeps_the_whole_text_of_its_tables(monkeypatch):
+    long = " ".join(f"w{n}" for n in range(400))
+    rows = "".join(f"<tr><td>r{n}</td><td>{long if n == 640 else 'x|y'}</td></tr>" for n in range(700))
+    said, _, _ = pages.read_page(f"<table><caption>Of all\nhosts</caption><tr><th>A</th><th>B</th></tr>{rows}</table>")
+    assert f"| r640 | {long} |" in said and "| r699 | x\\|y |" in said
+    assert said.split("\n")[0] == "Of all hosts" and len(said.split("\n")) == 703
+    ragged = [[["td", 1, [f"c{k}"]] for k in range(n)] for n in (1, 3, 2)]
+    assert pages.pipe_table(ragged) == "| c0 |  |  |\n| --- | --- | --- |\n| c0 | c1 | c2 |\n| c0 | c1 |  |"
+    monkeypatch.setattr(pages, "FILL", 2)  # wide and long tables are not filled up, but for their heads
+    assert pages.pipe_table(ragged) == "| c0 |  |  |\n| --- | --- | --- |\n| c0 | c1 | c2 |\n| c0 | c1 |"
