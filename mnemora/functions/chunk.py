@@ -23,11 +23,15 @@ _HEADING = re.compile(r"^#{1,4} ", re.M)
 
 def code_chunks(text: Column, size: int = CODE_LINES, overlap: int = CODE_OVERLAP) -> Column:
     """Blocks of `size` lines that share `overlap` lines; the last ends with the text."""
-    lines = F.split(F.trim(text), "\r\n|\n|\r")
     step = size - overlap
-    starts = F.sequence(F.lit(0), F.greatest(F.size(lines) - overlap - 1, F.lit(0)), F.lit(step))
-    blocks = F.transform(starts, lambda s: F.trim(F.array_join(F.slice(lines, s + 1, F.lit(size)), "\n")))
-    return F.when(F.trim(F.coalesce(text, F.lit(""))) == "", F.array().cast("array<string>")).otherwise(F.filter(blocks, lambda b: b != ""))
+
+    def blocks(lines: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(lines) - overlap - 1, F.lit(0)), F.lit(step))
+        return F.filter(F.transform(starts, lambda s: F.trim(F.array_join(F.slice(lines, s + 1, F.lit(size)), "\n"))), lambda b: b != "")
+
+    # As a lambda's variable the lines are split once for a text, not once for each block.
+    lines = F.array(F.split(F.trim(text), "\r\n|\n|\r"))
+    return F.when(F.trim(F.coalesce(text, F.lit(""))) == "", F.array().cast("array<string>")).otherwise(F.flatten(F.transform(lines, blocks)))
 
 
 def plain(text: str) -> list[str]:
@@ -67,5 +71,5 @@ def prose_chunks(text: pd.Series) -> pd.Series:
 
 
 def chunks(text: Column, kind: Column) -> Column:
-    """Chunks of a document by its kind."""
-    return F.when(kind == "code", code_chunks(text)).otherwise(prose_chunks(text))
+    """Chunks of a document by its kind; code does not leave the JVM."""
+    return F.when(kind == "code", code_chunks(text)).otherwise(prose_chunks(F.when(F.coalesce(kind, F.lit("")) != "code", text)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -38,10 +38,16 @@ def hash_embed(text: pd.Series) -> pd.Series:
     return text.map(_hashed)
 
 
+def _place(word: str) -> int:
+    return int.from_bytes(hashlib.md5(word.encode()).digest()) % WIDTH
+
+
+_known_place = lru_cache(maxsize=200_000)(_place)
+
+
 def _hashed(x: str | None) -> list[float]:
-    v = np.zeros(WIDTH)
-    for word in (x or "").lower().split():
-        v[int(hashlib.md5(word.encode()).hexdigest(), 16) % WIDTH] += 1
+    places = [_known_place(word) if len(word) <= 64 else _place(word) for word in (x or "").lower().split()]
+    v = np.bincount(np.array(places, np.int64), minlength=WIDTH)
     return (v / (np.linalg.norm(v) or 1)).tolist()
 
 

@@ -12,12 +12,16 @@ So results equal those of a scan of all texts (retrieval.bm25_topk), while neith
 Files are dealt by the term's hash and sorted by term: partition filters and the files' own statistics
 keep other terms' blocks unread.
 
-An update appends blocks of the new rows, and for the rows that it replaces their ids and, as negative
-counts, what they had added to frequencies and lengths. merge() drops them for good without reading a text.
+An update moves the new rows' texts to the tasks of their ranges, where their blocks are made, and appends these; for the rows that
+it replaces it appends their ids and, as negative counts, what they had added to frequencies and lengths. merge() drops them for good without reading a text.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +36,8 @@ SIZES = "source_id string, n long, dl long"
 GONE = "id long"
 #: Documents of a range, about; ranges that are scored first for each query.
 RANGE, PROBES = 256, 4
+#: The partition of the blocks of the term '', one for each range, that hold the lengths of its rows.
+LENGTHS = -2
 
 
 class Index:
@@ -41,11 +47,12 @@ class Index:
         self.log, self.name, self.buckets, self.stemming, self.title_weight = log, name, buckets, stemming, title_weight
 
     def _bucket(self):
-        return F.expr(f"cast(pmod(xxhash64(term), {self.buckets}) as int)")
+        return F.expr(f"case when term = '' then {LENGTHS} else cast(pmod(xxhash64(term), {self.buckets}) as int) end")
 
     def _read(self, name: str, schema: str) -> DataFrame:
         rows = self.log.rows(f"{self.name}.{name}", schema)
-        return self.log.spark.createDataFrame([], f"{schema}, seq long, part string, bucket int") if rows is None else rows
+        rows = self.log.spark.createDataFrame([], f"{schema}, seq long, part string, bucket int") if rows is None else rows
+        return rows.where(F.col("bucket") >= 0) if name == "blocks" else rows
 
     def postings(self, rows: DataFrame) -> DataFrame:
         """id, source_id, dl, term, tf of rows, and one with the term '' for each row.
@@ -59,12 +66,57 @@ class Index:
 
     def _blocked(self, post: DataFrame, rows: int, salt: int) -> DataFrame:
         """Blocks of postings; a range is of one part (salt) and source."""
-        ranges = max(1, rows // RANGE)
-        rng = F.xxhash64("source_id", F.pmod("id", F.lit(ranges)), F.lit(salt))
         one = F.array_sort(F.collect_list(F.struct("id", "tf", "dl")))
-        blocks = post.where("term <> ''").groupBy("term", "source_id", rng.alias("rng")).agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), one.alias("p"))
-        flat = blocks.select("term", "source_id", "rng", "n", "max_tf", "min_dl", F.col("p.id").alias("ids"), F.col("p.tf").alias("tfs"), F.col("p.dl").alias("dls"), self._bucket().alias("bucket"))
-        return flat.repartition(max(self.buckets, min(rows // 20_000, 16 * self.buckets)), "bucket", F.pmod(F.hash("term"), F.lit(16))).sortWithinPartitions("bucket", "term")
+        blocks = post.where("term <> ''").groupBy("term", "source_id", self._range(rows, salt).alias("rng")).agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), one.alias("p"))
+        return self._dealt(blocks.select("term", "source_id", "rng", "n", "max_tf", "min_dl", F.col("p.id").alias("ids"), F.col("p.tf").alias("tfs"), F.col("p.dl").alias("dls")), rows)
+
+    @staticmethod
+    def _range(rows: int, salt: int):
+        return F.xxhash64("source_id", F.pmod("id", F.lit(max(1, rows // RANGE))), F.lit(salt))
+
+    def _dealt(self, blocks: DataFrame, rows: int) -> DataFrame:
+        spread = F.pmod(F.when(F.col("term") == "", F.hash("rng")).otherwise(F.hash("term")), F.lit(16))
+        return blocks.withColumn("bucket", self._bucket()).repartition(max(self.buckets, min(rows // 20_000, 16 * self.buckets)), "bucket", spread).sortWithinPartitions("bucket", "term")
+
+    def _made(self, rows: DataFrame, total: int, salt: int, lists: bool = True) -> DataFrame:
+        """Blocks of rows (without lists: their counts only), made where the rows of a range are: their texts are moved, their postings are not. The block of the term '' has the lengths of all rows of its range."""
+        stemming, weight = self.stemming, self.title_weight
+
+        def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in retrieval.runs(batches, 2, 3, retrieval.CHARACTERS):
+                ids, source, rng = part.column(0).to_numpy(), part.column(1), part.column(2).to_numpy()
+                words, title = (retrieval.words_of(part.column(n)) for n in (4, 5))
+                dls = (words.value_lengths().to_numpy() + title.value_lengths().to_numpy()).astype(np.int64)
+                changes = np.r_[True, (np.diff(rng) != 0) | (np.diff(source.dictionary_encode().indices.to_numpy()) != 0)]
+                group = np.cumsum(changes) - 1
+                order = np.lexsort((dls, ids, group))  # rows of one id and length are one
+                first = np.r_[True, (np.diff(group[order]) != 0) | (np.diff(ids[order]) != 0) | (np.diff(dls[order]) != 0)]
+                number = np.empty(len(ids), np.int64)
+                number[order] = np.cumsum(first) - 1
+                ids, dls, group = ids[order][first], dls[order][first], group[order][first]
+                vocabulary, row, term, tf = retrieval.term_counts([(words, 1.0), (title, weight)], stemming)
+                key, place = np.unique((group[number[row]] * max(len(vocabulary), 1) + term) * len(ids) + number[row], return_inverse=True)
+                tf, row, key = np.bincount(place, tf, len(key)), key % len(ids), key // len(ids)
+                begins = np.flatnonzero(np.r_[True, np.diff(key) != 0]) if len(key) else np.zeros(0, np.int64)
+                n, of_range = np.diff(np.r_[begins, len(key)]), np.bincount(group)
+                most = np.maximum.reduceat(tf, begins) if len(key) else np.zeros(0)
+                least = np.minimum.reduceat(dls[row], begins) if len(key) else np.zeros(0, np.int64)
+                at = pa.array(np.flatnonzero(changes)[np.r_[np.arange(len(of_range)), group[row[begins]]]])
+                said = pa.concat_arrays([pa.array([""] * len(of_range), pa.string()), vocabulary.take(pa.array(key[begins] % max(len(vocabulary), 1)))])
+                held = n if lists else np.zeros_like(n)
+                offsets, lengths = (pa.array(np.r_[0, np.cumsum(x)].astype(np.int32)) for x in (np.r_[np.zeros_like(of_range), held], np.r_[of_range, held]))
+                row, tf = (row, tf) if lists else (row[:0], tf[:0])
+                columns = {
+                    "term": said, "source_id": source.take(at), "rng": part.column(2).take(at), "n": pa.array(np.r_[of_range, n]),
+                    "max_tf": pa.array(np.r_[np.zeros(len(of_range)), most]), "min_dl": pa.array(np.r_[np.minimum.reduceat(dls, np.flatnonzero(np.r_[True, np.diff(group) != 0])), least].astype(np.int32)),
+                    "ids": pa.ListArray.from_arrays(offsets, pa.array(ids[row])), "tfs": pa.ListArray.from_arrays(offsets, pa.array(tf)), "dls": pa.ListArray.from_arrays(lengths, pa.array(np.r_[dls, dls[row]].astype(np.int32))),
+                }
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+        of = rows.withColumn("source_id", F.coalesce("source_id", F.lit(""))).withColumn("rng", self._range(total, salt))
+        title = F.lower("title") if "title" in rows.columns else F.lit(None).cast("string")
+        dealt = of.repartition("rng").sortWithinPartitions("source_id", "rng")
+        return dealt.select("id", "source_id", "rng", F.length("text").alias("n"), F.lower("text").alias("text"), title.alias("title")).mapInArrow(blocks, BLOCKS)
 
     def update(self, gone: DataFrame, new: DataFrame) -> None:
         """Rows of gone (as they were indexed) are replaced by those of new, of other or the same ids."""
@@ -74,17 +126,24 @@ class Index:
             at = lambda df: df.withColumn("seq", F.lit(step).cast("long"))
             flat = lambda df: at(df.withColumn("bucket", F.lit(0)))
             put = lambda name, df: self.log.put(f"{self.name}.{name}", df)
-            post = cut(self.postings(new))  # analysed once
-            if put("sizes", flat(self._sizes(post, 1))):
-                put("blocks", at(self._blocked(post, post.where("term = ''").count(), step)))
+            total = new.count()
+            if put("blocks", at(self._dealt(self._made(new, total, step), total))):
+                part = mine["parts"][f"{self.name}.blocks"][-1][0]
+                lengths = self.log.rows(f"{self.name}.blocks", BLOCKS).where((F.col("part") == part) & (F.col("bucket") == LENGTHS))
+                put("sizes", flat(self._sizes(self._summed(lengths), 1)))
             if put("gone", flat(gone.select("id").distinct())):
-                was = cut(self.postings(gone))
+                was = cut(self._summed(self._made(gone, gone.count(), step, lists=False)).groupBy("term", "source_id").agg(F.sum("n").alias("n"), F.sum("dl").alias("dl")))
                 put("sizes", flat(self._sizes(was, -1)))
-                put("minus", flat(was.where("term <> ''").groupBy("term", "source_id").agg(F.count("*").alias("n"))))
+                put("minus", flat(was.where("term <> ''").select("term", "source_id", "n")))
+
+    @staticmethod
+    def _summed(blocks: DataFrame) -> DataFrame:
+        """term, source_id, n of blocks, and of those of the term '' dl, the sum of their rows' lengths."""
+        return blocks.select("term", "source_id", "n", F.when(F.col("term") == "", F.aggregate("dls", F.lit(0).cast("long"), lambda s, x: s + x)).alias("dl"))
 
     @staticmethod
-    def _sizes(post: DataFrame, sign: int) -> DataFrame:
-        return post.where("term = ''").groupBy("source_id").agg((F.count("*") * sign).alias("n"), (F.sum("dl") * sign).cast("long").alias("dl"))
+    def _sizes(summed: DataFrame, sign: int) -> DataFrame:
+        return summed.where("term = ''").groupBy("source_id").agg((F.sum("n") * sign).alias("n"), (F.sum("dl") * sign).cast("long").alias("dl"))
 
     def _alive(self, post: DataFrame) -> DataFrame:
         """Postings (id, seq, ...) of rows that were not replaced since."""

@@ -245,7 +245,7 @@ c as (select doc_id, array_to_string(words[i * 52 + 1 : i * 52 + 60], chr(10)) a
 def _as_code(spark, d, changed: bool) -> DataFrame:
     """Documents as code with a word a line; of the first delivery every fourth has another text, and every fifth is missing."""
     docs = table(spark, d, "documents")
-    words = F.regexp_replace(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")), " ", "\n")
+    words = F.replace(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")), F.lit(" "), F.lit("\n"))
     said = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("before\n"), words)).otherwise(words) if changed else words
     rows = docs.where("doc_id % 5 <> 0") if changed else docs
     uri = F.concat(F.lit("doc://"), F.col("doc_id").cast("string"))
@@ -272,7 +272,8 @@ def memory_actions(spark, d):
 def memory_chunks(spark, d):
     """Chunks after the second delivery: of every document those of its present text alone."""
     chunks = _ingested(spark, d)[0].chunks.read()
-    return chunks.join(_doc(spark, d), "doc_id").groupBy("number").agg(F.count("*").alias("chunks"), F.sum(F.length("text")).alias("chars"), F.max(F.size("embedding")).alias("width"))
+    each = chunks.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum(F.length("text")).alias("chars"), F.max(F.size("embedding")).alias("width"))
+    return each.join(_doc(spark, d), "doc_id").groupBy("number").agg(F.sum("chunks").alias("chunks"), F.sum("chars").alias("chars"), F.max("width").alias("width"))
 
 
 @query(_AS_CODE + ", w as (select doc_id, unnest(regexp_extract_all(lower(body), '[a-z0-9_]+')) as term from c) select term, count(distinct doc_id) as documents, count(*) as tf from w group by 1")

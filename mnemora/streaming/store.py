@@ -7,17 +7,19 @@ changes nothing, and of two writers the second begins again.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import chunk, classify, embed, text
-from ..operators import catalog, fulltext, graph, mining
+from ..operators import catalog, fulltext, graph, mining, retrieval
 from ..operators.lineage import cut
 from ..sources import manifests
 from .ingest import EXTRACTOR_VERSION, prepared
@@ -57,9 +59,10 @@ def assembled(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     for kind, rows in (("ticket", mining.ticket_edges(docs)), ("code", mining.code_edges(code)), ("channel", mining.channel_edges(docs))):
         one = rows.select("doc_id", "src", "rel", "dst", "dst_name", "dst_type", F.lit(kind).alias("from"))
         found = one if found is None else found.unionByName(one)
-    named = found.join(place, "doc_id")
+    named = cut(found.join(place, "doc_id"))
     detail = F.when(F.col("from") == "ticket", F.concat(F.lit("mentioned in "), "title80")).when(F.col("rel") == "imports", F.concat(F.lit("from "), "path")).otherwise(F.concat(F.lit("in "), "path"))
-    tables = mining.table_edges(docs).join(place, "doc_id")
+    told_tables = cut(mining.table_assertions(docs).where(F.size("edges") > 0))
+    tables = mining.asserted_edges(told_tables).join(place, "doc_id")
     mined = named.select("doc_id", "source_id", "src", "rel", "dst", detail.alias("detail")).unionByName(tables.select("doc_id", "source_id", "src", "rel", "dst", F.concat(F.lit("table in "), F.substring("title80", 1, 60)).alias("detail")))
     source = text.source_entity(F.col("source_id"))
     sources = mined.select("doc_id", "source_id").distinct().select("doc_id", "source_id", source["id"].alias("id"), source["name"].alias("name"), source["type"].alias("type"), F.lit("").alias("layer"))
@@ -67,7 +70,7 @@ def assembled(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     ends = tables.select("doc_id", "source_id", F.explode(F.array("src", "dst")).alias("id"))
     cells = ends.select("doc_id", "source_id", "id", F.expr("substr(id, instr(id, ':') + 1)").alias("name"), F.substring_index("id", ":", 1).alias("type"), F.lit("").alias("layer"))
     entities = own_entities.unionByName(sources).unionByName(targets).unionByName(cells).where("id <> ''").distinct()
-    aliases = own_aliases.unionByName(mining.table_aliases(docs).join(place.select("doc_id", "source_id"), "doc_id")).distinct()
+    aliases = own_aliases.unionByName(mining.asserted_aliases(told_tables).join(place.select("doc_id", "source_id"), "doc_id")).distinct()
     edges = own_edges.unionByName(mined).groupBy("doc_id", "source_id", "src", "rel", "dst").agg(F.min("detail").alias("detail"))
     return entities, aliases, edges
 
@@ -161,12 +164,12 @@ class Memory:
         refreshed = F.when((F.col("action") == "skipped") & F.col("waits"), "graph_refreshed").otherwise(F.col("action"))
         skipped = F.count_if(F.col("action") == "skipped").alias("skipped")
         actions = self._stage("actions", acted.join(waiting, "doc_id", "left").select("doc_id", refreshed.alias("action")), skipped)
-        placed = latest.join(actions, "doc_id").where("action <> 'skipped'")
+        placed = cut(latest.join(actions, "doc_id").where("action <> 'skipped'"))
         if not placed.isEmpty():
             changed = placed.where("action in ('added', 'updated')")
             updated = changed.where("action = 'updated'").select("doc_id")
             parts = self._stage("chunks", self._chunked(changed), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("characters"))
-            self.index.update(*(self.index_rows(x) for x in (self._chunks_of(updated), parts)))
+            self.index.update(self._indexed(updated), self.index_rows(parts))
             self.chunks.replace(updated, parts)
             self.postings.replace(updated, self._posted(parts))
             self._write_graph(placed.drop("action"), placed.where("action <> 'added'").select("doc_id"))
@@ -208,21 +211,31 @@ class Memory:
         """id, source_id, title, text of chunks."""
         return parts.select(F.xxhash64("doc_id", "chunk_index").alias("id"), "source_id", "title", "text")
 
-    def _chunks_of(self, docs: DataFrame) -> DataFrame:
-        """The stored chunks of docs (doc_id), written apart."""
-        return cut(self.chunks.read(self.chunks.touched(docs)).join(docs.select("doc_id").distinct(), "doc_id", "left_semi"))
+    def _indexed(self, docs: DataFrame) -> DataFrame:
+        """What is indexed of the stored chunks of docs (doc_id), written apart."""
+        return cut(self.index_rows(self.chunks.read(self.chunks.touched(docs)).join(docs.select("doc_id").distinct(), "doc_id", "left_semi")))
 
     def _posted(self, parts: DataFrame) -> DataFrame:
-        # Chunks are dealt out as texts: their terms are counted where they are.
-        words = parts.select("doc_id", "chunk_index", "source_id", "text").repartition("doc_id", "chunk_index").select("doc_id", "chunk_index", "source_id", text.tokens(F.col("text")).alias("words"))
-        each = words.select("doc_id", "chunk_index", "source_id", F.size("words").alias("dl"), F.explode("words").alias("term"))
-        return each.groupBy("doc_id", "chunk_index", "source_id", "term", "dl").agg(F.count("*").alias("tf"))
+        # Chunks are dealt out as texts: their terms are counted where they are, without a row for a word.
+        dealt = parts.select("doc_id", "chunk_index", "source_id", "text").repartition("doc_id", "chunk_index")
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in (piece for batch in batches for piece in retrieval.pieces(batch, 3, retrieval.CHARACTERS)):
+                words = retrieval.words_of(part.column(4))
+                vocabulary, row, term, tf = retrieval.term_counts([(words, 1.0)])
+                ends = pa.array(np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32))
+                lists = (vocabulary.take(pa.array(term)), pa.array(tf.astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], words.value_lengths(), *(pa.ListArray.from_arrays(ends, x) for x in lists)], names=["doc_id", "chunk_index", "source_id", "dl", "terms", "tfs"])
+
+        said = dealt.select("doc_id", "chunk_index", "source_id", F.length("text").alias("n"), F.lower("text").alias("text"))
+        counted = said.mapInArrow(count, "doc_id string, chunk_index int, source_id string, dl int, terms array<string>, tfs array<long>")
+        each = counted.select("doc_id", "chunk_index", "source_id", "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("t"))
+        return each.select("doc_id", "chunk_index", "source_id", F.col("t.terms").alias("term"), "dl", F.col("t.tfs").alias("tf"))
 
     # -- graph
 
     def _write_graph(self, docs: DataFrame, known: DataFrame) -> None:
-        """Assertions of docs, of which some are known (doc_id); those that a model should read first are deferred with theirs as a payload."""
-        docs = cut(docs)
+        """Assertions of docs (written apart), of which some are known (doc_id); those that a model should read first are deferred with theirs as a payload."""
         entities, aliases, edges = (self._stage(name, x) for name, x in zip(("entities", "aliases", "edges"), assembled(docs), strict=True))
         code = mining.looks_like_code(F.col("kind"), F.col("uri"))
         manifest = F.lit(False)
@@ -331,8 +344,8 @@ class Memory:
 
     def _delete(self, gone: DataFrame) -> None:
         gone = cut(gone.select("doc_id").distinct())
-        was = self._chunks_of(gone)
-        self.index.update(self.index_rows(was), self.index_rows(was.limit(0)))
+        was = self._indexed(gone)
+        self.index.update(was, was.limit(0))
         for table in (self.chunks, self.postings, self.edges, self.pending, self.documents):
             table.replace(gone, self.spark.createDataFrame([], table.schema))
         was = cut(graph.orphans(self.entities.read(), self.edges.read()).select("id", "name", "type"))

@@ -4,12 +4,12 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from mnemora.functions import classify
+from mnemora.functions import chunk, classify, embed
 from mnemora.operators import ann, catalog, fulltext, graph, retrieval
 from mnemora.plans import model
 from mnemora.sources import pages
 from mnemora.streaming.log import Log
-from mnemora.streaming.store import Memory
+from mnemora.streaming.store import Memory, assembled
 
 
 def _logical(df) -> str:
@@ -207,3 +207,50 @@ def test_a_page_keeps_the_whole_text_of_its_tables(monkeypatch):
     assert pages.pipe_table(ragged) == "| c0 |  |  |\n| --- | --- | --- |\n| c0 | c1 | c2 |\n| c0 | c1 |  |"
     monkeypatch.setattr(pages, "FILL", 2)  # wide and long tables are not filled up, but for their heads
     assert pages.pipe_table(ragged) == "| c0 |  |  |\n| --- | --- | --- |\n| c0 | c1 | c2 |\n| c0 | c1 |"
+
+
+def test_an_ingest_reads_a_text_once(spark):
+    """Code is split into lines once a text, not once a block, and not sent to the prose chunker; what a text asserts is read once for entities, aliases and edges."""
+    said = "\n".join(f"line{n}" for n in range(200))
+    docs = spark.createDataFrame([("a", "git:r", "x.py", "T", "code", f"import os\n{said}", ""), ("b", "wiki:w", "u", "T", None, "OPS-1\n| Team | Service |\n| --- | --- |\n| Blue | Shop |", "")], "doc_id string, source_id string, uri string, title string, kind string, text string, graph_json string")
+    made = docs.select("doc_id", F.posexplode(chunk.chunks(F.col("text"), F.col("kind"))).alias("k", "body"))
+    plan = _logical(made)
+    assert plan.count("split(") == 1 and "prose_chunks(CASE WHEN" in plan
+    got = {(r.doc_id, r.k): r.body for r in made.collect()}
+    lines = f"import os\n{said}".split("\n")
+    assert [got[("a", k)] for k in range(4)] == ["\n".join(lines[52 * k : 52 * k + 60]) for k in range(4)] and ("b", 0) in got and len(got) == 5
+    entities, aliases, edges = assembled(docs)
+    assert all("typed_rows" not in _logical(x) and "regexp_extract_all" not in _logical(x) for x in (entities, aliases, edges))
+    assert {(r.doc_id, r.src, r.rel, r.dst) for r in edges.collect()} == {("a", "repo:r", "imports", "module:os"), ("b", "source:w", "references", "ticket:ops-1"), ("b", "team:blue", "owns", "service:shop")}
+
+
+def test_an_index_update_stores_no_row_for_a_posting(spark, tmp_path, monkeypatch):
+    stored, real = [], fulltext.cut
+    monkeypatch.setattr(fulltext, "cut", lambda df: (stored.append(df.count()), real(df))[1])
+    monkeypatch.setattr(fulltext, "RANGE", 16)
+    rows = spark.createDataFrame([(n, f"s{n % 3}" if n % 5 else None, "a title", " ".join(f"w{(n * k) % 11}" for k in range(30))) for n in range(200)], "id long, source_id string, title string, text string")
+    index = fulltext.Index(Log(spark, str(tmp_path)), buckets=2, stemming=False)
+    index.update(rows.limit(0), rows)
+    index.update(rows.where("id < 20"), rows.where("id < 10"))
+    assert max(stored, default=0) <= 4 * (11 + 2 + 1)  # a row for a source and a term, not for a posting
+    plain = index.postings(rows.where("id >= 20 or id < 10"))
+    sizes = {r.source_id: (r.n, r.dl) for r in index._read("sizes", fulltext.SIZES).groupBy("source_id").agg(F.sum("n").alias("n"), F.sum("dl").alias("dl")).collect()}
+    assert sizes == {r.source_id: (r.n, r.dl) for r in plain.where("term = ''").groupBy("source_id").agg(F.count("*").alias("n"), F.sum("dl").alias("dl")).collect()}
+    blocks = index._read("blocks", fulltext.BLOCKS)
+    held = index._alive(index._exploded(blocks.select("term", "source_id", "seq", "ids", "tfs", "dls")))
+    want = {(r.term, r.source_id, r.id): (r.tf, r.dl) for r in plain.where("term <> ''").collect()}
+    assert {(r.term, r.source_id, r.id): (r.tf, r.dl) for r in held.collect()} == want and held.count() == len(want)
+    heads = blocks.select("n", "max_tf", "min_dl", F.size("ids").alias("m"), F.array_max("tfs").alias("t"), F.array_min("dls").alias("d"))
+    assert heads.where("n <> m or max_tf <> t or min_dl <> d").isEmpty()
+
+
+def test_hashed_vectors_are_counts_of_md5_places():
+    import hashlib
+
+    said = "a b a " + "x" * 80 + " É b\u2003c a"
+    v = np.zeros(embed.WIDTH)
+    for word in said.lower().split():
+        v[int(hashlib.md5(word.encode()).hexdigest(), 16) % embed.WIDTH] += 1
+    embed._known_place.cache_clear()
+    assert embed._hashed(said) == (v / np.linalg.norm(v)).tolist() and embed._hashed(None) == embed._hashed(" ") == [0.0] * embed.WIDTH
+    assert embed._known_place.cache_info().hits >= 3 and embed._known_place.cache_info().currsize == 4  # a word is hashed once
