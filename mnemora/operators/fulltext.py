@@ -12,6 +12,9 @@ So results equal those of a scan of all texts (retrieval.bm25_topk), while neith
 Files are dealt by the term's hash and sorted by term: partition filters and the files' own statistics
 keep other terms' blocks unread.
 
+Of many queries at once nearly every range is reached by some, so their terms' blocks are dealt out by
+range, and each task scores its ranges against blocks of queries and keeps k a query: no row is made for a query and a range or a posting.
+
 An update moves the new rows' texts to the tasks of their ranges, where their blocks are made, and appends these; for the rows that
 it replaces it appends their ids and, as negative counts, what they had added to frequencies and lengths. merge() drops them for good without reading a text.
 """
@@ -22,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +40,8 @@ SIZES = "source_id string, n long, dl long"
 GONE = "id long"
 #: Documents of a range, about; ranges that are scored first for each query.
 RANGE, PROBES = 256, 4
+#: Queries for which single ranges are chosen; replaced ids that tasks hold as a whole.
+FEW, GONE_AT_ONCE = 64, 2_000_000
 #: The partition of the blocks of the term '', one for each range, that hold the lengths of its rows.
 LENGTHS = -2
 
@@ -193,7 +199,9 @@ class Index:
         spark = self.log.spark
         terms = retrieval.stem.stemmed("terms") if self.stemming else F.col("terms")
         asked = queries.select("qid", F.explode(F.array_distinct(terms)).alias("term")).distinct()
-        small = F.broadcast if asked.count() <= retrieval.BROADCAST_TERMS else lambda df: df
+        number = asked.agg(F.count("*").alias("terms"), F.count_distinct("qid").alias("queries")).first()
+        asked = asked if number.queries <= FEW else cut(asked)
+        small = F.broadcast if number.terms <= retrieval.BROADCAST_TERMS else lambda df: df
         seen = (lambda df: df) if sources is None else lambda df: df.where(F.col("source_id").isin(list(sources)))
         size = seen(self._read("sizes", SIZES)).agg(F.sum("n").alias("n"), F.sum("dl").alias("dl")).first()
         if not size.n:
@@ -207,6 +215,8 @@ class Index:
         df = heads.select("term", "n").unionByName(minus).groupBy("term").agg(F.sum("n").alias("df")).where("df > 0")
         idf = F.greatest(F.log((F.lit(float(size.n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
         weighted = asked.join(df, "term").select("qid", "term", idf.alias("idf"))
+        if number.queries > FEW:
+            return self._topk_of_many(mine.select("rng", "term", "seq", "ids", "tfs", "dls"), cut(weighted), float(avgdl), int(size.n), k)
         part = lambda tf, dl: F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.lit(avgdl)))
         bounds = heads.join(small(weighted), "term").groupBy("qid", "rng").agg(F.sum(part(F.col("max_tf"), F.col("min_dl"))).alias("bound"))
 
@@ -220,3 +230,47 @@ class Index:
         least = ranked(scored(first)).where(F.col("rank") == k).select("qid", F.col("score").alias("least"))
         reach = bounds.join(least, "qid", "left").where("least is null or bound >= least - 1e-8")
         return ranked(scored(reach)).where(F.col("rank") <= k)
+
+    def _topk_of_many(self, blocks: DataFrame, weighted: DataFrame, avgdl: float, total: int, k: int) -> DataFrame:
+        """qid, id, score, rank for the queries of weighted (qid, term, idf): tasks score whole ranges against blocks of queries and keep k a query."""
+        spark = self.log.spark
+        gone = self._read("gone", GONE).groupBy("id").agg(F.max("seq").alias("seq"))
+        dead = spark.sparkContext.broadcast(None)
+        if gone.count() > GONE_AT_ONCE:
+            one = F.array_sort(F.collect_list(F.struct("id", "tf", "dl")))
+            left = self._alive(self._exploded(blocks)).groupBy("rng", "term").agg(one.alias("p"))
+            blocks = left.select("rng", "term", F.lit(0).cast("long").alias("seq"), F.col("p.id").alias("ids"), F.col("p.tf").alias("tfs"), F.col("p.dl").alias("dls"))
+        else:
+            said = gone.orderBy("id").toPandas()  # GONE_AT_ONCE at most
+            dead = spark.sparkContext.broadcast((said["id"].to_numpy(np.int64), said["seq"].to_numpy(np.int64)))
+        dealt = blocks.withColumn("n", F.size("ids")).repartition(max(2 * spark.sparkContext.defaultParallelism, total // retrieval.DEALT), "rng").sortWithinPartitions("rng")
+        out = None
+        for shared in retrieval.query_blocks(weighted, avgdl, retrieval.QUERY_BLOCK):
+
+            def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+                asked = shared.value
+                known, head = pa.array(asked.terms, pa.string()), retrieval.Heads(len(asked.qids), k)
+                rows_at_once = max(1, retrieval.CELLS // len(asked.qids))
+                for part in retrieval.runs(batches, 0, 6):
+                    column = part.column(3)
+                    of = pc.list_parent_indices(column).to_numpy(zero_copy_only=False)
+                    term = pc.index_in(part.column(1), value_set=known).fill_null(-1).to_numpy(zero_copy_only=False)[of]
+                    own, tf, dl = (pc.list_flatten(part.column(n)).to_numpy(zero_copy_only=False) for n in (3, 4, 5))
+                    if dead.value is not None and len(dead.value[0]):
+                        ids, until = dead.value
+                        at = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
+                        alive = (ids[at] != own) | (part.column(2).to_numpy()[of] >= until[at])
+                        term, own, tf, dl = term[alive], own[alive], tf[alive], dl[alive]
+                    ids, row = np.unique(own, return_inverse=True)
+                    order = np.argsort(row, kind="stable")
+                    for a in range(0, len(ids), rows_at_once):
+                        z = min(a + rows_at_once, len(ids))
+                        mine = order[slice(*np.searchsorted(row[order], (a, z)))]
+                        head.add(asked.scores(term[mine], row[mine] - a, tf[mine], dl[mine].astype(float), z - a), ids[a:z])
+                yield head.batch(asked.qids)
+
+            found = dealt.mapInArrow(best, "qid long, id long, score double")
+            out = found if out is None else out.union(found)
+        if out is None:
+            return spark.createDataFrame([], "qid long, id long, score double, rank int")
+        return ranked(out).where(F.col("rank") <= k)

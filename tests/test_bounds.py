@@ -254,3 +254,24 @@ def test_hashed_vectors_are_counts_of_md5_places():
     embed._known_place.cache_clear()
     assert embed._hashed(said) == (v / np.linalg.norm(v)).tolist() and embed._hashed(None) == embed._hashed(" ") == [0.0] * embed.WIDTH
     assert embed._known_place.cache_info().hits >= 3 and embed._known_place.cache_info().currsize == 4  # a word is hashed once
+
+
+def test_many_queries_of_the_index_make_no_row_for_a_query_and_a_posting(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(fulltext, "RANGE", 16)
+    words = "red green blue grey pink teal gold".split()
+    row = lambda n, s: (n, f"s{n % 3}", words[(n + s) % 7] if n % 4 else None, " ".join(words[(n * j + s) % 7] for j in range(n % 9)))
+    frame = lambda rows: spark.createDataFrame(rows, "id long, source_id string, title string, text string")
+    first, again = [row(n, 0) for n in range(300)], [row(n, 1) for n in range(0, 300, 3) if n % 2]
+    index = fulltext.Index(Log(spark, str(tmp_path)), buckets=2, stemming=False)
+    index.update(frame(first).limit(0), frame(first))
+    index.update(frame([r for r in first if r[0] % 3 == 0]), frame(again))
+    now = frame([r for r in first if r[0] % 3] + again)
+    asked = spark.createDataFrame([(q, [words[q % 7], words[(q * 3 + 1) % 7], "none"]) for q in range(90)], "qid long, terms array<string>")
+    shown = lambda df: sorted((r.qid, r.id, round(r.score, 6), r["rank"]) for r in df.collect())
+    expected, some = shown(retrieval.bm25_topk(now, asked, 6)), shown(retrieval.bm25_topk(now.where("source_id <> 's1'"), asked, 6))
+    found = index.topk(asked, 6)
+    assert "Aggregate [qid" not in _logical(found) and "Generate explode" not in _logical(found)
+    assert shown(found) == expected and shown(index.topk(asked, 6, ("s0", "s2"))) == some
+    for name, module, value in (("GONE_AT_ONCE", fulltext, 0), ("QUERY_BLOCK", retrieval, 7), ("CELLS", retrieval, 500)):
+        monkeypatch.setattr(module, name, value)
+        assert shown(index.topk(asked, 6)) == expected
